@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import packing, piece_bpe, simhash
-from lectern.llm.common import table
+from lectern.llm import lang_id, packing, piece_bpe, pu_quality, repetition, simhash, toxicity
+from lectern.llm.common import fold, table
+
+
+def held_out(modulus: int, left: int) -> Column:
+    """Rows that nothing is learned from; rows without an id are not held out, and teach nothing either."""
+    return F.coalesce(fold(F.col("doc_id"), modulus) == left, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = lang_id.train(docs.where(~held_out(4, 2)).select("doc_id", "text", "lang"))
+    return lang_id.identify(docs, models).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +29,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, most_bits=4)
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pu_quality.train(docs.where(~held_out(3, 1)), labels.where(~held_out(3, 1)).select("doc_id", F.col("quality").alias("label")))
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(~held_out(4, 2)), labels.where(~held_out(4, 2)).select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_piece_bpe, op4_simhash, op8_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op8_packing, op9_pu_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
