@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import lang_id, packing, pu_quality, simhash
+from lectern.llm.common import shared_folder, table
+from lectern.llm.queries import held_out
+
+#: Models are trained and pieces numbered on the way; no SQL gives these rows.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those it rejects go, texts without a letter among them."""
+    models = lang_id.train(docs.where(~held_out(4, 2)).select("doc_id", "text", "lang"))
+    return lang_id.keep_known(docs, models)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of those at hand, takes for good."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1)).select("doc_id", F.col("quality").alias("label"))
+    return pu_quality.keep_good(docs, pu_quality.train(docs.where(~held_out(3, 1)), labels))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_first(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", known_languages), ("quality", good_quality), ("near_dedup", near_dedup), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the documents; what a stage keeps is written to the shared folder and read again."""
+    docs, place = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,3 +66,20 @@ def records(arrays: Sequence, schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of this schema from arrays, lists or numpy arrays."""
     made = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, schema, strict=True)]
     return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def keep_rows(docs: DataFrame, decide, most_chars: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, for whose text ``decide`` (texts to booleans) says so. No shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in slices(batch, "text", most_chars):
+                yield rows.filter(pa.array(decide(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one named in ``spark.checkpoint.dir``, else a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="lectern-shared-")

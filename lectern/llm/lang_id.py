@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, durable, records, slices, unit_hash
+from lectern.llm.common import column_of, durable, keep_rows, records, slices, unit_hash
 
 ORDER = 4
 SPACE, START = 0x20, 0x02
@@ -296,3 +296,9 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 yield records([column_of(rows, "doc_id"), *map(list, zip(*shared.value.judge(texts), strict=True))], SCORES)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, cross_entropy double, n_symbols bigint, rejected boolean")
+
+
+def keep_known(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected as unlike every learned language."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return keep_rows(docs, lambda texts: [not j[4] for j in shared.value.judge(texts)])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, records, slices, unit_hash
+from lectern.llm.common import column_of, keep_rows, records, slices, unit_hash
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct_words", "repeated_next", "capital_words", "symbol_words", "bare_words", "repeated_lines", "line_words", "top_word")
 FOUND = pa.schema([("kind", pa.int32()), ("values", pa.list_(pa.float32()))])
@@ -225,3 +225,9 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 yield records([column_of(rows, "doc_id"), shared.value.score(features(texts))], SCORES)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda texts: shared.value.score(features(texts)) >= least)

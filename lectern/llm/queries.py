@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lang_id, packing, piece_bpe, pu_quality, repetition, simhash, toxicity
+from lectern.llm import ann_forest, html_extract, lang_id, packing, piece_bpe, pu_quality, repetition, simhash, toxicity, url_filter
 from lectern.llm.common import fold, table
 
 
@@ -15,6 +15,14 @@ def held_out(modulus: int, left: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), modulus) == left, F.lit(False))
 
 
+#: Action, host, start of the path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = lang_id.train(docs.where(~held_out(4, 2)).select("doc_id", "text", "lang"))
@@ -33,6 +41,14 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op8_packing, op9_pu_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op6_prefix_forest, op7_url_filter, op8_packing, op9_pu_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,9 +16,11 @@ NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in NUMBERS)])
 
 
-def suffix_ranks(tokens: np.ndarray, ends: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+def suffix_ranks(tokens: np.ndarray, ends: np.ndarray, group: np.ndarray, longest: int | None = None) -> list[np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4, ... tokens, until all differ.
 
+    With ``longest`` (a power of two) at most that many tokens are compared.
+
     ``ends`` holds for each position the end of its text; ``group`` orders texts before
     tokens, so suffixes of different texts never tie. A rank is the number of smaller
     suffixes, and only tied suffixes are sorted again at the next length.
@@ -31,7 +33,7 @@ def suffix_ranks(tokens: np.ndarray, ends: np.ndarray, group: np.ndarray) -> lis
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     levels, length = [rank], 1
     tied = order[~new | ~np.append(new[1:], True)]
-    while len(tied):
+    while len(tied) and length != longest:
         ahead = tied + length
         inside = ahead < ends[tied]
         second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)

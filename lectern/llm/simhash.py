@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import column_of, durable, records, slices
@@ -155,3 +155,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_print = named.select("fp", "component").join(first, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
+    """One row of each group of near duplicates in ``docs``, all columns.
+
+    The row with the smallest doc_id stays, one of them if the id is repeated. A row
+    without an id goes under a negative number made of its content, so that it is grouped
+    like any other and equal rows are one.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64(F.struct(*docs.columns)), 1)) - 1)
+    keyed = docs.withColumn("__key", own)
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width, most_bits)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
+    one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return keyed.join(first, "__key", "left_semi").withColumn("__row", one).where("__row = 1").select(*docs.columns)
