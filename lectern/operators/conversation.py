@@ -84,6 +84,21 @@ def event_problem(event: Column, data: Column) -> Column:
     )
 
 
+def segments(answers: DataFrame) -> DataFrame:
+    """Answers (conv_id, turn, n_sources, text) as segments: (position, kind, raw), text between citations.
+
+    A marker of one number within the sources is a citation; any other stays text.
+    """
+    single = r"\[[0-9]{1,3}\]"
+    parts = F.split("text", single, -1)
+    marks = F.regexp_extract_all("text", F.lit(single), F.lit(0))
+    known = lambda m: F.regexp_extract(m, "[0-9]+", 0).cast("int").between(1, F.col("n_sources"))
+    item = lambda kind, raw: F.struct(kind.alias("kind"), raw.alias("raw"))
+    pairs = F.transform(F.arrays_zip(parts.alias("p"), marks.alias("m")), lambda z: F.array(item(F.lit("text"), z["p"]), item(F.when(known(z["m"]), "citation").otherwise("text"), F.coalesce(z["m"], F.lit("")))))
+    rows = answers.select("conv_id", "turn", F.posexplode(F.flatten(pairs)).alias("position", "s"))
+    return rows.select("conv_id", "turn", "position", "s.kind", "s.raw").where("raw <> ''")
+
+
 def answer_events(answers: DataFrame) -> DataFrame:
     """The events of answers (conv_id, n_sources, text): retrieval, tokens, done, in order.
 
