@@ -110,56 +110,75 @@ def plan_chunk(lengths: list[int], capacity: int, longest_piece: int) -> list[tu
     return pieces
 
 
-#: A word of plain Latin letters and then plain punctuation: two runs of tokens.
-PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([-.,!?:;#$%&*|]*)", re.ASCII)
+#: Lower-cased text of plain characters only, and its runs of letters and of other signs.
+PLAIN = re.compile("[\\x00-&(-\\x7e\u00df-\u00f6\u00f8-\u00ff]*")
+RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^ \\t\\n\\v\\f\\ra-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian bytes, through bounded tables of words.
+    """Token ids of texts, as little-endian bytes, through bounded tables of runs.
 
-    A space and a line feed always end a token of this tokenizer, and so does the end of
-    a run of letters, so a text's ids are those of its words, and a plain word's are those
-    of its letters and of its punctuation. What no table has goes to the library in one
-    batch.
+    White space always ends a token of this tokenizer, and in plain text without
+    apostrophes so does the change from letters to other signs and back; it lowers case
+    itself. A text's ids are thus those of its runs in turn. What the table lacks goes to
+    the library in one batch. Other texts are cut at spaces and line feeds only.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 200_000, most_stems: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, end_id: int, most_runs: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-        self.most_words, self.most_stems, self.longest = most_words, most_stems, longest
+        self.runs: dict[str, bytes] = {"": b""}
+        self.word_end = np.zeros(self.library.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        # A special token's name counts as such only in the text as it is.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.most_runs, self.longest = most_runs, longest
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, unseen: list[str]) -> None:
-        split = []
-        for w in unseen:
-            m = PLAIN.fullmatch(w.lower())
-            split.append(m.groups() if m else (w, ""))
-        stems = self.stems
-        new = list(dict.fromkeys(x for pair in split for x in pair if x not in stems))
-        stems.update(zip(new, self._ids(new), strict=True))
-        self.words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(unseen, split, strict=True))
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters, as one text: the last token of each is marked as a word's end."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(runs):
+            return self._ids(runs)
+        flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    def _cut(self, text: str) -> list[str]:
+        low = text.lower()
+        if PLAIN.fullmatch(low) and not ("|>" in text and any(t in text for t in self.special)):
+            return RUNS.findall(low)
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list) -> list[bytes]:
-        if len(self.words) > self.most_words:
-            self.words = {"": b""}
-        if len(self.stems) > self.most_stems:
-            self.stems = {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        unseen = list({w for ws in split for w in ws if w not in known})
-        self._learn(unseen)
-        out = [b"".join([known[w] for w in ws]) + self.end for ws in split]
-        for w in unseen:
-            if len(w) > self.longest:
-                del known[w]
-                self.stems.pop(w, None)
+        if len(self.runs) > self.most_runs:
+            self.runs = {"": b""}
+        cut = [self._cut(t or "") for t in texts]
+        known = self.runs
+        coded = [list(map(known.get, runs)) for runs in cut]
+        holes: list[tuple[list, int, str]] = []
+        for runs, ids in zip(cut, coded, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                holes.append((ids, at, runs[at]))
+        unseen = list({h[2] for h in holes})
+        letters = [r for r in unseen if r.isalpha() and PLAIN.fullmatch(r)]
+        for k in range(0, len(letters), 10_000):
+            known.update(zip(letters[k : k + 10_000], self._letters(letters[k : k + 10_000]), strict=True))
+        other = [r for r in unseen if r not in known]
+        known.update(zip(other, self._ids(other), strict=True))
+        for ids, at, run in holes:
+            ids[at] = known[run]
+        out = [b"".join(ids) + self.end for ids in coded]
+        for r in unseen:
+            if len(r) > self.longest:
+                del known[r]
         return out
 
 
