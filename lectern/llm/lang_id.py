@@ -14,7 +14,8 @@ from lectern.llm.common import column_of, durable, keep_rows, records, slices, u
 
 ORDER = 4
 SPACE, START = 0x20, 0x02
-COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+ENTROPIES = pa.schema([("lang", pa.string()), ("e", pa.float64()), ("n", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("n_symbols", pa.int64()), ("rejected", pa.bool_())])
 
 
@@ -191,6 +192,8 @@ class LanguageModels:
 
         A text without a letter has none.
         """
+        if not texts:
+            return np.zeros((0, len(self.langs))), np.zeros(0, np.int64)
         s, counts, owner = symbols(texts)
         g = grams(s)[counts]
         of = owner[counts]
@@ -225,13 +228,14 @@ class LanguageModels:
         return out
 
 
-def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.999, slack: float = 2.0) -> LanguageModels:
+def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0) -> LanguageModels:
     """Models of the languages in ``labelled`` (doc_id, text, lang).
 
     Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, so
     the model has a bounded size whatever the table's; beyond ``most_grams`` different
-    grams the rarest are left out. Rejection is calibrated on the same texts: the limit is
-    ``slack`` times the given quantile of their excess. Rows with null ids, texts or
+    grams the rarest are left out. Rejection is calibrated on the same texts, each half
+    judged by models of the other half: the limit is ``slack`` times the given quantile of
+    their excess. Rows with null ids, texts or
     languages teach nothing; without any row there is no language and all is ``und``.
     """
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
@@ -239,40 +243,43 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & (unit_hash(F.col("doc_id"), "language") < min(1.0, most_rows / n)))
-    sample = durable(known.where(chosen).select("doc_id", "lang", "text"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    sample = durable(known.where(chosen).select("lang", half.alias("part"), "text"))
 
     def count(batches):
-        found: dict[str, list] = {}
+        found: dict[tuple, list] = {}
         for batch in batches:
             for rows, texts in slices(batch, "text", 1_000_000):
-                names = np.array(column_of(rows, "lang").to_pylist(), object)
+                kinds = list(zip(column_of(rows, "lang").to_pylist(), column_of(rows, "part").to_pylist(), strict=True))
                 s, counts, owner = symbols(texts)
                 g, of = grams(s)[counts], owner[counts]
-                for name in set(names.tolist()):
-                    found.setdefault(name, []).append(np.unique(g[(names == name)[of]], return_counts=True))
-        for name, parts in found.items():
+                for kind in set(kinds):
+                    mine = np.array([k == kind for k in kinds])
+                    found.setdefault(kind, []).append(np.unique(g[mine[of]], return_counts=True))
+        for (name, part), parts in found.items():
             keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
-            yield records([[name] * len(keys), keys.view(np.int64), n.astype(np.int64)], COUNTS)
+            yield records([[name] * len(keys), [part] * len(keys), keys.view(np.int64), n.astype(np.int64)], COUNTS)
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, part int, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
     counted = durable(counted)
     if counted.count() > most_grams:
-        counted = counted.orderBy(F.desc("n"), "lang", "gram").limit(most_grams)
+        counted = counted.orderBy(F.desc("n"), "lang", "part", "gram").limit(most_grams)
     got = counted.toPandas()
-    models = LanguageModels({str(name): (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()) for name, part in got.groupby("lang")})
+    models = _of_counts(got)
     if models.langs:
-        shared = sample.sparkSession.sparkContext.broadcast(models)
+        halves = sample.sparkSession.sparkContext.broadcast([_of_counts(got[got["part"] != k]) for k in (0, 1)])
 
-        def own(batches):
-            m = shared.value
+        def unseen(batches):
             for batch in batches:
                 for rows, texts in slices(batch, "text", 1_000_000):
-                    names = column_of(rows, "lang").to_pylist()
-                    e, n = m.entropies(texts)
-                    yield records([names, [float(x[m.langs.index(a)]) for x, a in zip(e, names, strict=True)], n], pa.schema([("lang", pa.string()), ("e", pa.float64()), ("n", pa.int64())]))
+                    names, parts = column_of(rows, "lang").to_pylist(), np.array(column_of(rows, "part").to_pylist())
+                    for k, m in enumerate(halves.value):
+                        mine = [i for i in np.flatnonzero(parts == k) if names[i] in m.langs]
+                        e, n = m.entropies([texts[i] for i in mine])
+                        yield records([[names[i] for i in mine], [float(x[m.langs.index(names[i])]) for x, i in zip(e, mine, strict=True)], n], ENTROPIES)
 
-        seen = sample.where(F.col("lang").isin(models.langs)).select("lang", "text").mapInArrow(own, "lang string, e double, n bigint").where("n > 0").toPandas()
+        seen = sample.mapInArrow(unseen, "lang string, e double, n bigint").where("n > 0").toPandas()
         for name, part in seen.groupby("lang"):
             models.calibration[name] = (float(np.average(part["e"], weights=part["n"])), np.inf)
             excess = [models.excess(name, e, n) for e, n in zip(part["e"], part["n"], strict=True)]
@@ -280,6 +287,11 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
     return models
 
 
+def _of_counts(counted) -> LanguageModels:
+    summed = counted.groupby(["lang", "gram"], sort=True, as_index=False)["n"].sum()
+    return LanguageModels({str(name): (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()) for name, part in summed.groupby("lang")})
+
+
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """The language of each row of ``docs`` (doc_id, text), from the whole text alone.
 

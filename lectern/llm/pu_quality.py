@@ -102,14 +102,14 @@ class QualityModel:
         return sigmoid(self.slope * self.margin(x) + self.shift)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.2) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.4) -> float:
     """The share of positives among the unlabelled, from scores of both.
 
     Where a score is typical of positives, the unlabelled are positives nearly alone: the
     ratio of the two tails is the prior or more at every cut, so the least ratio is taken,
     over cuts that leave a fair share of the positives.
     """
-    cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 60))
+    cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 25))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     return float(np.clip((u / p).min(), 0.02, 0.98))
@@ -153,8 +153,9 @@ def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray
     model = QualityModel(edges, np.zeros((len(FEATURES), wide)), 0.0, 0.5)
     if not len(positive) or not len(unlabelled):
         return model
-    fit_risk(model, positive, unlabelled, 0.5, steps=150)
-    model.prior = class_prior(model.margin(positive), model.margin(unlabelled))
+    fit_risk(model, positive[::2], unlabelled[::2], 0.5, steps=150)  # the prior is read off the other halves
+    if len(positive) > 1 and len(unlabelled) > 1:
+        model.prior = class_prior(model.margin(positive[1::2]), model.margin(unlabelled[1::2]))
     fit_risk(model, positive, unlabelled, model.prior)
     if len(negative):
         f = np.concatenate([model.margin(positive), model.margin(negative)])
