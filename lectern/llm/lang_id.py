@@ -228,14 +228,14 @@ class LanguageModels:
         return out
 
 
-def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0) -> LanguageModels:
+def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0) -> LanguageModels:
     """Models of the languages in ``labelled`` (doc_id, text, lang).
 
     Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, so
     the model has a bounded size whatever the table's; beyond ``most_grams`` different
     grams the rarest are left out. Rejection is calibrated on the same texts, each half
     judged by models of the other half: the limit is ``slack`` times the given quantile of
-    their excess. Rows with null ids, texts or
+    their excess, ``least_limit`` at least, so that names or codes in a text reject none. Rows with null ids, texts or
     languages teach nothing; without any row there is no language and all is ``und``.
     """
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
@@ -283,7 +283,7 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
         for name, part in seen.groupby("lang"):
             models.calibration[name] = (float(np.average(part["e"], weights=part["n"])), np.inf)
             excess = [models.excess(name, e, n) for e, n in zip(part["e"], part["n"], strict=True)]
-            models.calibration[name] = (models.calibration[name][0], slack * max(1.0, float(np.quantile(excess, quantile))))
+            models.calibration[name] = (models.calibration[name][0], max(least_limit, slack * float(np.quantile(excess, quantile))))
     return models
 
 
