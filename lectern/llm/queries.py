@@ -71,5 +71,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op6_prefix_forest, op7_url_filter, op8_packing, op9_pu_quality, op10_toxicity)}
 
 
+def _url_sql() -> str:
+    """The verdicts of op7 in SQL: rules by a join, aliases by walking the links."""
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    node = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || regexp_extract({u}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
+    found = lambda tag, kind, part: f"list_transform(list_filter(regexp_extract_all(html, {q(tag)}), lambda t: regexp_matches(t, {q(kind)})), lambda t: regexp_extract(t, {q(part)}, 1))"
+    origin = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
+    folder = f"regexp_replace(CASE WHEN {path('url')} = '' THEN '/' ELSE {path('url')} END, '[^/]*$', '')"
+    rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+    return f"""
+WITH RECURSIVE rules(action, host, path) AS (VALUES {rules}),
+l AS (SELECT url, unnest({found(url_filter.LINK, url_filter.IS_CANONICAL, url_filter.HREF)} || {found(url_filter.META, url_filter.IS_REFRESH, url_filter.TARGET)}) AS raw FROM pages),
+h AS (SELECT url, replace(raw, '&amp;', '&') AS href FROM l WHERE raw <> ''),
+w AS (SELECT {node('url')} AS src, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN {origin} || href ELSE {origin} || {folder} || href END AS whole FROM h),
+e AS (SELECT src, {node('whole')} AS dst FROM w), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT src AS a, dst AS z FROM b UNION SELECT r.a, b.dst FROM reach r JOIN b ON r.z = b.src),
+n AS (SELECT DISTINCT a, z, {host("('http://' || z)")} AS host, {path("('http://' || z)")} AS path FROM reach),
+nr AS (SELECT n.a, arg_max(r.action, length(r.host || r.path)) AS action FROM n JOIN rules r ON (n.host = r.host OR suffix(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.a, n.z),
+bad AS (SELECT DISTINCT a FROM nr WHERE action = 'block'),
+p AS (SELECT row_number() OVER () AS k, page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages),
+own AS (SELECT p.k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.action, length(r.host || r.path)) AS action FROM p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.k)
+SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.action, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN own USING (k) LEFT JOIN bad ON bad.a = p.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": _url_sql()}
