@@ -193,8 +193,9 @@ def cursor_roundtrip(spark, d):
     return coded.withColumn("back", G.decode_cursor(F.col("cursor"), "id bigint, status string")).select("o_orderkey", "cursor", "back.id", "back.status")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'page' ELSE 'old' END AS origin FROM documents WHERE doc_id % 10 = 0 OR doc_id % 4 = 0")
+@query("SELECT doc_id, CASE WHEN n_chars > 3000 THEN 'page' ELSE 'old' END AS origin FROM documents")
 def merge_page(spark, d):
-    rows = table(spark, d, "documents").select("doc_id")
-    page, old = rows.where("doc_id % 10 = 0").withColumn("origin", F.lit("page")), rows.where("doc_id % 4 = 0").withColumn("origin", F.lit("old"))
-    return G.merge_page(page, old, "doc_id")
+    """A page of long documents put before a list of all."""
+    rows = table(spark, d, "documents").select("doc_id", "n_chars")
+    page, old = rows.where("n_chars > 3000").withColumn("origin", F.lit("page")), rows.withColumn("origin", F.lit("old"))
+    return G.merge_page(page, old, "doc_id").drop("n_chars")

@@ -68,10 +68,10 @@ def reindex_outcome(spark, d):
     return table(spark, d, "orders").select("o_orderkey", J.reindex_outcome(status).alias("code"))
 
 
-@query("SELECT doc_id, 'pending' AS status, 0.0::DOUBLE AS progress, 'queued' AS state, 0 AS attempts, md5(doc_id || '/1') AS job_id FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, 'pending' AS status, 0.0::DOUBLE AS progress, 'queued' AS state, 0 AS attempts, md5(doc_id || '/1') AS job_id FROM documents")
 def enqueue_documents(spark, d):
     """One document and one job row for each upload, made from the same row."""
-    return table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", F.lit("pending").alias("status"), F.lit(0.0).alias("progress"), F.lit("queued").alias("state"), F.lit(0).alias("attempts"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/1"))).alias("job_id"))
+    return table(spark, d, "documents").select("doc_id", F.lit("pending").alias("status"), F.lit(0.0).alias("progress"), F.lit("queued").alias("state"), F.lit(0).alias("attempts"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/1"))).alias("job_id"))
 
 
 @query("SELECT label AS document_id, vec_id AS ordinal, 'old' AS version FROM embeddings WHERE label % 3 <> 0 UNION ALL SELECT label, vec_id, 'new' FROM embeddings WHERE label % 3 = 0 AND vec_id % 2 = 0")

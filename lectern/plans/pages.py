@@ -14,7 +14,7 @@ from lectern.sources.tables import table
 SIZE = "CASE WHEN line_no = 0 THEN 14.0 WHEN line_no % 9 = 4 THEN 12.0 ELSE 9.5 END::DOUBLE"
 PRINTED = (
     LINES
-    + f""", p AS (SELECT doc_id, (line_no // 20 + 1)::INT AS page, (line_no % 20)::INT AS position, CASE WHEN line_no % 20 = 0 THEN 'Report  Page ' || (line_no // 20 + 1) ELSE substring(line, 1, 90) END AS text,
+    + f""", p AS (SELECT doc_id, (line_no // 20 + 1)::INT AS page, (line_no % 20)::INT AS position, CASE WHEN line_no % 20 = 0 THEN 'Report  Page ' || (line_no // 20 + 1) ELSE line END AS text,
  (54 + CASE WHEN line_no % 6 = 2 THEN 12 ELSE 0 END)::DOUBLE AS x0, (54 + least(length(line), 90) * 5)::DOUBLE AS x1, (60 + (line_no % 20) * 14 + CASE WHEN line_no % 8 = 5 THEN 3 ELSE 0 END)::DOUBLE AS top, (70 + (line_no % 20) * 14)::DOUBLE AS bottom,
  {SIZE} AS size, line_no % 10 = 9 AS bold, 0 AS "column", 800.0::DOUBLE AS page_height FROM o)"""
 )
@@ -22,7 +22,7 @@ PRINTED = (
 
 def printed(spark, d):
     n = F.col("line_no")
-    text = F.when(n % 20 == 0, F.concat(F.lit("Report  Page "), F.floor(n / 20).cast("int") + 1)).otherwise(F.substring("line", 1, 90))
+    text = F.when(n % 20 == 0, F.concat(F.lit("Report  Page "), F.floor(n / 20).cast("int") + 1)).otherwise(F.col("line"))
     return S.lines(table(spark, d, "documents")).select(
         "doc_id", (F.floor(n / 20) + 1).cast("int").alias("page"), (n % 20).alias("position"), text.alias("text"),
         (54 + F.when(n % 6 == 2, 12).otherwise(0)).cast("double").alias("x0"), (54 + F.least(F.length("line"), F.lit(90)) * 5).cast("double").alias("x1"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -71,7 +72,7 @@ def knn_candidates(spark, d):
 
 
 BATCH = """
-WITH q AS (SELECT vec_id AS question_id, label % 2 AS tenant, embedding AS qe FROM embeddings WHERE vec_id % 25 = 0),
+WITH q AS (SELECT vec_id AS question_id, label % 2 AS tenant, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
 c AS (SELECT question_id, vec_id, label, 1.0 - list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS distance FROM embeddings JOIN q ON label % 2 = tenant),
 n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, label, vec_id) AS n FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id, label ORDER BY distance, vec_id) AS rn FROM n WHERE n <= 48),
@@ -80,7 +81,7 @@ SELECT question_id, rank, label, vec_id, round(1.0 - distance, 6) AS similarity
 
 
 def batch(spark, d):
-    questions = table(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"), (F.col("label") % 2).alias("tenant"), F.col("embedding").alias("qe"))
+    questions = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), (F.col("label") % 2).alias("tenant"), F.col("embedding").alias("qe"))
     return R.retrieve_batch(chunks(spark, d), questions, R.Retrieval(floor=0.1))
 
 
@@ -130,11 +131,12 @@ def scope_narrow(spark, d):
     return table(spark, d, "documents").where("source = 'src3'").select("doc_id").join(asked, "doc_id", "left_semi")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 0")
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]), 6) AS similarity FROM (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL")
 def cosine_pairs(spark, d):
-    e = table(spark, d, "embeddings")
-    a, b = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Each passage with the one before it."""
+    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    pairs = table(spark, d, "embeddings").withColumn("b", before).where("b is not null")
+    return pairs.select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("b")), 6).alias("similarity"))
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -158,7 +160,7 @@ def vector_guard(spark, d):
 
 @query("SELECT doc_id, 64 AS dimension, 1.0::DOUBLE AS norm FROM documents")
 def hash_embedding_norms(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", V.hash_embedding(64)(F.substring("text", 1, 200)).alias("e"))
+    rows = table(spark, d, "documents").select("doc_id", V.hash_embedding(64)(F.col("text")).alias("e"))
     return rows.select("doc_id", F.size("e").alias("dimension"), F.round(V.norm(F.col("e")), 6).alias("norm"))
 
 
@@ -175,9 +177,9 @@ def reassemble_by_index(spark, d):
     return got.select("label", F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"))
 
 
-@query(f"SELECT doc_id, lang, {shortened('text', 200)} AS preview FROM documents WHERE source = 'src1'")
+@query(f"SELECT doc_id, lang, {shortened('text', 200)} AS preview FROM documents")
 def chunk_summary(spark, d):
-    return table(spark, d, "documents").where("source = 'src1'").select("doc_id", "lang", X.shorten(F.col("text"), X.PREVIEW_LENGTH).alias("preview"))
+    return table(spark, d, "documents").select("doc_id", "lang", X.shorten(F.col("text"), X.PREVIEW_LENGTH).alias("preview"))
 
 
 @query("SELECT label, vec_id, lag(vec_id) OVER w AS previous, lead(vec_id) OVER w AS next FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)")

@@ -136,10 +136,10 @@ def heading_label(spark, d):
     return docs(spark, d).select("doc_id", X.heading_label(headed()).alias("label"))
 
 
-@query(f"SELECT doc_id, regexp_replace(lower({collapsed('substring(text, 1, 120)')}), '[0-9]+', '#', 'g') AS key FROM (SELECT doc_id, 'Page ' || doc_id || ' of 12  ' || text AS text FROM documents)")
+@query(f"SELECT doc_id, regexp_replace(lower({collapsed('text')}), '[0-9]+', '#', 'g') AS key FROM (SELECT doc_id, 'Page ' || doc_id || ' of 12  ' || text AS text FROM documents)")
 def repetition_key(spark, d):
     rows = docs(spark, d).select("doc_id", F.concat(F.lit("Page "), F.col("doc_id").cast("string"), F.lit(" of 12  "), F.col("text")).alias("text"))
-    return rows.select("doc_id", X.repetition_key(F.substring("text", 1, 120)).alias("key"))
+    return rows.select("doc_id", X.repetition_key(F.col("text")).alias("key"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
@@ -328,3 +328,29 @@ def page_range(spark, d):
     spans = docs(spark, d).select("doc_id", (F.col("doc_id") * 37 % 1000).alias("start"), (F.col("doc_id") * 37 % 1000 + F.col("doc_id") % 900).alias("end"))
     pages = docs(spark, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k + 1).alias("page"), F.lit(700 * k).alias("page_start")) for k in range(4)])).alias("p")).select("doc_id", "p.*")
     return S.page_range(spans, pages).select("doc_id", "start", "end", "first_page", "last_page")
+
+
+@query("SELECT doc_id, 0::BIGINT AS wrong, md5(text) AS digest FROM documents")
+def sql_chunk_text(spark, d):
+    """Passages through SQL: slices of the text, and the text found again from its blocks."""
+    from lectern.functions.tables import register
+
+    register(spark)
+    docs(spark, d).createOrReplaceTempView("sql_chunk_text_documents")
+    return spark.sql("""
+        SELECT d.doc_id, max(c.wrong) AS wrong, max(b.digest) AS digest
+        FROM (SELECT doc_id, sum(CASE WHEN substring(text, char_start + 1, char_end - char_start) = passage THEN 0 ELSE 1 END) AS wrong
+              FROM sql_chunk_text_documents, LATERAL chunk_text(text, false, 512, 64, 32) GROUP BY doc_id) c
+        JOIN (SELECT doc_id, md5(array_join(transform(array_sort(collect_list(struct(block_no, substring(text, start + 1, `end` - start) AS s))), x -> x.s), '')) AS digest
+              FROM sql_chunk_text_documents, LATERAL parse_blocks(text, false) GROUP BY doc_id) b ON b.doc_id = c.doc_id
+        JOIN sql_chunk_text_documents d ON d.doc_id = c.doc_id GROUP BY d.doc_id""")
+
+
+@query("SELECT doc_id, 64 AS dimension, 1.0::DOUBLE AS norm, md5(text) AS digest FROM documents")
+def embed_documents(spark, d):
+    """Vectors from a service that answers out of order, put back beside their own texts."""
+    from lectern.functions import vectors as V
+    from lectern.sources.services import HashEmbedder, embed
+
+    made = embed(docs(spark, d).select("doc_id", "text"), HashEmbedder(64))
+    return made.select("doc_id", F.size("embedding").alias("dimension"), F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.md5("text").alias("digest"))
