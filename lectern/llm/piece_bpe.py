@@ -28,7 +28,7 @@ class PrefixTable:
     kept in a bounded table with their ids and their decoded form.
     """
 
-    def __init__(self, path: str, most_runs: int = 250_000):
+    def __init__(self, path: str, most_runs: int = 400_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -38,17 +38,22 @@ class PrefixTable:
         self.piece_id = {lib.id_to_piece(i): i for i in plain}
         self.score = {p: lib.get_score(i) for p, i in self.piece_id.items()}
         self.byte_id = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(count) if lib.is_byte(i)}
+        names = [lib.id_to_piece(i) for i in range(count)]
+        self.surface = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(META, " ").encode() for i, p in enumerate(names)]
         self.end_id, self.unknown = lib.eos_id(), lib.unk_id()
         joined = [p for p in self.piece_id if len(p) > 1]
         if any(META in p.lstrip(META) for p in joined):
             raise ValueError("a piece holds a word mark after another character")
         self.inner = {c for p in joined for c in p}
+        self.beside = {p[k : k + 2] for p in joined for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for p in {*self.piece_id, *self.inner}:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         alone = "".join(re.escape(chr(c)) for c in range(1, 128) if chr(c) not in self.inner)
         self.cut = re.compile(f"[{alone}]|{META}*[^{alone}{META}]+|{META}+" if alone else f"{META}*[^{META}]+|{META}+")
+        self.tail = re.compile(r"[^\w" + META + r"]+\Z")
+        self.stems: dict[str, list[int]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.runs: dict[str, tuple[int, str, bytes]] = {}
         self.most_runs = most_runs
@@ -68,24 +73,25 @@ class PrefixTable:
         return symbols
 
     def compatible(self, before: str, token: str) -> bool:
-        """Whether ``before`` and ``token`` stay as they are side by side."""
-        key = (before, token)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            ok = self.fits[key] = self.merged(before + token) == ([before, token] if before else [token])
+        """Whether ``before`` and ``token`` stay as they are side by side; kept for the next time."""
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        ok = self.fits[before, token] = self.merged(before + token) == ([before, token] if before else [token])
         return ok
 
     def tokens(self, run: str) -> list[str]:
-        """The tokens of a run whose characters the automaton knows."""
+        """The tokens of a run whose characters the automaton knows all."""
         last: list = [None] * (len(run) + 1)
         last[0] = ""
+        known = self.fits.get
         for end, token in self.automaton.iter(run):
-            if last[end + 1] is None:
-                before = last[end + 1 - len(token)]
-                if before is not None and self.compatible(before, token):
-                    last[end + 1] = token
+            end += 1
+            if last[end] is None:
+                before = last[end - len(token)]
+                if before is not None:
+                    ok = known((before, token))
+                    if ok or ok is None and self.compatible(before, token):
+                        last[end] = token
         out, at = [], len(run)
         while at:
             out.append(last[at])
@@ -94,16 +100,20 @@ class PrefixTable:
 
     def ids(self, run: str) -> list[int]:
         """Ids of any text; characters outside all longer pieces stand alone."""
-        out: list[int] = []
-        start = 0
-        for k, c in enumerate(run):
-            if c not in self.inner:
-                out += self._as_ids(run[start:k]) + self._one(c)
-                start = k + 1
-        return out + self._as_ids(run[start:])
-
-    def _as_ids(self, run: str) -> list[int]:
-        return [i for t in (self.tokens(run) if run else ()) for i in self._one(t)]
+        parts: list[str] = []
+        if self.inner.issuperset(run):
+            parts = self.tokens(run)
+        else:
+            start = 0
+            for k, c in enumerate(run):
+                if c not in self.inner:
+                    parts += self.tokens(run[start:k])
+                    parts.append(c)
+                    start = k + 1
+            parts += self.tokens(run[start:])
+        if self.piece_id.keys() >= set(parts):
+            return [self.piece_id[t] for t in parts]
+        return [i for t in parts for i in self._one(t)]
 
     def _one(self, token: str) -> list[int]:
         i = self.piece_id.get(token)
@@ -113,11 +123,26 @@ class PrefixTable:
 
     def decoded(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for, word marks as spaces."""
-        byte = self.library.is_byte
-        return b"".join(bytes([int(p[3:5], 16)]) if byte(i) else p.replace(META, " ").encode() for i, p in ((i, self.library.id_to_piece(i)) for i in ids))
+        return b"".join([self.surface[i] for i in ids])
+
+    def _stem(self, run: str) -> list[int]:
+        """Ids of a run, kept for the other runs that begin with it."""
+        ids = self.stems.get(run)
+        if ids is None:
+            ids = self.ids(run)
+            if len(run) <= 64:
+                if len(self.stems) > self.most_runs:
+                    self.stems.clear()
+                self.stems[run] = ids
+        return ids
 
     def _run(self, run: str) -> tuple[int, str, bytes]:
-        ids = self.ids(run)
+        end = self.tail.search(run)
+        if end and end.start() and run[end.start() - 1 : end.start() + 1] not in self.beside:
+            # no piece holds both the word's last sign and the next one, so the cut is certain
+            ids = self._stem(run[: end.start()]) + self._stem(end[0])
+        else:
+            ids = self._stem(run)
         known = (len(ids), " ".join(map(str, ids)), self.decoded(ids))
         if len(run) <= 64:
             if len(self.runs) > self.most_runs:
