@@ -198,7 +198,8 @@ class LanguageModels:
         g = grams(s)[counts]
         of = owner[counts]
         n = np.bincount(of, minlength=len(texts))
-        letters = np.bincount(of, weights=s[counts] != SPACE, minlength=len(texts))
+        sign = s[counts]
+        letters = np.bincount(of, weights=(sign != SPACE) & ((sign < 0x300) | (sign >= 0x370)), minlength=len(texts))
         out = np.zeros((len(texts), len(self.langs)))
         if len(g) and self.langs:
             logs = self.log_probabilities(g)
