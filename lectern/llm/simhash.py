@@ -71,30 +71,45 @@ def covering(positions: int, differing: int, size: int) -> list[tuple[int, ...]]
     return [c for c in combinations(range(positions), size) if len(k := [kind[p] for p in c]) and (len(set(k)) == 1 or any(k.count(a) == 2 and k.count((a + 1) % 3) == 1 for a in range(3)))]
 
 
+def is_near(found: np.ndarray, one: np.uint64, most_bits: int) -> np.ndarray:
+    """Which fingerprints are within ``most_bits`` of one.
+
+    The shared positional bytes are tallied first; what has fewer than any near pair must
+    have is dropped before bits are counted.
+    """
+    differ = found ^ one
+    near = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - most_bits
+    near[near] = np.bitwise_count(differ[near]) <= most_bits
+    return near
+
+
 def bucket_links(found: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     """Links that join what is near in one bucket of distinct fingerprints, a tree per component.
 
-    Searches outwards from one fingerprint at a time; what is reached leaves the rest, so
-    a dense group costs about its size, and no more links come out than fingerprints went in.
-    For each pair compared, the shared positional bytes are tallied first: pairs under the
-    guaranteed number of matches are dropped before the bits are counted.
+    Searches outwards: what is reached leaves the rest, and of the reached and the rest the
+    fewer are taken one at a time against all of the others, so a dense group costs about
+    its size. No more links come out than fingerprints went in.
     """
-    links = []
+    links: list[tuple[int, int]] = []
+    signed = lambda x: int(x.view(np.int64))
     rest = found.view(np.uint64)
-    floor = 8 - most_bits
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
-            at = reached.pop()
-            differ = rest ^ at
-            tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = tally >= floor
-            near[near] = np.bitwise_count(differ[near]) <= most_bits
-            if near.any():
-                new = rest[near]
-                links += [(int(at.view(np.int64)), int(x)) for x in new.view(np.int64)]
-                reached += list(new)
-                rest = rest[~near]
+            if len(reached) <= len(rest):
+                at = reached.pop()
+                near = is_near(rest, at, most_bits)
+                links += [(signed(at), signed(x)) for x in rest[near]]
+            else:
+                from_here, reached = np.array(reached), []
+                near = np.zeros(len(rest), bool)
+                for k, x in enumerate(rest):
+                    ends = is_near(from_here, x, most_bits)
+                    if ends.any():
+                        near[k] = True
+                        links.append((signed(from_here[np.argmax(ends)]), signed(x)))
+            reached += list(rest[near])
+            rest = rest[~near]
     return links
 
 
