@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import column_of, keep_rows, records, slices, unit_hash
 
-FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct_words", "repeated_next", "capital_words", "symbol_words", "bare_words", "repeated_lines", "line_words", "top_word")
+FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct_words", "repeated_next", "capital_words", "symbol_words", "bare_words", "repeated_lines", "line_words", "top_word", "longest_same", "longest_symbols", "longest_capitals", "longest_table")
 FOUND = pa.schema([("kind", pa.int32()), ("values", pa.list_(pa.float32()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 UPPER, DIGIT, SYMBOL, MARK, BLANK, LETTER = 1, 2, 3, 4, 5, 6
@@ -28,6 +28,17 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
+def longest_runs(flags: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The longest run of set flags in each of n texts."""
+    at = np.arange(len(flags))
+    begins = flags.copy()
+    begins[1:] &= ~flags[:-1] | (owner[1:] != owner[:-1])
+    since = at - np.maximum.accumulate(np.where(begins, at, 0)) + 1
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, owner[flags], since[flags])
+    return out
+
+
 def features(texts: list) -> np.ndarray:
     """FEATURES of each text, in rows; an empty text has zeros."""
     n = len(texts)
@@ -70,6 +81,11 @@ def features(texts: list) -> np.ndarray:
         out[:, 13] = top / words
         same = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
         out[:, 7] = np.bincount(owner[1:][same], minlength=n) / words
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        bare = (kinds[tokens] & 4) > 0
+        table = bare | np.concatenate([[False], bare[:-1]]) & ~first
+        for k, flags in ((14, np.concatenate([[False], same])), (15, (kinds[tokens] & 2) > 0), (16, (kinds[tokens] & 1) > 0), (17, table)):
+            out[:, k] = np.log1p(longest_runs(flags, owner, n))
         for k, bit in ((8, 1), (9, 2), (10, 4)):
             out[:, k] = np.bincount(owner, weights=(kinds[tokens] & bit) > 0, minlength=n) / words
     return out
@@ -141,6 +157,13 @@ def fit_risk(model: QualityModel, positive: np.ndarray, unlabelled: np.ndarray,
     model.weights, model.bias = w.reshape(model.weights.shape), float(b)
 
 
+def cell_edges(x: np.ndarray, bins: int) -> np.ndarray:
+    """Edges at quantiles of all values and of those above zero, as many features are zero in most texts."""
+    some = x[x > 0]
+    edges = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1])
+    return np.unique(np.concatenate([edges, np.quantile(some, np.linspace(0, 1, bins // 2 + 1)[:-1])]) if len(some) else edges)
+
+
 def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, bins: int = 12) -> QualityModel:
     """A model from features of trusted positives and unlabelled text; without either, a flat one.
 
@@ -148,7 +171,7 @@ def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray
     score (a slope and a shift).
     """
     both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, len(FEATURES)), np.float32)
-    edges = [np.unique(np.quantile(both[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(len(FEATURES))]
+    edges = [cell_edges(both[:, j], bins) for j in range(len(FEATURES))]
     wide = max(len(e) for e in edges) + 1
     model = QualityModel(edges, np.zeros((len(FEATURES), wide)), 0.0, 0.5)
     if not len(positive) or not len(unlabelled):
