@@ -61,7 +61,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 0.5) -> tuple[np.ndarray, float]:
+def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 2.0) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features scaled by their ratios; weights and bias.
 
     ``decay`` is the strength of the squared penalty on the scaled weights, over all rows.
@@ -83,7 +83,7 @@ def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, s
     return w * ratio, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 14, least_texts: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 13, least_texts: int = 3) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, label) and the texts of ``docs`` (doc_id, text).
 
     Takes at most ``most_rows`` labels, chosen by a hash of the id, with their whole texts;
@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     seen = rows.mapInArrow(tally, "bucket int, with_1 bigint, with_0 bigint").groupBy("bucket").agg(F.sum("with_1").alias("with_1"), F.sum("with_0").alias("with_0"))
     seen = seen.where(F.col("with_1") + F.col("with_0") >= least_texts).withColumn("ratio", F.log(smooth(F.col("with_1"), n1) / smooth(F.col("with_0"), n0)))
     apart = F.abs("ratio") * F.sqrt(F.col("with_1") / F.lit(max(1, n1)) + F.col("with_0") / F.lit(max(1, n0)))
-    best = seen.orderBy(F.round(apart, 9).desc(), "bucket").limit(most_features).select("bucket", "ratio").toPandas().sort_values("bucket")
+    # At most 2 ** BITS rows, brought to one task, so that the driver gets one list of the best and not one from each task.
+    best = seen.withColumn("apart", F.round(apart, 9)).repartition(1).orderBy(F.desc("apart"), "bucket").limit(most_features).select("bucket", "ratio").toPandas().sort_values("bucket")
     table = np.full(1 << BITS, -1, np.int32)
     table[best["bucket"].to_numpy()] = np.arange(len(best))
     shared = spark.sparkContext.broadcast(table)
