@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,41 +31,39 @@ def differencing(sizes, windows: int) -> list[list[int]]:
     """
     if not len(sizes):
         return [[] for _ in range(windows)]
-    # A filled window is a node: an item (its index) or a pair of nodes.
-    left: list[int] = []
-    right: list[int] = []
-    n = len(sizes)
-    heap = [(-int(s), i, np.array([s], np.int64), np.array([i], np.int64)) for i, s in enumerate(sizes)]
+    # A filled window is one number: its sum, then its node - an item (its index) or a pair of nodes.
+    pairs: list[np.ndarray] = []
+    n = made = len(sizes)
+    heap = [(-int(s), i, np.array([int(s) << 32 | i], np.int64)) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     turn = n
     while len(heap) > 1:
-        _, _, a, nodes_a = heapq.heappop(heap)
-        _, _, b, nodes_b = heapq.heappop(heap)
-        over = max(0, len(a) + len(b) - windows)
-        if over:
-            # Windows len(a)-over.. of a meet the emptiest of b in opposite order.
-            sums = a[len(a) - over :] + b[len(b) - over :][::-1]
-            made = np.arange(n + len(left), n + len(left) + over)
-            left.extend(nodes_a[len(a) - over :].tolist())
-            right.extend(nodes_b[len(b) - over :][::-1].tolist())
-            sums = np.concatenate([a[: len(a) - over], b[: len(b) - over], sums])
-            nodes = np.concatenate([nodes_a[: len(a) - over], nodes_b[: len(b) - over], made])
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        over = len(a) + len(b) - windows
+        if over > 0:
+            # The emptiest windows of a meet the emptiest of b in opposite order.
+            x, y = a[len(a) - over :], b[len(b) - over :][::-1]
+            pairs.append(np.column_stack([x, y]) & 0xFFFFFFFF)
+            joined = ((x >> 32) + (y >> 32)) << 32 | np.arange(made, made + over)
+            made += over
+            both = np.concatenate([a[: len(a) - over], b[: len(b) - over], joined])
         else:
-            sums, nodes = np.concatenate([a, b]), np.concatenate([nodes_a, nodes_b])
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        spread = int(sums[0]) - (int(sums[-1]) if len(sums) == windows else 0)
-        heapq.heappush(heap, (-spread, turn, sums, nodes))
+            both = np.concatenate([a, b])
+        both.sort()
+        both = both[::-1]
+        spread = int(both[0] >> 32) - (int(both[-1] >> 32) if len(both) == windows else 0)
+        heapq.heappush(heap, (-spread, turn, both))
         turn += 1
+    nodes = np.concatenate(pairs).tolist() if pairs else []
     out: list[list[int]] = []
-    for top in heap[0][3].tolist():
+    for top in (heap[0][2] & 0xFFFFFFFF).tolist():
         items, stack = [], [top]
         while stack:
             x = stack.pop()
             if x < n:
                 items.append(x)
             else:
-                stack += [right[x - n], left[x - n]]
+                stack += nodes[x - n]
         out.append(items)
     return out + [[] for _ in range(windows - len(out))]
 
@@ -73,7 +72,7 @@ def windows_for(sizes, capacity: int) -> list[list[int]]:
     """Near-equal windows none of which exceeds the capacity.
 
     Starts at the least count the total allows; the count rises while a window is over
-    capacity. Every size must be within the capacity.
+    capacity, by one or by a quarter of a hundredth. Every size must be within the capacity.
     """
     total = int(sum(sizes))
     count = max(1, -(-total // capacity)) if len(sizes) else 0
@@ -81,7 +80,7 @@ def windows_for(sizes, capacity: int) -> list[list[int]]:
         made = differencing(sizes, count)
         if all(sum(sizes[i] for i in w) <= capacity for w in made):
             return [w for w in made if w]
-        count += 1
+        count += max(1, count // 400)
     return []
 
 
@@ -115,27 +114,33 @@ PLAIN = re.compile("[\\x00-&(-\\x7e\u00df-\u00f6\u00f8-\u00ff]*")
 RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^ \\t\\n\\v\\f\\ra-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+GAPS = str.maketrans("\t\n\v\f\r", "     ")
+
+
 class WordTokens:
-    """Token ids of texts, as little-endian bytes, through bounded tables of runs.
+    """Token ids of texts, as little-endian bytes, through bounded tables of words and runs.
 
     White space always ends a token of this tokenizer, and in plain text without
     apostrophes so does the change from letters to other signs and back; it lowers case
-    itself. A text's ids are thus those of its runs in turn. What the table lacks goes to
-    the library in one batch. Other texts are cut at spaces and line feeds only.
+    itself. A word's ids are thus those of its runs, and a text's those of its words in
+    turn. Words are numbered batch by batch, so each is looked up once a batch. What the
+    tables lack goes to the library at once. Other texts are cut at spaces and line feeds
+    only and their words taken as they are.
     """
 
-    def __init__(self, path: str, end_id: int, most_runs: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, end_id: int, most_words: int = 600_000, most_runs: int = 1_000_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.runs: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
         self.word_end = np.zeros(self.library.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         # A special token's name counts as such only in the text as it is.
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most_runs, self.longest = most_runs, longest
+        self.most_words, self.most_runs, self.longest = most_words, most_runs, longest
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -149,42 +154,75 @@ class WordTokens:
         flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [flat[a:b] for a, b in zip(at, at[1:])]
 
-    def _cut(self, text: str) -> list[str]:
-        low = text.lower()
-        if PLAIN.fullmatch(low) and not ("|>" in text and any(t in text for t in self.special)):
-            return RUNS.findall(low)
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
+        """Put plain words into the table."""
         if len(self.runs) > self.most_runs:
-            self.runs = {"": b""}
-        cut = [self._cut(t or "") for t in texts]
-        known = self.runs
-        coded = [list(map(known.get, runs)) for runs in cut]
-        holes: list[tuple[list, int, str]] = []
-        for runs, ids in zip(cut, coded, strict=True):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                holes.append((ids, at, runs[at]))
-        unseen = list({h[2] for h in holes})
-        letters = [r for r in unseen if r.isalpha() and PLAIN.fullmatch(r)]
+            self.runs.clear()
+        runs = self.runs
+        cut = [RUNS.findall(w) for w in words]
+        new = list({r for c in cut for r in c if r not in runs})
+        letters = [r for r in new if r.isalpha()]
         for k in range(0, len(letters), 10_000):
-            known.update(zip(letters[k : k + 10_000], self._letters(letters[k : k + 10_000]), strict=True))
-        other = [r for r in unseen if r not in known]
-        known.update(zip(other, self._ids(other), strict=True))
-        for ids, at, run in holes:
-            ids[at] = known[run]
-        out = [b"".join(ids) + self.end for ids in coded]
-        for r in unseen:
+            runs.update(zip(letters[k : k + 10_000], self._letters(letters[k : k + 10_000]), strict=True))
+        other = [r for r in new if r not in runs]
+        runs.update(zip(other, self._ids(other), strict=True))
+        self.words.update((w, b"".join([runs[r] for r in c])) for w, c in zip(words, cut, strict=True))
+        for r in new:
             if len(r) > self.longest:
-                del known[r]
+                del runs[r]
+
+    def _join(self, texts: list[str], learn, table: dict[str, bytes]) -> list[bytes]:
+        """Ids of texts cut at spaces, by a table of words and what learns the words it lacks."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        unseen = [w for w in words if w not in table]
+        learn(unseen)
+        ids = [table[w] for w in words]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        own = sizes[numbers]
+        before = np.concatenate([[0], np.cumsum(own)])
+        out = flat[np.repeat(first[numbers] - before[:-1], own) + np.arange(before[-1])]
+        ends = before[parts.offsets.to_numpy()]
+        for w in unseen:
+            if len(w) > self.longest:
+                del table[w]
+        return [out[a:b].tobytes() + self.end for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+    def _learn_raw(self, words: list[str], table: dict[str, bytes]) -> None:
+        table.update(zip(words, self._ids(words), strict=True))
+
+    def encode(self, texts: list) -> list[bytes]:
+        if len(self.words) > self.most_words:
+            self.words = {"": b""}
+        plain, raw = {}, {}
+        for i, t in enumerate(texts):
+            low = (t or "").lower()
+            if PLAIN.fullmatch(low) and not ("|>" in low and any(x in t for x in self.special)):
+                plain[i] = low.translate(GAPS) if "\t" in low or "\r" in low or "\v" in low or "\f" in low else low.replace("\n", " ")
+            else:
+                raw[i] = t.replace("\n", " ")
+        out: list = [b""] * len(texts)
+        others: dict[str, bytes] = {"": b""}
+        for group, learn, table in ((plain, self._learn, self.words), (raw, lambda w: self._learn_raw(w, others), others)):
+            if group:
+                for i, ids in zip(group, self._join(list(group.values()), learn, table), strict=True):
+                    out[i] = ids
         return out
 
 
 _loaded: dict[tuple, WordTokens] = {}
 
 
+def loaded(path: str, end_id: int) -> WordTokens:
+    """The worker's own tables, kept from task to task."""
+    if (path, end_id) not in _loaded:
+        _loaded[path, end_id] = WordTokens(path, end_id)
+    return _loaded[path, end_id]
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, longest_piece: int = 512, chunk_tokens: int = 2_000_000) -> DataFrame:
     """Cut and pack all documents (doc_id, text) into sequences of at most ``capacity`` ids.
 
@@ -197,9 +235,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     """
 
     def run(batches):
-        key = (tokenizer, end_id)
-        if key not in _loaded:
-            _loaded[key] = WordTokens(tokenizer, end_id)
+        tokens = loaded(tokenizer, end_id)
         part, made = TaskContext.get().partitionId(), 0
         ids: list = []
         coded: list[bytes] = []
@@ -228,7 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
         for batch in batches:
             for rows, texts in slices(batch, "text", 2_000_000):
-                for doc_id, c in zip(column_of(rows, "doc_id").to_pylist(), _loaded[key].encode(texts), strict=True):
+                for doc_id, c in zip(column_of(rows, "doc_id").to_pylist(), tokens.encode(texts), strict=True):
                     ids.append(doc_id)
                     coded.append(c)
                     size += len(c) // 4
