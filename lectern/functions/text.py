@@ -50,6 +50,10 @@ def title(c: Column) -> Column:
     return F.substring(collapse(c), 1, TITLE_LENGTH)
 
 
+def cut_question(c: Column, most: int = 128_000) -> Column:
+    return F.substring(c, 1, most)
+
+
 def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 

@@ -125,6 +125,13 @@ def order_violations(events: DataFrame, by: tuple) -> DataFrame:
     return marked.groupBy(*by).agg((F.sum("bad") + F.when(F.sum("ends") == 1, 0).otherwise(1)).alias("violations"))
 
 
+def heartbeats(events: DataFrame, by: str, at: str, then: str, every: int = 15) -> DataFrame:
+    """How many comment frames keep each stream open: one for every ``every`` idle seconds between its events, in order of ``at`` and ``then``."""
+    before = F.lag(at).over(Window.partitionBy(by).orderBy(at, then))
+    idle = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
+    return events.withColumn("pings", F.coalesce(F.floor(idle / (every * 1_000_000)), F.lit(0)).cast("long"))
+
+
 def fold(events: DataFrame, by: tuple) -> DataFrame:
     """The state a reader ends in: phase and text; a stream without an end is an error."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "event", "data")))

@@ -199,3 +199,9 @@ def merge_page(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
     page, old = rows.where("n_chars > 3000").withColumn("origin", F.lit("page")), rows.withColumn("origin", F.lit("old"))
     return G.merge_page(page, old, "doc_id").drop("n_chars")
+
+
+@query("SELECT event_id, coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 15000000.0), 0)::BIGINT AS pings FROM events")
+def heartbeat_frames(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return C.heartbeats(rows, "user_id", "ts", "event_id").select("event_id", "pings")

@@ -116,3 +116,29 @@ def error_taxonomy(spark, d):
 def ingest_errors(spark, d):
     k = F.col("doc_id")
     return table(spark, d, "documents").select("doc_id", U.ingest_error(k % 11, k % 7 != 0, k % 5 == 0, k % 600, k % 40, k % 2 == 0).alias("error"))
+
+
+POLICY = ", ".join(f"('{side}', {code})" for side, codes in U.RETRIED.items() for code in codes)
+
+
+@query(f"SELECT e.event_id, count(p.side)::BIGINT AS sides FROM (SELECT event_id, (400 + event_id % 130)::INT AS status FROM events) e LEFT JOIN (VALUES {POLICY}) p(side, status) USING (status) GROUP BY e.event_id")
+def retry_policy(spark, d):
+    """On how many sides a status is tried again."""
+    policy = spark.createDataFrame([(side, code) for side, codes in U.RETRIED.items() for code in codes], "side string, status int")
+    seen = table(spark, d, "events").select("event_id", (400 + F.col("event_id") % 130).cast("int").alias("status"))
+    return seen.join(policy, "status", "left").groupBy("event_id").agg(F.count("side").alias("sides"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 4 = 2")
+def ready_documents(spark, d):
+    """Documents that can be asked about: those whose status is ready, here the third of four in turn."""
+    status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "ready", "failed"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").withColumn("status", status).where("status = 'ready'").select("doc_id", "source")
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS is_pdf FROM pages")
+def pdf_magic(spark, d):
+    """The parser's own test of a PDF: the mark at the start, white space aside."""
+    k = F.col("page_id") % 3
+    content = F.when(k == 0, F.concat(F.lit(" \n%PDF-1.7"), F.col("html"))).when(k == 1, F.concat(F.lit("x %PDF-1.7"), F.col("html"))).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", U.starts_as_pdf(content.cast("binary")).alias("is_pdf"))

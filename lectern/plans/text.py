@@ -354,3 +354,29 @@ def embed_documents(spark, d):
 
     made = embed(docs(spark, d).select("doc_id", "text"), HashEmbedder(64))
     return made.select("doc_id", F.size("embedding").alias("dimension"), F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, source || ' ' || lang AS first FROM documents")
+def md_front_matter(spark, d):
+    """The first block after the front matter; one that does not end is text."""
+    text = F.concat(F.lit("---\ntitle: x\n"), F.when(F.col("doc_id") % 2 == 0, "---\n").otherwise("...\n"), F.col("source"), F.lit(" "), F.col("lang"), F.lit("\n\n"), F.col("text"))
+    made = docs(spark, d).select("doc_id", text.alias("text"))
+    first = P.parse_blocks(made, True).where("block_no = 0").select("doc_id", "start", "end")
+    return made.join(first, "doc_id").select("doc_id", F.expr("substring(text, start + 1, `end` - start)").alias("first"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def chunk_offset_invariant(spark, d):
+    """Texts put together again from the slices that their passages' offsets name, and from what lies between."""
+    made = P.chunk(docs(spark, d), how=P.Chunking(128, 0, 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("spans"))
+    rows = docs(spark, d).select("doc_id", "text").join(made, F.col("doc_id") == F.col("document_id"))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
+    step = lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, x["char_end"] - acc["at"])).alias("t"), x["char_end"].alias("at"))
+    whole = F.aggregate("spans", start, step)
+    return rows.select("doc_id", F.concat(whole["t"], F.substring(F.col("text"), whole["at"] + 1, F.length("text"))).alias("text"))
+
+
+@query("SELECT doc_id, substring(text, 1, 2000) AS question FROM (SELECT doc_id, text FROM documents)")
+def truncate_question(spark, d):
+    """Questions are cut hard at a number of characters."""
+    return docs(spark, d).select("doc_id", X.cut_question(F.col("text"), 2000).alias("question"))

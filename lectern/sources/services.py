@@ -15,7 +15,7 @@ from lectern.operators.jobs import LEAST_BATCH, MOST_BATCH, STEPS
 from lectern.operators.uploads import RETRIED
 
 DELAYS, JITTER = (1.0, 2.0, 4.0, 8.0), 0.25
-MOST_TOKENS, MOST_QUESTION_CHARS = 32_000, 128_000
+MOST_TOKENS = 32_000
 
 
 class Embedder(Protocol):
