@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +97,22 @@ SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.action, CASE WHEN bad.a
 FROM p LEFT JOIN own USING (k) LEFT JOIN bad ON bad.a = p.node"""
 
 
+def _repetition_sql() -> str:
+    """The counts of op5 in SQL: repeated runs of n words or more are the union of repeated windows of n words."""
+    word = "[^\\x20\\x09-\\x0D]"
+    window = lambda n: f"SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, hash(a[i:i + {n - 1}])) AS c FROM (SELECT k, a, unnest(range(1, len(a) - {n - 2})) AS i FROM w WHERE len(a) >= {n})) WHERE c > 1"
+    covered = lambda n: f"SELECT k, count(DISTINCT i + j)::BIGINT AS n FROM ({window(n)}) CROSS JOIN range({n}) t(j) GROUP BY k"
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS a FROM documents),
+l AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
+r AS ({covered(5)}), c AS ({covered(10)}), g AS (SELECT DISTINCT k FROM ({window(51)})),
+b AS (SELECT w.k, doc_id, len(a)::BIGINT AS n_words, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+      coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS n_covered, g.k IS NOT NULL AS long_repeat
+      FROM w JOIN l USING (k) LEFT JOIN r USING (k) LEFT JOIN c USING (k) LEFT JOIN g USING (k)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed, NOT base_failed AND n_covered <= 0.2 * n_words AND NOT long_repeat AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _url_sql()}
+    return {"op5_repetition": _repetition_sql(), "op7_url_filter": _url_sql()}
