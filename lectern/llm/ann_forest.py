@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import durable
+
 BITS = 32
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -106,7 +108,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, trees: int = 160, shar
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), is_query.alias("is_query"))
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"))
     sizes = sizes.select("dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("q") / block_rows)).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes.limit(10_000)), "dim")
+    sizes = durable(sizes)
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "dim")
     key = F.xxhash64("vec_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     shards = rows.withColumn("shard", F.pmod(key, "shards").cast("int")).select("dim", "shard", every("blocks").alias("block"), "vec_id", "embedding")

@@ -229,7 +229,7 @@ class LanguageModels:
         return out
 
 
-def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0) -> LanguageModels:
+def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0, most_languages: int = 1000) -> LanguageModels:
     """Models of the languages in ``labelled`` (doc_id, text, lang).
 
     Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, so
@@ -241,6 +241,8 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
     """
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"{len(sizes)} languages, {most_languages} at most")
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & (unit_hash(F.col("doc_id"), "language") < min(1.0, most_rows / n)))
