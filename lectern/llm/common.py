@@ -25,8 +25,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -80,6 +79,6 @@ def keep_rows(docs: DataFrame, decide, most_chars: int = 1_000_000) -> DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one named in ``spark.checkpoint.dir``, else a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, named in ``spark.checkpoint.dir``; else a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return named or tempfile.mkdtemp(prefix="lectern-shared-")
