@@ -14,6 +14,7 @@ from lectern.llm.common import column_of, durable, records, slices
 from lectern.llm.components import connected_components
 
 SEED = 42
+NAMELESS = 1 << 62
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
@@ -114,7 +115,7 @@ def bucket_links(found: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
 
 
 def near_links(distinct: DataFrame, most_bits: int = 4, small: int = 1 << 23) -> DataFrame:
-    """Links (src, dst) among the distinct fingerprints (fp) that differ in few bits.
+    """Links (src, dst) between the nodes of distinct fingerprints (fp, node) that differ in few bits.
 
     The links have the same components as all pairs within ``most_bits``. Two such
     fingerprints differ in at most four of eight bytes, so they agree on one of a covering
@@ -130,21 +131,23 @@ def near_links(distinct: DataFrame, most_bits: int = 4, small: int = 1 << 23) ->
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)]))
     spark = distinct.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // 2_000_000)
-    listed = distinct.select("fp", keys.alias("k")).select("fp", "k.set", "k.bytes").repartition(parts, "set", "bytes")
+    listed = distinct.select("fp", "node", keys.alias("k")).select("fp", "node", "k.set", "k.bytes").repartition(parts, "set", "bytes")
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         all_rows = pa.Table.from_batches(got)
-        fp, which, key = (all_rows.column(c).to_numpy() for c in ("fp", "set", "bytes"))
+        fp, node, which, key = (all_rows.column(c).to_numpy() for c in ("fp", "node", "set", "bytes"))
         order = np.lexsort((fp, key, which))
-        fp, which, key = fp[order], which[order], key[order]
+        fp, node, which, key = fp[order], node[order], which[order], key[order]
         new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (key[1:] != key[:-1])]))
         ends = np.append(new[1:], len(fp))
         links: list = []
         for a, b in zip(new[ends - new > 1].tolist(), ends[ends - new > 1].tolist(), strict=True):
-            links += bucket_links(fp[a:b], most_bits)
+            if found := bucket_links(fp[a:b], most_bits):
+                name = dict(zip(fp[a:b].tolist(), node[a:b].tolist(), strict=True))
+                links += [(name[x], name[y]) for x, y in found]
             if len(links) > 100_000:
                 yield records([[x[0] for x in links], [x[1] for x in links]], LINKS)
                 links = []
@@ -162,13 +165,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     Equal fingerprints are brought to one row before any comparison, so exact copies,
     however many, cost nothing further; repeated rows stay. An empty table gives an empty
     result; other columns are ignored.
+
+    A fingerprint's node is the smallest id that has it, so a component's smallest node is
+    its id. Fingerprints of rows without ids get nodes above all ids, which are below 2^62;
+    two may share one only if they differ in the two lowest bits, hence are linked.
     """
     prints = durable(fingerprints(docs, width))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = connected_components(near_links(distinct.select("fp"), most_bits))
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = named.select("fp", "component").join(first, "component").select("fp", "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = durable(distinct.select("fp", F.coalesce("first_id", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)).alias("node")))
+    linked = connected_components(near_links(distinct, most_bits))
+    named = distinct.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    of_print = named.select("fp", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
