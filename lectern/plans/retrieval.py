@@ -13,7 +13,7 @@ from lectern.operators import paging as G
 from lectern.operators import retrieval as R
 from lectern.plans.registry import query
 from lectern.plans.text import shortened
-from lectern.sources.tables import table
+from lectern.sources.tables import spread, table
 
 
 def chunks(spark, d):
@@ -198,7 +198,7 @@ DF = "SELECT term, count(*)::BIGINT AS df FROM (SELECT DISTINCT doc_id, unnest(r
 
 @query(DF)
 def bm25_df(spark, d):
-    return L.document_frequency(table(spark, d, "documents").select("doc_id", "text"))
+    return L.document_frequency(texts(spark, d))
 
 
 SCORES = f"""
@@ -212,13 +212,17 @@ b AS (SELECT q.item_id, f.doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM b)"""
 
 
+def texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def cases(spark, d):
     return table(spark, d, "benchmark").select("item_id", "text")
 
 
 @query(SCORES + " SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    best = L.best_lexical(table(spark, d, "documents").select("doc_id", "text"), cases(spark, d).withColumnRenamed("item_id", "question_id"), 5)
+    best = L.best_lexical(texts(spark, d), cases(spark, d).withColumnRenamed("item_id", "question_id"), 5)
     return best.select(F.col("question_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -229,11 +233,11 @@ RANKS = f"SELECT i.item_id, count(h.doc_id)::BIGINT AS containing, min(r.rank) A
 
 @query(HELD)
 def quality_containment(spark, d):
-    return L.containment(table(spark, d, "documents"), cases(spark, d))
+    return L.containment(texts(spark, d), cases(spark, d))
 
 
 def ranks(spark, d):
-    return L.quality_ranks(table(spark, d, "documents").select("doc_id", "text"), cases(spark, d))
+    return L.quality_ranks(texts(spark, d), cases(spark, d))
 
 
 @query(SCORES + f", h AS ({HELD}) " + RANKS)

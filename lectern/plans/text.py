@@ -9,7 +9,7 @@ from lectern.operators import passages as P
 from lectern.operators import structure as S
 from lectern.operators import uploads as U
 from lectern.plans.registry import query
-from lectern.sources.tables import table
+from lectern.sources.tables import spread, table
 
 WS = X.WS
 
@@ -18,6 +18,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def wide(spark, d):
+    """The documents for what costs more than their scan."""
+    return spread(docs(spark, d).select("doc_id", "text"))
+
+
 def collapsed(c: str) -> str:
     return f"trim(regexp_replace({c}, '[{WS}]+', ' ', 'g'))"
 
@@ -231,7 +236,7 @@ def parse_dispatch(spark, d):
 @query("SELECT doc_id, 0 AS violations FROM documents")
 def truncate_tokens(spark, d):
     """Truncated texts that are no prefix, or too long, or cut though they fit; predicted to be none."""
-    rows = docs(spark, d).select("doc_id", "text", P.truncated(100)(F.col("text")).alias("cut"))
+    rows = wide(spark, d).select("doc_id", "text", P.truncated(100)(F.col("text")).alias("cut"))
     n = X.token_count(F.col("text"))
     bad = ~F.col("text").startswith(F.col("cut")) | (X.token_count(F.col("cut")) > 100) | ((n <= 100) & (F.col("cut") != F.col("text")))
     return rows.select("doc_id", bad.cast("int").alias("violations"))
@@ -240,7 +245,7 @@ def truncate_tokens(spark, d):
 @query(f"SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g'))::BIGINT AS solid FROM documents")
 def sentence_spans(spark, d):
     """Non-blank characters in sentences: as many as in the text, so spans are disjoint and lose none."""
-    rows = P.sentence_table(docs(spark, d)).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    rows = P.sentence_table(wide(spark, d)).join(docs(spark, d).select("doc_id", "text"), "doc_id")
     body = F.expr("substring(text, start + 1, end - start)")
     return rows.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(body, f"[{WS}]+", ""))).alias("solid"))
 
@@ -272,7 +277,7 @@ def heading_path(spark, d):
 @query("SELECT doc_id, 0::BIGINT AS wrong_slices, 0::BIGINT AS wrong_counts, 0::BIGINT AS empty FROM documents")
 def chunk_documents(spark, d):
     """Passages that are no slice of their text, miscounted or empty: none in any document."""
-    made = P.chunk(docs(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
+    made = P.chunk(wide(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
     piece = F.expr("substring(whole, char_start + 1, char_end - char_start)")
     return made.groupBy(F.col("document_id").alias("doc_id")).agg(
         F.count_if(piece != F.col("text")).alias("wrong_slices"), F.count_if(X.token_count(F.col("text")) != F.col("token_count")).alias("wrong_counts"), F.count_if(X.strip(F.col("text")) == "").alias("empty")
@@ -281,7 +286,7 @@ def chunk_documents(spark, d):
 
 @query("SELECT doc_id, 0::BIGINT AS first, 0::BIGINT AS gaps FROM documents")
 def chunk_ordinals_dense(spark, d):
-    made = P.chunk(docs(spark, d)).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("ordinal").cast("long").alias("first"), (F.max("ordinal") + 1 - F.count("*")).alias("gaps"))
+    made = P.chunk(wide(spark, d)).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("ordinal").cast("long").alias("first"), (F.max("ordinal") + 1 - F.count("*")).alias("gaps"))
     return made
 
 
@@ -290,7 +295,7 @@ def chunk_coverage(spark, d):
     """Non-blank characters of all passages, shared ones counted once: those of the text."""
     from pyspark.sql import Window
 
-    made = P.chunk(docs(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
+    made = P.chunk(wide(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
     seen = F.coalesce(F.max("char_end").over(Window.partitionBy("document_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.col("char_start"), seen)
     made = made.withColumn("fresh", fresh).withColumn("part", F.expr("substring(whole, fresh + 1, greatest(0, char_end - fresh))"))
@@ -302,7 +307,7 @@ def chunk_overlap(spark, d):
     """Neighbours that share more tokens than the overlap allows: none."""
     from pyspark.sql import Window
 
-    made = P.chunk(docs(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
+    made = P.chunk(wide(spark, d)).join(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole")), "document_id")
     made = made.withColumn("before", F.lag("char_end").over(Window.partitionBy("document_id").orderBy("ordinal")))
     shared = X.token_count(F.expr("substring(whole, char_start + 1, greatest(0, before - char_start))"))
     return made.groupBy(F.col("document_id").alias("doc_id")).agg(F.count_if(F.coalesce(shared > 64, F.lit(False))).alias("too_much"))
@@ -311,7 +316,7 @@ def chunk_overlap(spark, d):
 @query(f"SELECT doc_id, (CASE WHEN {tokens('text')} < 32 THEN 1 ELSE 0 END)::BIGINT AS short FROM documents")
 def chunk_min_tokens(spark, d):
     """Passages under the least size: only the one of a document that is so short itself."""
-    made = P.chunk(docs(spark, d))
+    made = P.chunk(wide(spark, d))
     return made.groupBy(F.col("document_id").alias("doc_id")).agg(F.count_if(F.col("token_count") < 32).alias("short"))
 
 

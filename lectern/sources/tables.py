@@ -9,3 +9,12 @@ from lectern.session import ship
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer partitions than those; a large table is left as it is.
+
+    A small file is often one row group, which one task would read and compute alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
