@@ -29,8 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_first(docs)
+    """One document of each group of near duplicates: fingerprints within 4 bits, or shingles of five words similar by 0.8 or more."""
+    return simhash.keep_first(docs, similar_width=5, least=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

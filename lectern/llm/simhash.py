@@ -16,6 +16,7 @@ from lectern.llm.components import connected_components
 SEED = 42
 NAMELESS = 1 << 62
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -179,16 +180,93 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The MinHash bands of a set of 64-bit hashes: a key (as int64) of ``rows`` minima for each of ``bands``."""
+    rnd = np.random.default_rng(SEED)
+    flip, odd = rnd.integers(0, 1 << 64, (2, bands * rows, 1), np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 1 << 12):
+        np.minimum(least, ((h[None, k : k + (1 << 12)] ^ flip) * (odd | np.uint64(1))).min(axis=1), out=least)
+    minima = least.reshape(bands, rows)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), b) for b, m in enumerate(minima)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, each an array of distinct values."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+    """Links (src, dst) between rows of ``docs`` (doc_id, text) whose sets of shingles are similar.
+
+    The links have the components of all pairs with a Jaccard similarity of ``least`` or
+    more over shingles of ``width`` words that share a MinHash band; a pair at 0.8 misses
+    all 40 bands of 5 with a chance of 1.3e-7. Every link is verified on the two whole
+    texts. Equal sets become one first. Each list of a band is first compared with its
+    smallest node; then only what that left in different components is paired, so that a
+    dense group costs about its size. Texts without a word have no shingle and no link.
+    """
+
+    def sign(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "text", 4_000_000):
+                sets = [np.unique(fingerprint_sums(t, width)) for t in texts]
+                some = np.array([len(h) > 0 for h in sets], bool)
+                sets = [h for h in sets if len(h)]
+                digests = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                yield records([column_of(part, "doc_id").filter(pa.array(some)), digests, [len(h) for h in sets], [band_keys(h, bands, rows) for h in sets]], SIGNED)
+
+    def verify(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "text", 4_000_000):
+                others = column_of(part, "other").to_pylist()
+                seen: dict = {}
+                sets = lambda t: seen[t] if t in seen else seen.setdefault(t, np.unique(fingerprint_sums(t, width)))
+                near = pa.array([jaccard(sets(a), sets(b)) >= least for a, b in zip(texts, others, strict=True)], pa.bool_())
+                yield records([column_of(part, "src").filter(near), column_of(part, "dst").filter(near)], LINKS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+        whole = docs.join(needed, "doc_id", "left_semi").distinct()
+        both = pairs.join(whole.select(F.col("doc_id").alias("src"), "text"), "src").join(whole.select(F.col("doc_id").alias("dst"), F.col("text").alias("other")), "dst")
+        return durable(both.select("src", "dst", "text", "other").mapInArrow(verify, "src bigint, dst bigint").distinct())
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = durable(docs.mapInArrow(sign, "doc_id bigint, digest bigint, size int, bands array<bigint>"))
+    one = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    equal = signed.select("doc_id", "digest").join(one.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
+    listed = one.select("node", "size", F.explode("bands").alias("band"))
+    # (band, first node and its size, node, size) where a list has two nodes or more
+    first = F.min(F.struct("node", "size")).over(Window.partitionBy("band"))
+    listed = durable(listed.withColumns({"first": first, "n": F.count("*").over(Window.partitionBy("band"))}).where("n > 1").drop("n"))
+    alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b)
+    stars = durable(listed.where((F.col("node") != F.col("first.node")) & alike(F.col("size"), F.col("first.size"))).select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct())
+    found = verified(stars)
+    placed = listed.select("band", "node", "size").join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    over = Window.partitionBy("band")
+    open_lists = durable(placed.where("band is not null").withColumns({"a": F.min("component").over(over), "z": F.max("component").over(over)}).where("a <> z").drop("a", "z"))
+    left, right = (open_lists.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "component")]) for side in ("a", "b"))
+    rest = left.join(right, "band").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & alike(F.col("size_a"), F.col("size_b")))
+    rest = rest.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
+    return equal.unionByName(found).unionByName(verified(durable(rest)))
+
+
+def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4, similar_width: int = 5, least: float | None = None) -> DataFrame:
     """One row of each group of near duplicates in ``docs``, all columns.
 
-    The row with the smallest doc_id stays, one of them if the id is repeated. A row
+    Rows are linked whose fingerprints are (``near_duplicates``) and, given ``least``, those
+    whose sets of shingles of ``similar_width`` words have that Jaccard similarity or more
+    (``similar_links``), as few bits miss most of these. The row with the smallest doc_id stays, one of them if the id is repeated. A row
     without an id goes under a negative number made of its content, so that it is grouped
     like any other and equal rows are one.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64(F.struct(*docs.columns)), 1)) - 1)
     keyed = docs.withColumn("__key", own)
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width, most_bits)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
+    texts = keyed.select(F.col("__key").alias("doc_id"), "text")
+    linked = durable(near_duplicates(texts, width, most_bits).select(F.col("component_id").alias("src"), F.col("doc_id").alias("dst")))
+    links = linked if least is None else linked.unionByName(similar_links(texts, similar_width, least))
+    later = connected_components(links).where("node <> component")
+    first = linked.select(F.col("dst").alias("__key")).join(later.select(F.col("node").alias("__key")), "__key", "left_anti")
     one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     return keyed.join(first, "__key", "left_semi").withColumn("__row", one).where("__row = 1").select(*docs.columns)

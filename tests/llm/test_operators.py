@@ -104,6 +104,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == sorted({c for c in want.values()})
 
 
+def test_stage_links_all_similar_texts(spark):
+    """Pairs from 0.5 to 1 in five-word similarity, and groups larger than a list's first round joins."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    texts = ["", "one two", "one two"]
+    for g in range(25):
+        base = [f"g{g}w{rnd.randint(0, 300)}" for _ in range(200)]
+        for _ in range(rnd.randint(2, 8)):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(len(w))] = f"edit{rnd.randint(0, 9999)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    prints = [slow_fingerprint(t) for t in texts]
+    similar = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if texts[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert len(set(similar) - set(near)) > 10
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    links = [(r["src"], r["dst"]) for r in simhash.similar_links(df).collect()]
+    assert components(links, range(len(texts))) == components(similar, range(len(texts)))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, FOLDER).collect())
+    assert kept == sorted(set(components(similar + near, range(len(texts))).values()))
+
+
 def test_neighbours_against_brute_force(spark):
     rnd = random.Random(3)
     rows = [(k, [rnd.gauss(0, 1) for _ in range(8)]) for k in range(400)]
