@@ -25,6 +25,9 @@ class PrefixForest:
         self.vectors = vectors
         squares = (vectors * vectors).sum(axis=1)
         extra = np.sqrt(np.maximum(squares.max() - squares, 0.0))
+        whole = np.ascontiguousarray(vectors + 0.0)  # no negative zeros
+        self.kind = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_inverse=True)[1]
+        self.kinds = int(self.kind.max()) + 1
         self.planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((trees, vectors.shape[1] + 1, BITS))
         full = np.column_stack([vectors, extra])
         self.order, self.hashes = [], []
@@ -51,25 +54,35 @@ class PrefixForest:
         """For each query the rows of its candidates, in order.
 
         Descends to the longest prefixes that any entry shares and then ascends in all
-        trees together, a bit at a time, until the trees hold ``least`` entries; all
-        entries of that depth are candidates, however many. As the entries only grow on
-        the way up, the depth is found by halving.
+        trees together, a bit at a time, until there are ``least`` different vectors beside
+        the query's own, or all; what several trees hold and equal vectors count once, so
+        that a group of copies does not end the search. All entries of that depth are
+        candidates, however many. Entries that count again for each tree are no fewer, so
+        the ascent starts where these suffice, which is found by halving.
         """
         full = np.column_stack([queries, np.zeros(len(queries))])
         strings = np.array([self._string(full, plane) for plane in self.planes])
+        needed = min(least + 1, self.kinds)
         low, high = np.zeros(len(queries), np.int64), np.full(len(queries), BITS)
         while (low < high).any():
             middle = (low + high + 1) // 2
             first, last = self.ranges(strings, middle)
-            enough = (last - first).sum(axis=0) >= least
+            enough = (last - first).sum(axis=0) >= needed
             low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
-        first, last = self.ranges(strings, low)
-        seen = np.zeros(len(self.vectors), bool)
-        for q in range(len(queries)):
-            seen[:] = False
-            for order, a, b in zip(self.order, first[:, q].tolist(), last[:, q].tolist(), strict=True):
-                seen[order[a:b]] = True
-            yield np.flatnonzero(seen)
+        out: list = [None] * len(queries)
+        short = np.arange(len(queries))
+        while len(short):
+            first, last = self.ranges(strings[:, short], low[short])
+            for j, q in enumerate(short.tolist()):
+                seen = np.zeros(len(self.vectors), bool)
+                for order, a, b in zip(self.order, first[:, j].tolist(), last[:, j].tolist(), strict=True):
+                    seen[order[a:b]] = True
+                rows = np.flatnonzero(seen).astype(np.int32)
+                if low[q] == 0 or np.count_nonzero(np.bincount(self.kind[rows], minlength=self.kinds)) >= needed:
+                    out[q] = rows
+            short = np.array([q for q in short.tolist() if out[q] is None], np.int64)
+            low[short] -= 1
+        return out
 
 
 def best_of(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +109,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, trees: int = 160, shar
     ``embeddings`` has vec_id and embedding; every row is a candidate but the query's own.
     Rows are dealt into shards by a hash of the id and queries into blocks; a forest is
     built over each shard and searched for each block, with at least ``share`` times the
-    shard's rows (and ``least``) entries taken from the trees together, the same vector in
-    two trees counted twice; the best of all shards are then the result: query_id, rank
+    shard's rows (and ``least``, and ``k``) different vectors taken from the trees together,
+    or all there are; the best of all shards are then the result: query_id, rank
     (from 1), vec_id, score. Fewer candidates than ``k`` are all returned. Vectors that are
     null, zero or hold a null or non-finite component, and rows without an id, take no part;
     only vectors of a query's dimension can be its neighbours. Other columns are ignored.
@@ -126,10 +139,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, trees: int = 160, shar
         if shard.num_rows and block.num_rows:
             (ids, vectors), (query_ids, queries) = matrix(shard, "vec_id", "embedding"), matrix(block, "query_id", "query")
             forest = PrefixForest(vectors, trees)
-            for at in range(0, len(queries), 1024):
-                part = queries[at : at + 1024]
-                found = forest.candidates(part, max(least, int(share * len(ids))))
-                for own, query, rows in zip(query_ids[at : at + 1024].tolist(), part, found, strict=True):
+            for at in range(0, len(queries), 256):
+                part = queries[at : at + 256]
+                found = forest.candidates(part, max(least, k, int(share * len(ids))))
+                for own, query, rows in zip(query_ids[at : at + 256].tolist(), part, found, strict=True):
                     near, score = best_of(vectors[rows], ids[rows], query, own, k)
                     out[0].append(np.full(len(near), own))
                     out[1].append(near)

@@ -289,6 +289,23 @@ def test_forest_finds_most_and_ties_by_id():
     assert hits / total > 0.9
 
 
+@pytest.mark.parametrize("copies", [8, 12, 16, 19])
+@pytest.mark.parametrize("spread", [0.0, 1e-3])
+def test_copies_do_not_end_the_search(copies, spread):
+    rnd = np.random.default_rng(copies)
+    v = rnd.normal(size=(5000, 16))
+    v[:copies] = v[0] + spread * rnd.normal(size=(copies, 16))
+    (rows,) = ann_forest.PrefixForest(v, 160).candidates(v[:1], 1200)
+    assert len(rows) > 1200 and len(ann_forest.best_of(v[rows], rows, v[0], 0, 20)[0]) == 20
+
+
+def test_few_vectors_are_all_candidates():
+    v = np.random.default_rng(5).normal(size=(15, 4))
+    v[3:12] = v[3]
+    for rows in ann_forest.PrefixForest(v, 160).candidates(v, 1200):
+        assert rows.tolist() == list(range(15))
+
+
 def test_crc_of_pieces():
     ids = np.arange(10, dtype="<u4")
     assert zlib.crc32(memoryview(ids.tobytes())[8:20]) == zlib.crc32(ids[2:5].tobytes())
