@@ -183,6 +183,19 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_large_host_are_compared_with_all(spark):
+    """A passage on two of many pages goes whatever the host's size; copies stay; no run is shared across hosts."""
+    rnd = random.Random(4)
+    text = lambda: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(30))
+    pairs = [text() for _ in range(20)]
+    rows = [(k, f"http://h.org/{k}", f"<div>menu of the whole site on every page here</div><p>{text()}</p><p>{pairs[k % 20] if k < 40 else text()}</p>") for k in range(120)]
+    rows += [(200, "http://h.org/0", rows[0][2]), (201, "http://h.org/a", f"<article>{pairs[0]}</article>"), (202, "http://o.org/", f"<p>{pairs[1]}</p>"), (203, "http://h.org/x", None), (204, None, "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got, want = ({r["page_id"]: r["text"] for r in html_extract.extract(df, most_pages=m).collect()} for m in (10, 1000))
+    assert got == want and len(got) == len(rows)
+    assert all(pairs[k % 20] not in got[k] and got[k] for k in range(40)) and got[202] == pairs[1]
+
+
 def test_packing_covers_every_id(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3, "doc_id")
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_tokens=20_000).collect()
