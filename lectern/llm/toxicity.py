@@ -61,7 +61,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 2.0) -> tuple[np.ndarray, float]:
+def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 2.0) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features scaled by their ratios; weights and bias.
 
     ``decay`` is the strength of the squared penalty on the scaled weights, over all rows.
@@ -83,7 +83,7 @@ def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, s
     return w * ratio, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 13, least_texts: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 14, least_texts: int = 3) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, label) and the texts of ``docs`` (doc_id, text).
 
     Takes at most ``most_rows`` labels, chosen by a hash of the id, with their whole texts;

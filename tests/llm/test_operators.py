@@ -231,6 +231,15 @@ def test_language_and_toxicity_held_out(spark):
     assert toxic > 0.85
 
 
+def test_toxicity_keeps_many_ngrams(spark):
+    rnd = random.Random(6)
+    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(40))
+    rows = [(k, text("abcdefgh" if k % 2 else "ghijklmn")) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, label int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert (model.table >= 0).sum() > 1 << 13
+
+
 def test_pipeline_keeps_its_promises(spark):
     import corpus_pipeline
 
