@@ -13,6 +13,7 @@ from lectern.llm.common import column_of, keep_rows, records, slices, unit_hash
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct_words", "repeated_next", "capital_words", "symbol_words", "bare_words", "repeated_lines", "line_words", "top_word", "longest_same", "longest_symbols", "longest_capitals", "longest_table")
 FOUND = pa.schema([("kind", pa.int32()), ("values", pa.list_(pa.float32()))])
+TALLY = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 UPPER, DIGIT, SYMBOL, MARK, BLANK, LETTER = 1, 2, 3, 4, 5, 6
 
@@ -118,16 +119,18 @@ class QualityModel:
         return sigmoid(self.slope * self.margin(x) + self.shift)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.4) -> float:
+def class_prior(positive: np.ndarray, unlabelled, least_share: float = 0.4) -> float:
     """The share of positives among the unlabelled, from scores of both.
 
+    ``unlabelled`` is an array, or a function that gives for cuts the shares at or above.
+
     Where a score is typical of positives, the unlabelled are positives nearly alone: the
     ratio of the two tails is the prior or more at every cut, so the least ratio is taken,
     over cuts that leave a fair share of the positives.
     """
     cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 25))
     p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
+    u = unlabelled(cuts) if callable(unlabelled) else np.array([(unlabelled >= c).mean() for c in cuts])
     return float(np.clip((u / p).min(), 0.02, 0.98))
 
 
@@ -164,11 +167,13 @@ def cell_edges(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.concatenate([edges, np.quantile(some, np.linspace(0, 1, bins // 2 + 1)[:-1])]) if len(some) else edges)
 
 
-def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, bins: int = 12) -> QualityModel:
+def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, bins: int = 12, tally=None) -> QualityModel:
     """A model from features of trusted positives and unlabelled text; without either, a flat one.
 
     Negatives are no part of the risk; they serve, with the positives, to calibrate the
-    score (a slope and a shift).
+    score (a slope and a shift). The prior is read off what the first fit had not seen:
+    ``tally`` (of a model and rising cuts) counts the margins of the whole corpus between
+    the cuts, those of the first fit are taken off; without it the rest of ``unlabelled`` serves.
     """
     both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, len(FEATURES)), np.float32)
     edges = [cell_edges(both[:, j], bins) for j in range(len(FEATURES))]
@@ -176,9 +181,17 @@ def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray
     model = QualityModel(edges, np.zeros((len(FEATURES), wide)), 0.0, 0.5)
     if not len(positive) or not len(unlabelled):
         return model
-    fit_risk(model, positive[::2], unlabelled[::2], 0.5, steps=150)  # the prior is read off the other halves
+    fit_risk(model, positive[::2], unlabelled[::2], 0.5, steps=150)  # the prior is read off what this has not seen
     if len(positive) > 1 and len(unlabelled) > 1:
-        model.prior = class_prior(model.margin(positive[1::2]), model.margin(unlabelled[1::2]))
+        rest = model.margin(unlabelled[1::2])
+        if tally is not None:
+            seen = model.margin(unlabelled[::2])
+
+            def rest(cuts):
+                n = tally(model, cuts) - np.bincount(np.searchsorted(cuts, seen, side="right"), minlength=len(cuts) + 1)
+                return n[::-1].cumsum()[::-1][1:] / n.sum()
+
+        model.prior = class_prior(model.margin(positive[1::2]), rest)
     fit_risk(model, positive, unlabelled, model.prior)
     if len(negative):
         f = np.concatenate([model.margin(positive), model.margin(negative)])
@@ -200,6 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     The caller leaves out what must not be learned from. Takes at most ``most_labelled``
     labels and about ``most_unlabelled`` texts, chosen by a hash of the id, whole texts
     each; these bounds fix the size of what reaches the driver and of what is broadcast.
+    The class prior is of the whole corpus: all texts but those of the first fit count: they are
+    scored once, and numbers of margins between the cuts are summed up.
     Rows with nulls teach nothing.
     """
     spark = docs.sparkSession
@@ -210,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     rows = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) as doc_id", "text")
     share = min(1.0, most_unlabelled / max(1, rows.count()))
     picked = spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id bigint").withColumn("labelled", F.lit(True))
+    whole = rows.select("text")
     rows = rows.join(F.broadcast(picked), "doc_id", "left")
     rows = rows.withColumn("free", unit_hash(F.col("doc_id"), "unlabelled") < share).where("labelled or free")
 
@@ -232,7 +248,25 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     x = np.array(got.column("values").to_pylist(), np.float32).reshape(len(kind), len(FEATURES))
     order = np.lexsort((*x.T, kind))  # the same model whatever order the rows came in
     kind, x = kind[order], x[order]
-    return fit_model(x[kind == 1], x[kind == -1], x[kind == 0])
+
+    def tally(model: QualityModel, cuts: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((model, cuts))
+
+        def count(batches):
+            model, cuts = shared.value
+            n = np.zeros(len(cuts) + 1, np.int64)
+            for batch in batches:
+                for _, texts in slices(batch, "text", 1_000_000):
+                    n += np.bincount(np.searchsorted(cuts, model.margin(features(texts)), side="right"), minlength=len(n))
+            yield records([np.arange(len(n)), n], TALLY)
+
+        found = whole.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        n = np.zeros(len(cuts) + 1, np.int64)
+        for r in found.collect():
+            n[r["cell"]] = r["n"]
+        return n
+
+    return fit_model(x[kind == 1], x[kind == -1], x[kind == 0], tally=tally if share < 1 else None)  # else the sample is the corpus
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

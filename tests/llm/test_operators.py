@@ -240,6 +240,17 @@ def test_toxicity_keeps_many_ngrams(spark):
     assert (model.table >= 0).sum() > 1 << 13
 
 
+def test_class_prior_is_of_the_whole_corpus(spark):
+    rnd = random.Random(9)
+    good = lambda: " ".join(rnd.choice(["the house", "of the river", "and they", "went home", "in spring"]) for _ in range(30)) + "."
+    bad = lambda: " ".join(rnd.choice(["$$$", "BUY!!", "#1", "xx", "||"]) for _ in range(30))
+    rows = [(k, good() if k % 100 < 30 else bad()) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 100 < 30)) for k, _ in rows[:600]], "doc_id bigint, label int")
+    for most in (12, 25):
+        assert abs(pu_quality.train(docs, labels, most_unlabelled=most).prior - 0.3) < 0.03
+
+
 def test_pipeline_keeps_its_promises(spark):
     import corpus_pipeline
 
