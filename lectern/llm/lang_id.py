@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import column_of, durable, keep_rows, records, slices, unit_hash
@@ -229,12 +229,23 @@ class LanguageModels:
         return out
 
 
+def fair_size(sizes: list[int], most: int) -> int:
+    """The largest size such that lists cut to it hold ``most`` together; smaller lists stay whole."""
+    left = most
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max(sizes, default=0)
+
+
 def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0, most_languages: int = 1000) -> LanguageModels:
     """Models of the languages in ``labelled`` (doc_id, text, lang).
 
     Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, so
     the model has a bounded size whatever the table's; beyond ``most_grams`` different
-    grams the rarest are left out. Rejection is calibrated on the same texts, each half
+    grams the rarest of the languages that have most are left out, down to one size for
+    these, so that no language loses any because others are larger. Rejection is calibrated on the same texts, each half
     judged by models of the other half: the limit is ``slack`` times the given quantile of
     their excess, ``least_limit`` at least, so that names or codes in a text reject none. Rows with null ids, texts or
     languages teach nothing; without any row there is no language and all is ``und``.
@@ -266,8 +277,10 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
 
     counted = sample.mapInArrow(count, "lang string, part int, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
     counted = durable(counted)
-    if counted.count() > most_grams:
-        counted = counted.orderBy(F.desc("n"), "lang", "part", "gram").limit(most_grams)
+    held = [r["count"] for r in counted.groupBy("lang", "part").count().collect()]
+    if sum(held) > most_grams:
+        place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))
+        counted = counted.withColumn("place", place).where(F.col("place") <= fair_size(held, most_grams)).drop("place")
     got = counted.toPandas()
     models = _of_counts(got)
     if models.langs:

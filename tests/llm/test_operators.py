@@ -251,6 +251,16 @@ def test_class_prior_is_of_the_whole_corpus(spark):
         assert abs(pu_quality.train(docs, labels, most_unlabelled=most).prior - 0.3) < 0.03
 
 
+def test_small_languages_keep_their_grams(spark):
+    large = [(k, "".join(chr(0x4E00 + j % 900) for j in range(1800)), "large") for k in range(20)]
+    small = [(100, "kleine sprache mit wenig text", "small"), (101, "noch etwas wenig text davon", "small")]
+    docs = spark.createDataFrame(large + small, "doc_id bigint, text string, lang string")
+    models = lang_id.train(docs, most_grams=1000)
+    assert set(models.langs) == {"large", "small"}
+    assert {r["lang_pred"] for r in lang_id.identify(docs.where("lang = 'small'"), models).collect()} == {"small"}
+    assert lang_id.fair_size([10, 20, 1000, 2000], 1000) == 485
+
+
 def test_pipeline_keeps_its_promises(spark):
     import corpus_pipeline
 
