@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,9 +71,28 @@ def records(arrays: Sequence, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
+def tidied(run):
+    """``run`` (batches to batches), which gives back to the system what it has freed when it ends.
+
+    Python workers live on from task to task, so what a task leaves in the allocators' hands
+    would add to the memory of the next ones.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def keep_rows(docs: DataFrame, decide, most_chars: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, for whose text ``decide`` (texts to booleans) says so. No shuffle."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", most_chars):

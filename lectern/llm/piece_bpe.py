@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import column_of, records, slices
+from lectern.llm.common import column_of, records, slices, tidied
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 META = "▁"
 
 
+def make_room(table: dict, most: int) -> None:
+    """Take the older half out of a table that holds more than ``most`` entries."""
+    if len(table) > most:
+        for key in list(islice(table, len(table) // 2)):
+            del table[key]
+
+
 class PrefixTable:
     """Encodes and decodes as the library does, from the model's pieces and scores alone.
 
@@ -23,40 +31,42 @@ class PrefixTable:
     position; the one that is compatible with the last token of the prefix before it is
     stored, and the ids are read from the end backwards.
 
-    No piece holds a word mark after another character, and some characters are in no
-    longer piece; text is cut before the former and around the latter. The cut runs are
-    kept in a bounded table with their ids and their decoded form.
+    A text is cut wherever no piece holds the two characters on both sides, since no merge
+    crosses such a place. The places are found for a whole batch at once, on its bytes: a
+    pair of bytes that ends one character and begins the next is one table lookup. The runs
+    between them are numbered, so each is looked up once a batch, and kept with their ids
+    and their decoded form in a table of bounded size.
     """
 
-    def __init__(self, path: str, most_runs: int = 400_000):
+    def __init__(self, path: str, most_runs: int = 250_000, most_pairs: int = 300_000, longest: int = 64):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         lib = self.library = SentencePieceProcessor(model_file=path)
         count = lib.get_piece_size()
         plain = [i for i in range(count) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
-        self.piece_id = {lib.id_to_piece(i): i for i in plain}
-        self.score = {p: lib.get_score(i) for p, i in self.piece_id.items()}
+        self.piece_id = {lib.id_to_piece(i).replace(META, " "): i for i in plain}
+        self.score = {lib.id_to_piece(i).replace(META, " "): lib.get_score(i) for i in plain}
         self.byte_id = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(count) if lib.is_byte(i)}
         names = [lib.id_to_piece(i) for i in range(count)]
         self.surface = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(META, " ").encode() for i, p in enumerate(names)]
+        self.digits = [b"%d " % i for i in range(count)]
         self.end_id, self.unknown = lib.eos_id(), lib.unk_id()
         joined = [p for p in self.piece_id if len(p) > 1]
-        if any(META in p.lstrip(META) for p in joined):
-            raise ValueError("a piece holds a word mark after another character")
         self.inner = {c for p in joined for c in p}
-        self.beside = {p[k : k + 2] for p in joined for k in range(len(p) - 1)}
+        # no_cut[a, b]: byte a may be followed by byte b within a piece
+        self.no_cut = np.zeros((256, 256), bool)
+        self.no_cut[:, 0x80:0xC0] = True  # inside a character
+        for p in joined:
+            for x, y in zip(p, p[1:]):
+                self.no_cut[x.encode()[-1], y.encode()[0]] = True
         self.automaton = ahocorasick.Automaton()
         for p in {*self.piece_id, *self.inner}:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
-        alone = "".join(re.escape(chr(c)) for c in range(1, 128) if chr(c) not in self.inner)
-        self.cut = re.compile(f"[{alone}]|{META}*[^{alone}{META}]+|{META}+" if alone else f"{META}*[^{META}]+|{META}+")
-        self.tail = re.compile(r"[^\w" + META + r"]+\Z")
-        self.stems: dict[str, list[int]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, tuple[int, str, bytes]] = {}
-        self.most_runs = most_runs
+        self.runs: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.most_runs, self.most_pairs, self.longest = most_runs, most_pairs, longest
 
     def merged(self, text: str) -> list[str]:
         """The merges done one by one on a short text; decides compatibility only."""
@@ -74,8 +84,6 @@ class PrefixTable:
 
     def compatible(self, before: str, token: str) -> bool:
         """Whether ``before`` and ``token`` stay as they are side by side; kept for the next time."""
-        if len(self.fits) > 1_000_000:
-            self.fits.clear()
         ok = self.fits[before, token] = self.merged(before + token) == ([before, token] if before else [token])
         return ok
 
@@ -84,14 +92,13 @@ class PrefixTable:
         last: list = [None] * (len(run) + 1)
         last[0] = ""
         known = self.fits.get
-        for end, token in self.automaton.iter(run):
+        for end, (size, token) in self.automaton.iter(run):
             end += 1
-            if last[end] is None:
-                before = last[end - len(token)]
-                if before is not None:
-                    ok = known((before, token))
-                    if ok or ok is None and self.compatible(before, token):
-                        last[end] = token
+            before = last[end - size]
+            if before is not None and last[end] is None:
+                ok = known((before, token))
+                if ok or ok is None and self.compatible(before, token):
+                    last[end] = token
         out, at = [], len(run)
         while at:
             out.append(last[at])
@@ -111,9 +118,10 @@ class PrefixTable:
                     parts.append(c)
                     start = k + 1
             parts += self.tokens(run[start:])
-        if self.piece_id.keys() >= set(parts):
+        try:
             return [self.piece_id[t] for t in parts]
-        return [i for t in parts for i in self._one(t)]
+        except KeyError:
+            return [i for t in parts for i in self._one(t)]
 
     def _one(self, token: str) -> list[int]:
         i = self.piece_id.get(token)
@@ -125,42 +133,46 @@ class PrefixTable:
         """The bytes that the ids stand for, word marks as spaces."""
         return b"".join([self.surface[i] for i in ids])
 
-    def _stem(self, run: str) -> list[int]:
-        """Ids of a run, kept for the other runs that begin with it."""
-        ids = self.stems.get(run)
-        if ids is None:
-            ids = self.ids(run)
-            if len(run) <= 64:
-                if len(self.stems) > self.most_runs:
-                    self.stems.clear()
-                self.stems[run] = ids
-        return ids
-
-    def _run(self, run: str) -> tuple[int, str, bytes]:
-        end = self.tail.search(run)
-        if end and end.start() and run[end.start() - 1 : end.start() + 1] not in self.beside:
-            # no piece holds both the word's last sign and the next one, so the cut is certain
-            ids = self._stem(run[: end.start()]) + self._stem(end[0])
-        else:
-            ids = self._stem(run)
-        known = (len(ids), " ".join(map(str, ids)), self.decoded(ids))
-        if len(run) <= 64:
-            if len(self.runs) > self.most_runs:
-                self.runs.clear()
-            self.runs[run] = known
-        return known
-
-    def encode(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, ids as text, decoded bytes; the end id is in both of the former.
-
-        The library gives the normal form of the text; the rest is done here. It drops
-        the space that the normal form puts first.
+    def _run(self, run: bytes) -> tuple[int, bytes, bytes]:
+        ids = self.ids(run.decode("utf-8", "surrogatepass"))
+        return len(ids), b"".join([self.digits[i] for i in ids]), self.decoded(ids)
+
+    def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each text the number of ids, the ids as decimal text, the decoded bytes.
+
+        The end id counts and ends the ids. The library gives the normal form of a text; the
+        rest is done here. It drops the space that the normal form puts first.
         """
-        found, make = self.runs.get, self._run
-        parts = [found(r) or make(r) for r in self.cut.findall(self.library.normalize(text))] if text else []
-        text_ids = " ".join([p[1] for p in parts] + [str(self.end_id)])
-        decoded = b"".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]) + 1, text_ids, decoded[1:] if decoded[:1] == b" " else decoded
+        whole = [self.library.normalize(t).replace(META, " ").encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        ends = np.cumsum([0] + [len(w) for w in whole])
+        data = np.frombuffer(b"".join(whole), np.uint8)
+        cut = np.ones(len(data) + 1, bool)
+        if len(data):
+            cut[1:-1] = ~self.no_cut[data[:-1], data[1:]]
+        cut[ends] = True
+        places = np.flatnonzero(cut)
+        bounds = np.searchsorted(places, ends)
+        coded = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        make_room(self.runs, self.most_runs)
+        make_room(self.fits, self.most_pairs)
+        known, made = self.runs, []
+        for run in coded.dictionary.to_pylist():
+            found = known.get(run)
+            if found is None:
+                found = self._run(run)
+                if len(run) <= self.longest:
+                    known[run] = found
+            made.append(found)
+        numbers = coded.indices
+        before = np.concatenate([[0], np.cumsum(np.array([m[0] for m in made], np.int64)[numbers.to_numpy()])]) if made else np.zeros(1, np.int64)
+        ids, decoded = (pa.array([m[k] for m in made], pa.large_binary()).take(numbers) for k in (1, 2))
+        id_at, decoded_at = (np.frombuffer(x.buffers()[1], np.int64)[: len(x) + 1] for x in (ids, decoded))
+        id_bytes, decoded_bytes = (memoryview(x.buffers()[2] or b"") for x in (ids, decoded))
+        last, out = b"%d" % self.end_id, []
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            text = bytes(decoded_bytes[decoded_at[a] : decoded_at[b]])
+            out.append((int(before[b] - before[a]) + 1, bytes(id_bytes[id_at[a] : id_at[b]]) + last, text[1:] if text[:1] == b" " else text))
+        return out
 
 
 _loaded: dict[str, PrefixTable] = {}
@@ -180,16 +192,17 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     a worker holds one batch of rows and the bounded tables.
     """
 
+    @tidied
     def run(batches):
         table = loaded(model)
         for batch in batches:
             for rows, texts in slices(batch, "text", 4_000_000):
-                made = [table.encode(t or "") for t in texts]
+                made = table.encode([t or "" for t in texts])
                 yield records(
                     [
                         column_of(rows, "doc_id"),
                         [m[0] for m in made],
-                        [hashlib.sha256(m[1].encode()).hexdigest() for m in made],
+                        [hashlib.sha256(m[1]).hexdigest() for m in made],
                         [hashlib.sha256(m[2].decode("utf-8", "replace").encode()).hexdigest() for m in made],
                     ],
                     SCHEMA,
