@@ -6,15 +6,15 @@ import heapq
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.common import column_of, records, slices
+from lectern.llm.common import column_of, records, slices, tidied
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -109,106 +109,129 @@ def plan_chunk(lengths: list[int], capacity: int, longest_piece: int) -> list[tu
     return pieces
 
 
-#: Lower-cased text of plain characters only, and its runs of letters and of other signs.
+#: Lower-cased text of plain characters only; all are below 256.
 PLAIN = re.compile("[\\x00-&(-\\x7e\u00df-\u00f6\u00f8-\u00ff]*")
-RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^ \\t\\n\\v\\f\\ra-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-GAPS = str.maketrans("\t\n\v\f\r", "     ")
+def _classes() -> np.ndarray:
+    """Of each character below 256: 0 white space, 1 letter, 2 any other sign."""
+    table = np.full(256, 2, np.uint8)
+    for c in range(256):
+        if chr(c).isalpha():
+            table[c] = 1
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    return table
+
+
+CLASSES = _classes()
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian bytes, through bounded tables of words and runs.
+    """Token ids of texts, little-endian, through a bounded table of runs.
 
     White space always ends a token of this tokenizer, and in plain text without
     apostrophes so does the change from letters to other signs and back; it lowers case
-    itself. A word's ids are thus those of its runs, and a text's those of its words in
-    turn. Words are numbered batch by batch, so each is looked up once a batch. What the
-    tables lack goes to the library at once. Other texts are cut at spaces and line feeds
-    only and their words taken as they are.
+    itself. A text's ids are thus those of its runs in turn. Plain texts are joined, cut
+    and their runs numbered as one array of bytes, so each run is looked up once a batch and
+    the ids gathered at once. What the table lacks goes to the library: runs of letters to
+    its model and byte alphabet alone, the others to the whole of it. Other texts are cut at
+    spaces and line feeds only and their words taken as they are.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 600_000, most_runs: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, end_id: int, most_runs: int = 300_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.words: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {}
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.end_id = end_id
+        self.runs: dict[bytes, np.ndarray] = {}
         self.word_end = np.zeros(self.library.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         # A special token's name counts as such only in the text as it is.
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most_words, self.most_runs, self.longest = most_words, most_runs, longest
+        self.most_runs, self.longest = most_runs, longest
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, runs: list[str]) -> list[bytes]:
+    def _of_letters(self, runs: list[str]) -> list[bytes]:
         """Ids of runs of letters, as one text: the last token of each is marked as a word's end."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(runs):
             return self._ids(runs)
         flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [flat[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put plain words into the table."""
+    def _known(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs of plain text; the short ones are kept."""
         if len(self.runs) > self.most_runs:
-            self.runs.clear()
-        runs = self.runs
-        cut = [RUNS.findall(w) for w in words]
-        new = list({r for c in cut for r in c if r not in runs})
-        letters = [r for r in new if r.isalpha()]
-        for k in range(0, len(letters), 10_000):
-            runs.update(zip(letters[k : k + 10_000], self._letters(letters[k : k + 10_000]), strict=True))
-        other = [r for r in new if r not in runs]
-        runs.update(zip(other, self._ids(other), strict=True))
-        self.words.update((w, b"".join([runs[r] for r in c])) for w, c in zip(words, cut, strict=True))
-        for r in new:
-            if len(r) > self.longest:
-                del runs[r]
-
-    def _join(self, texts: list[str], learn, table: dict[str, bytes]) -> list[bytes]:
-        """Ids of texts cut at spaces, by a table of words and what learns the words it lacks."""
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        coded = parts.flatten().dictionary_encode()
-        words, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        unseen = [w for w in words if w not in table]
-        learn(unseen)
-        ids = [table[w] for w in words]
+            for r in list(islice(self.runs, len(self.runs) // 2)):  # the older half
+                del self.runs[r]
+        known = self.runs
+        out = [known.get(r) for r in runs]
+        new = [i for i, x in enumerate(out) if x is None]
+        words = [runs[i].decode("latin-1") for i in new]
+        letters = [k for k, w in enumerate(words) if CLASSES[ord(w[0])] == 1]
+        other = [k for k, w in enumerate(words) if CLASSES[ord(w[0])] != 1]
+        for group, learn in ((letters, self._of_letters), (other, self._ids)):
+            for at in range(0, len(group), 10_000):
+                part = group[at : at + 10_000]
+                for k, ids in zip(part, learn([words[k] for k in part]), strict=True):
+                    out[new[k]] = ids
+                    if len(words[k]) <= self.longest:
+                        known[runs[new[k]]] = ids
+        return out
+
+    def _gather(self, parts: pa.Array, bounds: np.ndarray, ids_of) -> list[np.ndarray]:
+        """Ids of each text, the end id last: text i is made of ``parts`` from bounds[i] to bounds[i + 1]."""
+        coded = parts.dictionary_encode()
+        ids = ids_of(coded.dictionary.to_pylist())
+        numbers = coded.indices.to_numpy()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
         own = sizes[numbers]
         before = np.concatenate([[0], np.cumsum(own)])
-        out = flat[np.repeat(first[numbers] - before[:-1], own) + np.arange(before[-1])]
-        ends = before[parts.offsets.to_numpy()]
-        for w in unseen:
-            if len(w) > self.longest:
-                del table[w]
-        return [out[a:b].tobytes() + self.end for a, b in zip(ends.tolist(), ends[1:].tolist())]
-
-    def _learn_raw(self, words: list[str], table: dict[str, bytes]) -> None:
-        table.update(zip(words, self._ids(words), strict=True))
-
-    def encode(self, texts: list) -> list[bytes]:
-        if len(self.words) > self.most_words:
-            self.words = {"": b""}
+        flat = flat[np.repeat(first[numbers] - before[:-1], own) + np.arange(before[-1])]
+        ends = before[bounds]
+        flat = np.insert(flat, ends[1:], np.uint32(self.end_id))
+        return np.split(flat, (ends + np.arange(len(ends)))[1:-1])
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of lower-cased plain texts."""
+        data = np.frombuffer(" ".join(texts).encode("latin-1"), np.uint8)
+        kind = CLASSES[data]
+        solid = kind > 0
+        begins = solid.copy()
+        begins[1:] &= kind[1:] != kind[:-1]
+        starts = np.flatnonzero(begins)
+        # the runs one after the other, without what is between them
+        offsets = np.append(np.cumsum(solid)[starts] - 1, np.count_nonzero(solid)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return self._gather(runs, np.concatenate([[0], np.searchsorted(starts, ends)]), self._known)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of other texts, cut at spaces and line feeds."""
+        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        bounds = np.cumsum([0] + [len(w) for w in words])
+        return self._gather(pa.array([w for ws in words for w in ws], pa.string()), bounds, self._ids)
+
+    def encode(self, texts: list) -> list[np.ndarray]:
+        """Ids of each text (null: empty), the end id last."""
         plain, raw = {}, {}
         for i, t in enumerate(texts):
             low = (t or "").lower()
             if PLAIN.fullmatch(low) and not ("|>" in low and any(x in t for x in self.special)):
-                plain[i] = low.translate(GAPS) if "\t" in low or "\r" in low or "\v" in low or "\f" in low else low.replace("\n", " ")
+                plain[i] = low
             else:
-                raw[i] = t.replace("\n", " ")
-        out: list = [b""] * len(texts)
-        others: dict[str, bytes] = {"": b""}
-        for group, learn, table in ((plain, self._learn, self.words), (raw, lambda w: self._learn_raw(w, others), others)):
+                raw[i] = t
+        out: list = [None] * len(texts)
+        for group, code in ((plain, self._plain), (raw, self._raw)):
             if group:
-                for i, ids in zip(group, self._join(list(group.values()), learn, table), strict=True):
+                for i, ids in zip(group, code(list(group.values())), strict=True):
                     out[i] = ids
         return out
 
@@ -234,25 +257,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
 
+    @tidied
     def run(batches):
         tokens = loaded(tokenizer, end_id)
         part, made = TaskContext.get().partitionId(), 0
         ids: list = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         size = 0
 
         def flush():
             nonlocal made, ids, coded, size
-            lengths = [len(c) // 4 for c in coded]
+            lengths = [len(c) for c in coded]
             rows = plan_chunk(lengths, capacity, longest_piece)
-            views = [memoryview(c) for c in coded]
             base = part << 40 | made << 24
             out = records(
                 [
                     [ids[d] for d, *_ in rows],
                     [r[1] for r in rows],
                     [r[2] for r in rows],
-                    [zlib.crc32(views[d][4 * s : 4 * (s + n)]) for d, s, n, _, _ in rows],
+                    [zlib.crc32(coded[d][s : s + n]) for d, s, n, _, _ in rows],
                     [lengths[d] for d, *_ in rows],
                     [base + r[3] for r in rows],
                     [r[4] for r in rows],
@@ -263,11 +286,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             return out
 
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2_000_000):
+            for rows, texts in slices(batch, "text", 4_000_000):
                 for doc_id, c in zip(column_of(rows, "doc_id").to_pylist(), tokens.encode(texts), strict=True):
                     ids.append(doc_id)
                     coded.append(c)
-                    size += len(c) // 4
+                    size += len(c)
                     if size >= chunk_tokens:  # about 8 MB of ids
                         yield flush()
         if ids:

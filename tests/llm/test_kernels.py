@@ -108,10 +108,18 @@ TEXTS = ["", "  hello  world\n x", "日本語 text ▁ a▁b ﬁ ½ ́x\x00y", "
 
 def test_pieces_like_the_library(pieces):
     rnd = random.Random(4)
-    for t in TEXTS + [chars(rnd, rnd.randint(1, 60), "ab theing. \n▁é日$1") for _ in range(300)]:
-        n, ids, decoded = pieces.encode(t)
+    texts = TEXTS + [chars(rnd, rnd.randint(1, 60), "ab theing. \n▁é日$1#&*") for _ in range(300)]
+    for t, (n, ids, decoded) in zip(texts, pieces.encode(texts), strict=True):
         want = pieces.library.encode(t) + [2]
-        assert ids == " ".join(map(str, want)) and n == len(want) and decoded.decode("utf-8", "replace") == pieces.library.decode(want)
+        assert ids == " ".join(map(str, want)).encode() and n == len(want) and decoded.decode("utf-8", "replace") == pieces.library.decode(want)
+    assert pieces.encode([]) == []
+
+
+def test_pieces_with_little_room():
+    table = piece_bpe.PrefixTable(public_tokenizers.path("piece_bpe_32k.model"), most_runs=4, most_pairs=4, longest=3)
+    for _ in range(3):
+        assert [x[1] for x in table.encode(TEXTS)] == [" ".join(map(str, table.library.encode(t) + [2])).encode() for t in TEXTS]
+    assert len(table.runs) < 200
 
 
 # --- packing
@@ -126,8 +134,16 @@ def test_words_like_the_library(words):
     rnd = random.Random(3)
     texts = ["", None, "it's IT'S we'll x<|endoftext|>y", "日本語 İ ΣΑΣ ß x²\t\x1c z", "Å é ́x 12", "ÀÉ ÷ × ª º µ ¿", "x" * 300] + [chars(rnd, rnd.randint(0, 40), "aBé's\n .,$12|><|ßÿ\t\x1c×") for _ in range(500)]
     for t, got in zip(texts, words.encode(texts), strict=True):
-        want = words.library.encode(t or "", add_special_tokens=False).ids + [1]
-        assert got == np.array(want, "<u4").tobytes()
+        assert got.dtype == np.dtype("<u4") and got.tolist() == words.library.encode(t or "", add_special_tokens=False).ids + [1]
+    assert words.encode([]) == [] and [x.tolist() for x in words.encode([None, ""])] == [[1], [1]] and words.encode(["日"])[0].tolist()[-1] == 1
+
+
+def test_words_with_little_room():
+    table = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1, most_runs=3, longest=4)
+    texts = ["the thing, élan", "a thinglike thing... ß", ""]
+    for _ in range(3):
+        assert [x.tolist() for x in table.encode(texts)] == [table.library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert len(table.runs) <= 9
 
 
 def test_differencing_classic():
