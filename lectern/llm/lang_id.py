@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, durable, keep_rows, records, slices, unit_hash
+from lectern.llm.common import column_of, durable, keep_rows, records, slices, tidied, unit_hash
 
 ORDER = 4
 SPACE, START = 0x20, 0x02
@@ -260,6 +260,7 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     sample = durable(known.where(chosen).select("lang", half.alias("part"), "text"))
 
+    @tidied
     def count(batches):
         found: dict[tuple, list] = {}
         for batch in batches:
@@ -286,6 +287,7 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
     if models.langs:
         halves = sample.sparkSession.sparkContext.broadcast([_of_counts(got[got["part"] != k]) for k in (0, 1)])
 
+        @tidied
         def unseen(batches):
             for batch in batches:
                 for rows, texts in slices(batch, "text", 1_000_000):
@@ -318,6 +320,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 1_000_000):

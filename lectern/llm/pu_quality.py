@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, keep_rows, records, slices, unit_hash
+from lectern.llm.common import column_of, keep_rows, records, slices, tidied, unit_hash
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct_words", "repeated_next", "capital_words", "symbol_words", "bare_words", "repeated_lines", "line_words", "top_word", "longest_same", "longest_symbols", "longest_capitals", "longest_table")
 FOUND = pa.schema([("kind", pa.int32()), ("values", pa.list_(pa.float32()))])
@@ -229,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     rows = rows.join(F.broadcast(picked), "doc_id", "left")
     rows = rows.withColumn("free", unit_hash(F.col("doc_id"), "unlabelled") < share).where("labelled or free")
 
+    @tidied
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text", 1_000_000):
@@ -252,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     def tally(model: QualityModel, cuts: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((model, cuts))
 
+        @tidied
         def count(batches):
             model, cuts = shared.value
             n = np.zeros(len(cuts) + 1, np.int64)
@@ -277,6 +279,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 1_000_000):

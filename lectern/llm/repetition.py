@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, records, slices
+from lectern.llm.common import column_of, records, slices, tidied
 
 SYMBOLS = "#*$%&|<>"
 GAPS = " \t\n\v\f\r"
@@ -125,6 +125,7 @@ def repetition_rules(docs: DataFrame, least_repeat: int = 10, most_covered: floa
     slice of about a million characters, or one text.
     """
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 1_000_000):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, durable, records, slices
+from lectern.llm.common import column_of, durable, records, slices, tidied
 from lectern.llm.components import connected_components
 
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprints_of(texts: list, width: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) of each row of ``docs`` (doc_id, text); texts without a word have fingerprint 0."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 4_000_000):
@@ -134,6 +135,7 @@ def near_links(distinct: DataFrame, most_bits: int = 4, small: int = 1 << 23) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // 2_000_000)
     listed = distinct.select("fp", "node", keys.alias("k")).select("fp", "node", "k.set", "k.bytes").repartition(parts, "set", "bytes")
 
+    @tidied
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -208,6 +210,7 @@ def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: in
     dense group costs about its size. Texts without a word have no shingle and no link.
     """
 
+    @tidied
     def sign(batches):
         for batch in batches:
             for part, texts in slices(batch, "text", 4_000_000):
@@ -217,6 +220,7 @@ def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: in
                 digests = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
                 yield records([column_of(part, "doc_id").filter(pa.array(some)), digests, [len(h) for h in sets], [band_keys(h, bands, rows) for h in sets]], SIGNED)
 
+    @tidied
     def verify(batches):
         for batch in batches:
             for part, texts in slices(batch, "text", 4_000_000):

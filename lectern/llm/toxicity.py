@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column_of, durable, records, slices, unit_hash
+from lectern.llm.common import column_of, durable, records, slices, tidied, unit_hash
 from lectern.llm.lang_id import grams, mix, symbols
 
 BITS = 20
@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
 
+    @tidied
     def tally(batches):
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
@@ -120,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     table[best["bucket"].to_numpy()] = np.arange(len(best))
     shared = spark.sparkContext.broadcast(table)
 
+    @tidied
     def find(batches):
         for batch in batches:
             for part, texts in slices(batch, "text", 500_000):
@@ -143,6 +145,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 500_000):
