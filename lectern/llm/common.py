@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 from contextlib import suppress
 from functools import wraps
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,22 +45,22 @@ def unit_hash(column: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def slices(batch: pa.RecordBatch, text: str, most_chars: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut a batch into runs of rows of about ``most_chars`` characters, one row at least.
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Cut a batch into runs of rows of about ``most_bytes`` bytes of text, one row at least.
 
-    Yields the rows and their texts (null: None). No row is cut, so a run can exceed the
-    size by one text.
+    Yields the rows and their texts (null: None), made only when they are asked for. No row
+    is cut, so a run can exceed the size by one text.
     """
-    values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-    start = size = 0
-    for i, value in enumerate(values):
-        n = len(value) if value else 0
-        if i > start and size + n > most_chars:
-            yield batch.slice(start, i - start), values[start:i]
-            start, size = i, 0
-        size += n
-    if start < len(values):
-        yield batch.slice(start), values[start:]
+    values = column_of(batch, text)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy().tolist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most_bytes:
+            yield batch.slice(start, i - start), values.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start), values.slice(start).to_pylist()
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -89,19 +91,38 @@ def tidied(run):
     return wrapped
 
 
-def keep_rows(docs: DataFrame, decide, most_chars: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, for whose text ``decide`` (texts to booleans) says so. No shuffle."""
+def keep_rows(docs: DataFrame, decide, most_bytes: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, for whose text ``decide`` (texts to booleans) says so. No shuffle.
+
+    Columns go through under numbers, so their names may hold anything.
+    """
+    text = f"c{docs.columns.index('text')}"
 
     @tidied
     def run(batches):
         for batch in batches:
-            for rows, texts in slices(batch, "text", most_chars):
+            for rows, texts in slices(batch, text, most_bytes):
                 yield rows.filter(pa.array(decide(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named in ``spark.checkpoint.dir``; else a temporary one."""
+    """The folder that driver and executors share, named in ``spark.checkpoint.dir``.
+
+    Only where that is unset and all runs on this one machine a temporary folder is taken;
+    elsewhere executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="lectern-shared-")
+    if named:
+        return named
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="lectern-shared-")
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store it is, through Spark's own access to it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

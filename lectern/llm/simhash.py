@@ -16,7 +16,8 @@ from lectern.llm.components import connected_components
 SEED = 42
 NAMELESS = 1 << 62
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
+DEALT = pa.schema([("band", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("node", pa.int64()), ("members", pa.list_(pa.int32()))])
 LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -159,6 +160,17 @@ def near_links(distinct: DataFrame, most_bits: int = 4, small: int = 1 << 23) ->
     return listed.mapInArrow(run, "src bigint, dst bigint")
 
 
+def print_nodes(prints: DataFrame) -> DataFrame:
+    """(fp, node) of the distinct fingerprints in ``prints`` (doc_id, fp).
+
+    A fingerprint's node is the smallest id that has it, so a component's smallest node is
+    its id. Fingerprints of rows without ids get nodes above all ids, which are below 2^62;
+    two may share one only if they differ in the two lowest bits, hence are linked.
+    """
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return durable(distinct.select("fp", F.coalesce("first_id", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)).alias("node")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
     """Group documents whose fingerprints are linked.
 
@@ -168,14 +180,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     Equal fingerprints are brought to one row before any comparison, so exact copies,
     however many, cost nothing further; repeated rows stay. An empty table gives an empty
     result; other columns are ignored.
-
-    A fingerprint's node is the smallest id that has it, so a component's smallest node is
-    its id. Fingerprints of rows without ids get nodes above all ids, which are below 2^62;
-    two may share one only if they differ in the two lowest bits, hence are linked.
     """
     prints = durable(fingerprints(docs, width))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = durable(distinct.select("fp", F.coalesce("first_id", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)).alias("node")))
+    distinct = print_nodes(prints)
     linked = connected_components(near_links(distinct, most_bits))
     named = distinct.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     of_print = named.select("fp", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
@@ -193,21 +200,49 @@ def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(m.tobytes(), b) for b, m in enumerate(minima)], np.uint64).view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets, each an array of distinct values."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / max(1, len(a) + len(b) - shared)
+def set_links(sizes: np.ndarray, members: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join similar sets of one list, a tree per component, as pairs of places.
 
+    ``members`` holds the elements of the sets in turn, those of one set distinct. Searches
+    outwards like ``bucket_links``: what is reached leaves the rest and is compared with the
+    rest only, all of the rest at once, so a dense group costs about its size.
+    """
+    links: list[tuple[int, int]] = []
+    values, members = np.unique(members, return_inverse=True)
+    own = np.split(members, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(values), bool)
+    rest = np.arange(len(sizes))
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        begins = np.cumsum(sizes[rest]) - sizes[rest]
+        members = np.concatenate([own[i] for i in rest])
+        while reached and len(rest):
+            at = reached.pop()
+            mark[own[at]] = True
+            shared = np.add.reduceat(mark[members], begins, dtype=np.int64)
+            mark[own[at]] = False
+            near = shared >= least * (sizes[at] + sizes[rest] - shared)
+            if near.any():
+                found = rest[near].tolist()
+                links += [(at, x) for x in found]
+                reached += found
+                members = members[np.repeat(~near, sizes[rest])]
+                rest = rest[~near]
+                begins = np.cumsum(sizes[rest]) - sizes[rest]
+    return links
 
-def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+
+def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 40, rows: int = 5, block: int = 4096) -> DataFrame:
     """Links (src, dst) between rows of ``docs`` (doc_id, text) whose sets of shingles are similar.
 
     The links have the components of all pairs with a Jaccard similarity of ``least`` or
     more over shingles of ``width`` words that share a MinHash band; a pair at 0.8 misses
-    all 40 bands of 5 with a chance of 1.3e-7. Every link is verified on the two whole
-    texts. Equal sets become one first. Each list of a band is first compared with its
-    smallest node; then only what that left in different components is paired, so that a
-    dense group costs about its size. Texts without a word have no shingle and no link.
+    all 40 bands of 5 with a chance of 1.3e-7. Equal sets become one first. Nodes that share
+    a band form a list; of lists with the same nodes one is taken. A list's sets (32-bit
+    hashes of the shingles, made from the whole texts) are brought together and searched
+    outwards, so every link is verified. A list of more than ``block`` nodes is dealt into
+    blocks and these are taken two by two, so a task never holds more than two blocks.
+    Texts without a word have no shingle and no link; rows without ids have none either.
     """
 
     @tidied
@@ -218,42 +253,67 @@ def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8, bands: in
                 some = np.array([len(h) > 0 for h in sets], bool)
                 sets = [h for h in sets if len(h)]
                 digests = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-                yield records([column_of(part, "doc_id").filter(pa.array(some)), digests, [len(h) for h in sets], [band_keys(h, bands, rows) for h in sets]], SIGNED)
+                yield records([column_of(part, "doc_id").filter(pa.array(some)), digests, [band_keys(h, bands, rows) for h in sets]], SIGNED)
 
     @tidied
-    def verify(batches):
+    def deal(batches):
+        """The set of each node, once for every list and block that wants it."""
         for batch in batches:
-            for part, texts in slices(batch, "text", 4_000_000):
-                others = column_of(part, "other").to_pylist()
-                seen: dict = {}
-                sets = lambda t: seen[t] if t in seen else seen.setdefault(t, np.unique(fingerprint_sums(t, width)))
-                near = pa.array([jaccard(sets(a), sets(b)) >= least for a, b in zip(texts, others, strict=True)], pa.bool_())
-                yield records([column_of(part, "src").filter(near), column_of(part, "dst").filter(near)], LINKS)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-        whole = docs.join(needed, "doc_id", "left_semi").distinct()
-        both = pairs.join(whole.select(F.col("doc_id").alias("src"), "text"), "src").join(whole.select(F.col("doc_id").alias("dst"), F.col("text").alias("other")), "dst")
-        return durable(both.select("src", "dst", "text", "other").mapInArrow(verify, "src bigint, dst bigint").distinct())
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = durable(docs.mapInArrow(sign, "doc_id bigint, digest bigint, size int, bands array<bigint>"))
-    one = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+            for part, texts in slices(batch, "text", 1_000_000):
+                sets = pa.array([np.unique(fingerprint_sums(t, width).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))
+                places = column_of(part, "places")
+                for at in range(0, len(sets), 64):
+                    wanted = places.slice(at, 64)
+                    flat, which = wanted.flatten(), pa.array(np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy())))
+                    yield records([*(flat.field(k) for k in range(3)), column_of(part, "node").slice(at, 64).take(which), sets.slice(at, 64).take(which)], DEALT)
+
+    @tidied
+    def search(batches):
+        held: list = []
+        links: list = []
+
+        def close():
+            node = np.concatenate([h[0] for h in held])
+            found = set_links(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), least)
+            held.clear()
+            return [(int(node[a]), int(node[b])) for a, b in found]
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([column_of(batch, c).to_numpy() for c in ("band", "a", "b")])
+            node, sets = column_of(batch, "node").to_numpy(), column_of(batch, "members")
+            sizes, members = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(node)]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and last != keys[:, x].tolist():
+                    links += close()
+                last = keys[:, x].tolist()
+                held.append((node[x:y], sizes[x:y], members[at[x] : at[y]]))
+            if len(links) > 100_000:
+                yield records([[x[0] for x in links], [x[1] for x in links]], LINKS)
+                links = []
+        if held:
+            links += close()
+        yield records([[x[0] for x in links], [x[1] for x in links]], LINKS)
+
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = durable(docs.mapInArrow(sign, "doc_id bigint, digest bigint, bands array<bigint>"))
+    one = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     equal = signed.select("doc_id", "digest").join(one.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
-    listed = one.select("node", "size", F.explode("bands").alias("band"))
-    # (band, first node and its size, node, size) where a list has two nodes or more
-    first = F.min(F.struct("node", "size")).over(Window.partitionBy("band"))
-    listed = durable(listed.withColumns({"first": first, "n": F.count("*").over(Window.partitionBy("band"))}).where("n > 1").drop("n"))
-    alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b)
-    stars = durable(listed.where((F.col("node") != F.col("first.node")) & alike(F.col("size"), F.col("first.size"))).select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct())
-    found = verified(stars)
-    placed = listed.select("band", "node", "size").join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    over = Window.partitionBy("band")
-    open_lists = durable(placed.where("band is not null").withColumns({"a": F.min("component").over(over), "z": F.max("component").over(over)}).where("a <> z").drop("a", "z"))
-    left, right = (open_lists.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "component")]) for side in ("a", "b"))
-    rest = left.join(right, "band").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & alike(F.col("size_a"), F.col("size_b")))
-    rest = rest.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
-    return equal.unionByName(found).unionByName(verified(durable(rest)))
+    listed = durable(one.select("node", F.posexplode("bands").alias("k", "band")).select("node", F.xxhash64("k", "band").alias("band")))
+    lists = listed.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("least")).where("n > 1")
+    lists = lists.groupBy("n", "who", "least").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("band"), F.least(x, "mine").alias("a"), F.greatest(x, "mine").alias("b")))
+    wanted = listed.join(lists, "band").withColumn("mine", mine).groupBy("node").agg(F.flatten(F.collect_list(pairs)).alias("places"))
+    whole = docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text", "places").distinct()
+    dealt = whole.mapInArrow(deal, "band bigint, a int, b int, node bigint, members array<int>")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = dealt.repartition(parts, "band", "a", "b").sortWithinPartitions("band", "a", "b").mapInArrow(search, "src bigint, dst bigint")
+    return equal.unionByName(found)
 
 
 def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4, similar_width: int = 5, least: float | None = None) -> DataFrame:
@@ -261,16 +321,34 @@ def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4, similar_widt
 
     Rows are linked whose fingerprints are (``near_duplicates``) and, given ``least``, those
     whose sets of shingles of ``similar_width`` words have that Jaccard similarity or more
-    (``similar_links``), as few bits miss most of these. The row with the smallest doc_id stays, one of them if the id is repeated. A row
-    without an id goes under a negative number made of its content, so that it is grouped
-    like any other and equal rows are one.
+    (``similar_links``), as few bits miss most of these. The row with the smallest doc_id
+    stays, one of them if the id is repeated. A row without an id goes under a number above
+    all ids (2^62 and more) made of its content, so that it is grouped like any other, equal
+    rows are one, and a row with an id stays before it. Texts without a word are one group.
+    Columns may have any names; an empty table gives an empty result.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64(F.struct(*docs.columns)), 1)) - 1)
-    keyed = docs.withColumn("__key", own)
-    texts = keyed.select(F.col("__key").alias("doc_id"), "text")
-    linked = durable(near_duplicates(texts, width, most_bits).select(F.col("component_id").alias("src"), F.col("doc_id").alias("dst")))
-    links = linked if least is None else linked.unionByName(similar_links(texts, similar_width, least))
-    later = connected_components(links).where("node <> component")
-    first = linked.select(F.col("dst").alias("__key")).join(later.select(F.col("node").alias("__key")), "__key", "left_anti")
-    one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return keyed.join(first, "__key", "left_semi").withColumn("__row", one).where("__row = 1").select(*docs.columns)
+    key = "key"
+    while key in docs.columns:
+        key += "_"
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    content = F.to_json(F.struct(*columns)) if docs.columns else F.lit("")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(content), 2))
+    keyed = docs.withColumn(key, own)
+    texts = keyed.select(F.col(key).alias("doc_id"), "text")
+    prints = durable(fingerprints(texts, width))
+    distinct = print_nodes(prints)
+    # Links are between the nodes of distinct fingerprints, however many rows have one.
+    of = prints.join(distinct, "fp").select("doc_id", "node").distinct()
+    own_first = of.groupBy("doc_id").agg(F.min("node").alias("src"))
+    links = near_links(distinct, most_bits).unionByName(of.join(own_first, "doc_id").select("src", F.col("node").alias("dst")).where("src <> dst"))
+    if least is not None:
+        similar = similar_links(texts, similar_width, least)
+        similar = similar.join(of, F.col("dst") == F.col("doc_id")).select("src", F.col("node").alias("to")).distinct()
+        links = links.unionByName(similar.join(of, F.col("src") == F.col("doc_id")).select(F.col("node").alias("src"), F.col("to").alias("dst")))
+    later = connected_components(links).where("node <> component").select("node")
+    kept = distinct.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(key))
+    one = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    row = key + "_row"
+    while row in docs.columns:
+        row += "_"
+    return keyed.join(kept, key, "left_semi").withColumn(row, one).where(F.col(row) == 1).select(*columns)
