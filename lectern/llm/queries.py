@@ -72,29 +72,38 @@ def queries() -> dict:
 
 
 def _url_sql() -> str:
-    """The verdicts of op7 in SQL: rules by a join, aliases by walking the links."""
-    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
-    host = lambda u: f"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '')"
-    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-    node = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || regexp_extract({u}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
-    found = lambda tag, kind, part: f"list_transform(list_filter(regexp_extract_all(html, {q(tag)}), lambda t: regexp_matches(t, {q(kind)})), lambda t: regexp_extract(t, {q(part)}, 1))"
-    origin = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
-    folder = f"regexp_replace(CASE WHEN {path('url')} = '' THEN '/' ELSE {path('url')} END, '[^/]*$', '')"
+    """The verdicts of op7 in SQL: rules by a join, references resolved by rewriting, aliases by walking the links."""
+    host = lambda u: f"coalesce(translate(split_part(split_part(split_part(substr({u}, strpos({u}, '://') + 3), '/', 1), '?', 1), '#', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '')"
+    after = lambda u: f"split_part(substr({u}, strpos({u}, '://') + 3), '#', 1)"
+    path = lambda u: f"coalesce(regexp_extract(split_part({after(u)}, '?', 1), '(?s)/.*'), '')"
+    query = lambda u: f"CASE WHEN strpos({after(u)}, '?') > 0 THEN substr({after(u)}, strpos({after(u)}, '?')) ELSE '' END"
+    value = lambda tag, name: f"trim(regexp_replace(regexp_extract({tag}, '(?is)[\\s\"''/]{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1), '^[\"'']|[\"'']$', '', 'g'))"
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
-    return f"""
+    return rf"""
 WITH RECURSIVE rules(action, host, path) AS (VALUES {rules}),
-l AS (SELECT url, unnest({found(url_filter.LINK, url_filter.IS_CANONICAL, url_filter.HREF)} || {found(url_filter.META, url_filter.IS_REFRESH, url_filter.TARGET)}) AS raw FROM pages),
-h AS (SELECT url, replace(raw, '&amp;', '&') AS href FROM l WHERE raw <> ''),
-w AS (SELECT {node('url')} AS src, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN {origin} || href ELSE {origin} || {folder} || href END AS whole FROM h),
-e AS (SELECT src, {node('whole')} AS dst FROM w), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+u AS (SELECT row_number() OVER () AS k, page_id, url, html, url IS NOT NULL AND strpos(url, '://') > 0 AS ok FROM pages),
+p AS (SELECT k, page_id, html, CASE WHEN ok THEN {host('url')} ELSE '' END AS host, CASE WHEN ok THEN {path('url')} ELSE '' END AS path, CASE WHEN ok THEN {query('url')} END AS query, substr(url, 1, strpos(url, '://') - 1) AS scheme FROM u),
+t AS (SELECT k, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script|$)|<style\b.*?(</style|$)', ' ', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
+r AS (SELECT k, CASE WHEN lower(tag[2:5]) = 'link' AND list_contains(regexp_split_to_array(lower({value('tag', 'rel')}), '\s+'), 'canonical') THEN {value('tag', 'href')}
+      WHEN lower(tag[2:5]) = 'meta' AND lower({value('tag', 'http-equiv')}) = 'refresh' THEN regexp_extract({value('tag', 'content')}, '(?is)^[^;,]*[;,]\s*url\s*=\s*[\"'']?\s*([^\"'']*)', 1) END AS ref FROM t),
+d AS (SELECT k, ref, list_distinct(regexp_extract_all(ref, '&#([xX]?[0-9a-fA-F]{{1,6}});', 1)) AS signs FROM r WHERE ref <> ''),
+c AS (SELECT k, trim(regexp_replace(replace(list_reduce(list_prepend(ref, signs), lambda s, m: replace(s, '&#' || m || ';', CASE WHEN (CASE WHEN m ILIKE 'x%' THEN ('0' || lower(m))::BIGINT ELSE m::BIGINT END) BETWEEN 33 AND 126 THEN chr((CASE WHEN m ILIKE 'x%' THEN ('0' || lower(m))::BIGINT ELSE m::BIGINT END)::INT) ELSE '' END)), '&amp;', '&'), '[\t\n\f\r]', '', 'g')) AS ref FROM d),
+w AS (SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS src, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN ref LIKE '//%' THEN 'x:' || ref WHEN ref LIKE '/%' THEN 'x://' || host || ref
+      WHEN ref LIKE '?%' OR ref LIKE '#%' THEN 'x://' || host || CASE WHEN path = '' THEN '/' ELSE path END || ref ELSE 'x://' || host || '/' || array_to_string(string_split(path, '/')[2:-2], '/') || CASE WHEN len(string_split(path, '/')) > 2 THEN '/' ELSE '' END || ref END AS whole
+      FROM c JOIN p USING (k) WHERE ref <> ''),
+e0 AS (SELECT src, {host('whole')} || CASE WHEN {path('whole')} = '' THEN '/' ELSE {path('whole')} END || {query('whole')} AS dst FROM w WHERE regexp_matches(whole, '^[A-Za-z][A-Za-z0-9+.-]*://') AND {host('whole')} <> ''),
+names AS (SELECT src AS raw FROM e0 UNION SELECT dst FROM e0 UNION SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query FROM p WHERE host <> ''),
+dots AS (SELECT raw, split_part(raw, '?', 1) AS now, substr(raw, length(split_part(raw, '?', 1)) + 1) AS query FROM names UNION
+      SELECT raw, CASE WHEN regexp_matches(now, '/\.(/|$)') THEN regexp_replace(now, '/\.(/|$)', '/') WHEN regexp_matches(now, '^[^/]*/\.\.(/|$)') THEN regexp_replace(now, '^([^/]*)/\.\.(/|$)', '\1/') ELSE regexp_replace(now, '/[^/]*/\.\.(/|$)', '/') END, query FROM dots WHERE regexp_matches(now, '/\.\.?(/|$)')),
+clean AS (SELECT raw, now || query AS node FROM dots WHERE NOT regexp_matches(now, '/\.\.?(/|$)')),
+e AS (SELECT a.node AS src, b.node AS dst FROM e0 JOIN clean a ON a.raw = e0.src JOIN clean b ON b.raw = e0.dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 reach AS (SELECT src AS a, dst AS z FROM b UNION SELECT r.a, b.dst FROM reach r JOIN b ON r.z = b.src),
-n AS (SELECT DISTINCT a, z, {host("('http://' || z)")} AS host, {path("('http://' || z)")} AS path FROM reach),
+n AS (SELECT DISTINCT a, z, split_part(split_part(z, '/', 1), '?', 1) AS host, regexp_extract(split_part(z, '?', 1), '(?s)/.*') AS path FROM reach),
 nr AS (SELECT n.a, arg_max(r.action, length(r.host || r.path)) AS action FROM n JOIN rules r ON (n.host = r.host OR suffix(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.a, n.z),
 bad AS (SELECT DISTINCT a FROM nr WHERE action = 'block'),
-p AS (SELECT row_number() OVER () AS k, page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages),
 own AS (SELECT p.k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.action, length(r.host || r.path)) AS action FROM p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.k)
 SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.action, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN own USING (k) LEFT JOIN bad ON bad.a = p.node"""
+FROM p LEFT JOIN own USING (k) LEFT JOIN clean ON clean.raw = p.host || CASE WHEN p.path = '' THEN '/' ELSE p.path END || p.query LEFT JOIN bad ON bad.a = clean.node"""
 
 
 def _repetition_sql() -> str:

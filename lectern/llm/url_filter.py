@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from lectern.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What a page does not show: comments and the content of scripts and styles hold no links.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1|\z)"
 LINK, META = r"(?i)<link\b[^>]*>", r"(?i)<meta\b[^>]*>"
-IS_CANONICAL, IS_REFRESH = r"(?i)\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-TARGET = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -23,11 +22,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its "." and ".." segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") | (F.size(kept) == 1), "/").otherwise(""))
+    return F.when(path.contains("/."), whole).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL without scheme and fragment, the name under which its links meet."""
+    """A URL without scheme, fragment and dot segments, the name under which its links meet."""
     path = path_of(url)
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", "/").otherwise(without_dots(path)), query))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -45,22 +54,49 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return out
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in the text of a tag, quoted or not; '' if it has none."""
+    value = r"(?is)[\s\"'/]" + name + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])
+
+
+def decoded(value: Column) -> Column:
+    """Character references of ASCII signs, by number or as &amp;, replaced; blanks around it and line ends taken out."""
+    number = lambda m: F.when(F.lower(m).startswith("x"), F.conv(F.substring(m, 2, 9), 16, 10)).otherwise(m).cast("long")
+    ascii_only = lambda m: F.when(number(m).between(33, 126), F.char(number(m)))
+    signs = F.array_distinct(F.regexp_extract_all(value, F.lit("&#([xX]?[0-9a-fA-F]{1,6});"), F.lit(1)))
+    plain = F.aggregate(signs, value, lambda acc, m: F.replace(acc, F.concat(F.lit("&#"), m, F.lit(";")), F.coalesce(ascii_only(m), F.lit(""))))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.replace(plain, F.lit("&amp;"), F.lit("&")), "[\\t\\n\\f\\r]", "")), "^ +| +$", "")
+
+
+def resolved(href: Column, url: Column) -> Column:
+    """The absolute URL that a reference on a page means; null where that is no URL with a host.
+
+    A scheme counts at the start only, so ``/go?u=http://x/`` is a path of the page's host.
+    """
+    origin, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?") | href.startswith("#"), F.concat(origin, path, href))
+        .otherwise(F.concat(origin, F.regexp_replace(path, r"[^/]*$", ""), href))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) of the canonical links and refresh redirects in ``pages`` (url, html), as nodes."""
     url = F.col("url")
-    tags = lambda tag, kind: F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
     marked = pages.where(url.isNotNull() & F.col("html").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    links = F.transform(tags(LINK, IS_CANONICAL), lambda t: F.regexp_extract(t, HREF, 1))
-    turns = F.transform(tags(META, IS_REFRESH), lambda t: F.regexp_extract(t, TARGET, 1))
-    found = marked.select("url", F.explode(F.concat(links, turns)).alias("href")).withColumn("href", F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))).where("href <> ''")
-    href, origin = F.col("href"), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = (
-        F.when(href.contains("://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(origin, F.regexp_replace(F.when(path_of(url) == "", "/").otherwise(path_of(url)), r"[^/]*$", ""), href))
-    )
-    edges = found.select(node_of(url).alias("src"), node_of(whole).alias("dst"))
+    marked = marked.select("url", F.regexp_replace("html", HIDDEN, " ").alias("html"))
+    tags = lambda tag, keep: F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), keep)
+    is_canonical = lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical")
+    is_refresh = lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh"
+    links = F.transform(tags(LINK, is_canonical), lambda t: attribute(t, "href"))
+    turns = F.transform(tags(META, is_refresh), lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?\s*([^\"']*)", 1))
+    found = marked.select("url", F.explode(F.concat(links, turns)).alias("href")).withColumn("href", decoded(F.col("href"))).where("href <> ''")
+    edges = found.select(node_of(url).alias("src"), node_of(resolved(F.col("href"), url)).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -71,8 +107,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rule's verdict, so an explicit allow is never overruled. Any other is blocked if what it
     is equivalent to - whatever redirects and canonical links join it to, in any number of
     steps, crawled or not - holds a url that a rule blocks, and allowed else. Null urls and
-    urls without :// have an empty host and path and are allowed; repeated rows stay; an
-    empty table gives an empty result.
+    urls without :// have an empty host and path and are allowed; a null html has no link;
+    repeated rows stay; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     edges = link_edges(pages.select("url", "html"))
     labelled = connected_components(edges)
@@ -82,6 +119,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     bad = seen.groupBy("component").agg(F.max("blocked").alias("blocked"))
     spread = seen.select("node", "component").join(bad, "component")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    # a url without a node goes under one of many keys that no node has, as nodes do not begin with a slash
+    rows = rows.withColumn("node", F.coalesce("node", F.concat(F.lit("/"), F.pmod(F.xxhash64("page_id"), F.lit(4096)).cast("string"))))
     rows = rows.withColumn("own", rule_for(F.col("host"), F.col("path"), rules)).join(spread, "node", "left")
     method = F.when(F.col("blocked"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.action", method).alias("verdict"), "component")
