@@ -4,50 +4,66 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import column_of, durable, keep_rows, records, slices, tidied, unit_hash
 
 ORDER = 4
+GROUP = 16
 SPACE, START = 0x20, 0x02
 COUNTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 ENTROPIES = pa.schema([("lang", pa.string()), ("e", pa.float64()), ("n", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("n_symbols", pa.int64()), ("rejected", pa.bool_())])
 
 
+def _symbol(c: str) -> int:
+    """The symbol of a character: letters in lower case, marks and joiners as they are, everything else a space."""
+    if c.isalpha():
+        low = c.lower()
+        return ord(low) if len(low) == 1 else ord(c)
+    return ord(c) if category(c)[0] == "M" or c in "\u200c\u200d" else SPACE
+
+
 @lru_cache(1)
-def symbol_table() -> np.ndarray:
-    """Code point to symbol: letters and marks in lower case, everything else a space."""
-    table = np.full(1 << 16, SPACE, np.uint16)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()
-            table[cp] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else cp
-    table[0x300:0x370] = np.arange(0x300, 0x370)
+def symbol_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each UTF-16 unit its symbol, and whether that is of a letter. Units of pairs are themselves."""
+    table = np.array([cp if 0xD800 <= cp < 0xE000 else _symbol(chr(cp)) for cp in range(1 << 16)])
+    table[table > 0xFFFF] = SPACE
     table[START] = START
-    return table
+    letters = np.array([chr(s).isalpha() or 0xD800 <= s < 0xDC00 for s in range(1 << 16)])
+    return table.astype(np.uint16), letters
 
 
 def symbols(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts in turn, which of them count, and the text each belongs to.
 
+    A symbol is a UTF-16 unit, so a letter beyond the first plane is two, and none is lost.
     Every text follows ORDER - 1 start symbols and one space, and ends with a space; runs
     of spaces are one. The start symbols and the space after them only serve as context.
     """
     gap = chr(START) * (ORDER - 1) + " "
     clean = [(t or "").replace(chr(START), " ") for t in texts]
     joined = gap + (" " + gap).join(clean) + " "
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = symbol_table()
-    s = table[np.minimum(cp, 0xFFFF)]
-    if (high := np.flatnonzero(cp > 0xFFFF)).size:
-        s[high] = [0xFFFE if chr(c).isalpha() else SPACE for c in cp[high].tolist()]
-    lengths = np.array([len(t) + len(gap) + 1 for t in clean])
+    units = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), np.uint16)
+    s = symbol_table()[0][units]
+    lengths = np.array([len(t) for t in clean])
+    high = np.flatnonzero((units[:-1] & 0xFC00 == 0xD800) & (units[1:] & 0xFC00 == 0xDC00))
+    alone = (units & 0xF800) == 0xD800
+    if high.size:
+        alone[high] = alone[high + 1] = False
+        codes = 0x10000 + ((units[high].astype(np.int64) & 0x3FF) << 10 | units[high + 1] & 0x3FF)
+        kinds, which = np.unique(codes, return_inverse=True)
+        made = np.array([_symbol(chr(c)) for c in kinds.tolist()])[which]
+        s[high] = np.where(made == SPACE, SPACE, 0xD800 + (made - 0x10000 >> 10))
+        s[high + 1] = np.where(made == SPACE, SPACE, 0xDC00 + (made & 0x3FF))
+        lengths = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in clean])
+    s[alone] = SPACE
+    lengths = lengths + len(gap) + 1
     owner = np.repeat(np.arange(len(clean)), lengths)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != SPACE) | (s[:-1] != SPACE)
@@ -159,31 +175,43 @@ class OneLanguage:
 
 
 class LanguageModels:
-    """All languages in one table per order: log-probabilities of every gram that any has seen."""
+    """All languages: by order the log-probabilities of every gram that any has seen, in sorted hash arrays.
+
+    Languages stand side by side in tables of ``GROUP`` at most, so that a gram of one takes
+    no room in the tables of hundreds of others.
+    """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         models = [OneLanguage.of(*counts[name]) for name in self.langs]
         self.kinds = len(np.unique(np.concatenate([m.grams[0] for m in models]))) + 1 if models else 1
-        self.seen, self.left = [], []
+        self.groups = [self._tables(models[k : k + GROUP]) for k in range(0, len(models), GROUP)]
+        self.calibration: dict[str, tuple[float, float]] = {}
+
+    def _tables(self, models: list[OneLanguage]) -> tuple[list, list]:
+        seen, left = [], []
         for k in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([m.grams[k - 1] for m in models])) if models else np.empty(0, np.uint64)
-            p = np.array([m.probability(k, keys, self.kinds) for m in models]).T.reshape(len(keys), len(models))
-            self.seen.append(HashArray(keys, np.log(p).astype(np.float32)))
+            keys = np.unique(np.concatenate([m.grams[k - 1] for m in models]))
+            p = np.array([m.probability(k, keys, self.kinds) for m in models]).T
+            seen.append(HashArray(keys, np.log(p).astype(np.float32)))
             context = np.unique(keys >> np.uint64(16))
-            w = np.array([m.weight(k, context) for m in models]).T.reshape(len(context), len(models))
-            self.left.append(HashArray(context, np.log(w).astype(np.float32)))
-        self.calibration: dict[str, tuple[float, float]] = {}
+            w = np.array([m.weight(k, context) for m in models]).T
+            left.append(HashArray(context, np.log(w).astype(np.float32)))
+        return seen, left
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._of_group(g, keys, ORDER) for g in self.groups], axis=1)
 
-    def log_probabilities(self, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
+    def _of_group(self, group: tuple[list, list], keys: np.ndarray, k: int) -> np.ndarray:
+        seen, left = group
         if not k:
-            return np.full((len(keys), len(self.langs)), -np.log(self.kinds), np.float32)
-        at = self.seen[k - 1].find(keys)
-        out = self.seen[k - 1].values[np.maximum(at, 0)]
+            return np.full((len(keys), seen[0].values.shape[1]), -np.log(self.kinds), np.float32)
+        at = seen[k - 1].find(keys)
+        out = seen[k - 1].values[np.maximum(at, 0)]
         if (miss := np.flatnonzero(at < 0)).size:
-            below = self.log_probabilities(low(keys[miss], k - 1), k - 1)
-            c = self.left[k - 1].find(keys[miss] >> np.uint64(16))
-            below[c >= 0] += self.left[k - 1].values[c[c >= 0]]
+            below = self._of_group(group, low(keys[miss], k - 1), k - 1)
+            c = left[k - 1].find(keys[miss] >> np.uint64(16))
+            below[c >= 0] += left[k - 1].values[c[c >= 0]]
             out[miss] = below
         return out
 
@@ -198,8 +226,7 @@ class LanguageModels:
         g = grams(s)[counts]
         of = owner[counts]
         n = np.bincount(of, minlength=len(texts))
-        sign = s[counts]
-        letters = np.bincount(of, weights=(sign != SPACE) & ((sign < 0x300) | (sign >= 0x370)), minlength=len(texts))
+        letters = np.bincount(of, weights=symbol_table()[1][s[counts]], minlength=len(texts))
         out = np.zeros((len(texts), len(self.langs)))
         if len(g) and self.langs:
             logs = self.log_probabilities(g)
@@ -209,12 +236,20 @@ class LanguageModels:
         return out, np.where(letters > 0, n, 0)
 
     def excess(self, lang: str, entropy: float, n: int) -> float:
-        """How far a text is above its language's usual cross-entropy, by what its length allows."""
+        """How far a text is above its language's usual cross-entropy, by what its length allows.
+
+        All symbols are in the cross-entropy; beyond 400 its spread is that of the texts'
+        kinds and no longer falls with the length.
+        """
         mean = self.calibration.get(lang, (0.0, 0.0))[0]
         return (entropy - mean) * min(n, 400) ** 0.5
 
     def judge(self, texts: list) -> list[tuple[str, float, float, int, bool]]:
-        """For each text: language, score, cross-entropy, symbols, whether it is rejected."""
+        """For each text: language, score, cross-entropy, symbols, whether it is rejected.
+
+        The score is the language's share among all by the odds that 60 symbols give at the
+        whole text's cross-entropies (all, if fewer), as the symbols of a text are not independent.
+        """
         entropy, n = self.entropies(texts)
         out = []
         for e, k in zip(entropy, n.tolist(), strict=True):
@@ -229,36 +264,27 @@ class LanguageModels:
         return out
 
 
-def fair_size(sizes: list[int], most: int) -> int:
-    """The largest size such that lists cut to it hold ``most`` together; smaller lists stay whole."""
-    left = most
-    for k, n in enumerate(sorted(sizes)):
-        if n * (len(sizes) - k) > left:
-            return max(1, left // (len(sizes) - k))
-        left -= n
-    return max(sizes, default=0)
-
-
-def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0, most_languages: int = 1000) -> LanguageModels:
+def train(labelled: DataFrame, most_rows: int = 3000, most_texts: int = 48_000, quantile: float = 0.99, slack: float = 3.0, least_limit: float = 12.0) -> LanguageModels:
     """Models of the languages in ``labelled`` (doc_id, text, lang).
 
-    Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, so
-    the model has a bounded size whatever the table's; beyond ``most_grams`` different
-    grams the rarest of the languages that have most are left out, down to one size for
-    these, so that no language loses any because others are larger. Rejection is calibrated on the same texts, each half
-    judged by models of the other half: the limit is ``slack`` times the given quantile of
-    their excess, ``least_limit`` at least, so that names or codes in a text reject none. Rows with null ids, texts or
-    languages teach nothing; without any row there is no language and all is ``und``.
+    Learns from about ``most_rows`` whole texts a language, chosen by a hash of the id, and
+    from fewer of each if there are so many languages that it would be more than
+    ``most_texts`` together; so the model has a bounded size whatever the table's. All grams
+    of these texts count. Rejection is calibrated on the same texts, each half judged by
+    models of the other half: the limit is ``slack`` times the given quantile of their
+    excess, ``least_limit`` at least, so that names or codes in a text reject none. Rows
+    with null ids, texts or languages teach nothing; repeated rows count as often as they
+    are there; without any row there is no language and all is ``und``. Other columns are
+    ignored, whatever their names.
     """
-    known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"{len(sizes)} languages, {most_languages} at most")
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (unit_hash(F.col("doc_id"), "language") < min(1.0, most_rows / n)))
+    known = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
+    sizes = durable(known.groupBy("lang").count().select("lang", F.col("count").alias("n_texts")))
+    n_languages = sizes.count()
+    each = max(1, min(most_rows, most_texts // max(1, n_languages)))
+    chosen = unit_hash(F.col("doc_id"), "language") < F.lit(float(each)) / F.col("n_texts")
+    known = known.join(F.broadcast(sizes) if n_languages <= 100_000 else sizes, "lang").where(chosen)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
-    sample = durable(known.where(chosen).select("lang", half.alias("part"), "text"))
+    sample = durable(known.select("lang", half.alias("part"), "text"))
 
     @tidied
     def count(batches):
@@ -277,11 +303,6 @@ def train(labelled: DataFrame, most_rows: int = 3000, most_grams: int = 3_000_00
             yield records([[name] * len(keys), [part] * len(keys), keys.view(np.int64), n.astype(np.int64)], COUNTS)
 
     counted = sample.mapInArrow(count, "lang string, part int, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
-    counted = durable(counted)
-    held = [r["count"] for r in counted.groupBy("lang", "part").count().collect()]
-    if sum(held) > most_grams:
-        place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))
-        counted = counted.withColumn("place", place).where(F.col("place") <= fair_size(held, most_grams)).drop("place")
     got = counted.toPandas()
     models = _of_counts(got)
     if models.langs:
@@ -316,7 +337,8 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     Returns doc_id, lang_pred, score, cross_entropy (nats a symbol), n_symbols, rejected.
     A null text or one without a letter is ``und`` with score 0 and rejected; else
     lang_pred is a learned language even where the text is rejected as unlike all of them.
-    Repeated rows and null ids are judged like any other. No shuffle.
+    Repeated rows and null ids are judged like any other; an empty table gives an empty
+    result; other columns are ignored, whatever their names. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -330,6 +352,10 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not rejected as unlike every learned language."""
+    """The rows of ``docs``, all columns, that are not rejected as unlike every learned language.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; columns may
+    have any names; an empty table gives an empty result. No shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return keep_rows(docs, lambda texts: [not j[4] for j in shared.value.judge(texts)])
