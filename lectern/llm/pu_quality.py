@@ -119,21 +119,43 @@ class QualityModel:
         return sigmoid(self.slope * self.margin(x) + self.shift)
 
 
-def class_prior(positive: np.ndarray, unlabelled, least_share: float = 0.4) -> float:
-    """The share of positives among the unlabelled, from scores of both.
+def prior_cuts(positive: np.ndarray, least_share: float = 0.8) -> np.ndarray:
+    """Rising cuts of a score, all of which leave ``least_share`` of the positives or more."""
+    return np.quantile(positive, np.linspace(0, 1 - least_share, 25))
 
-    ``unlabelled`` is an array, or a function that gives for cuts the shares at or above.
 
-    Where a score is typical of positives, the unlabelled are positives nearly alone: the
-    ratio of the two tails is the prior or more at every cut, so the least ratio is taken,
-    over cuts that leave a fair share of the positives.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, cuts: np.ndarray) -> float:
+    """The share of positives among the unlabelled.
+
+    ``positive`` holds scores, ``unlabelled`` how many texts lie below, between and above the
+    cuts. Where a score is typical of positives, the unlabelled are positives nearly alone:
+    the ratio of the two tails is the prior or more at every cut, so the least ratio is
+    taken, over cuts that leave most of the positives, where it is least noisy.
     """
-    cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 25))
     p = np.array([(positive >= c).mean() for c in cuts])
-    u = unlabelled(cuts) if callable(unlabelled) else np.array([(unlabelled >= c).mean() for c in cuts])
+    u = unlabelled[::-1].cumsum()[::-1][1:] / max(1, unlabelled.sum())
     return float(np.clip((u / p).min(), 0.02, 0.98))
 
 
+def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of margins that minimise the unbiased risk, by Newton steps.
+
+    With the logistic loss that risk is prior * E_P[-f] + E_U[log(1 + e^f)], convex in the
+    two numbers; its least value makes the mean score of the unlabelled the prior.
+    """
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        s = sigmoid(a * unlabelled + b)
+        v = s * (1 - s)
+        g = np.array([(s * unlabelled).mean() - prior * positive.mean(), s.mean() - prior])
+        cross = (v * unlabelled).mean()
+        step = np.clip(np.linalg.solve(np.array([[(v * unlabelled**2).mean() + 1e-4, cross], [cross, v.mean() + 1e-4]]), g), -0.5, 0.5)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(float(a), 1e-3), float(b)
+
+
 def fit_risk(model: QualityModel, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> None:
     """Minimise the non-negative unbiased risk with the logistic loss, by full-batch Adam.
 
@@ -167,66 +189,65 @@ def cell_edges(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.concatenate([edges, np.quantile(some, np.linspace(0, 1, bins // 2 + 1)[:-1])]) if len(some) else edges)
 
 
-def fit_model(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, bins: int = 12, tally=None) -> QualityModel:
+def fit_model(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, tally=None) -> QualityModel:
     """A model from features of trusted positives and unlabelled text; without either, a flat one.
 
-    Negatives are no part of the risk; they serve, with the positives, to calibrate the
-    score (a slope and a shift). The prior is read off what the first fit had not seen:
-    ``tally`` (of a model and rising cuts) counts the margins of the whole corpus between
-    the cuts, those of the first fit are taken off; without it the rest of ``unlabelled`` serves.
+    No negative is asked for. The prior is read off margins of two models, each on the half
+    of the texts that it had not seen: ``tally`` (of models and rising cuts) counts for each
+    model the margins of the whole corpus between the cuts, those of its own half are taken
+    off; without it the other half of ``unlabelled`` serves. Two more models of the halves,
+    fitted with that prior, give the margins that slope and shift of the score come from.
     """
     both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, len(FEATURES)), np.float32)
     edges = [cell_edges(both[:, j], bins) for j in range(len(FEATURES))]
     wide = max(len(e) for e in edges) + 1
-    model = QualityModel(edges, np.zeros((len(FEATURES), wide)), 0.0, 0.5)
+    flat = lambda: QualityModel(edges, np.zeros((len(FEATURES), wide)), 0.0, 0.5)
+    model = flat()
     if not len(positive) or not len(unlabelled):
         return model
-    fit_risk(model, positive[::2], unlabelled[::2], 0.5, steps=150)  # the prior is read off what this has not seen
     if len(positive) > 1 and len(unlabelled) > 1:
-        rest = model.margin(unlabelled[1::2])
-        if tally is not None:
-            seen = model.margin(unlabelled[::2])
 
-            def rest(cuts):
-                n = tally(model, cuts) - np.bincount(np.searchsorted(cuts, seen, side="right"), minlength=len(cuts) + 1)
-                return n[::-1].cumsum()[::-1][1:] / n.sum()
-
-        model.prior = class_prior(model.margin(positive[1::2]), rest)
+        def halves(prior: float, steps: int) -> tuple[list, list, list]:
+            made = [flat(), flat()]
+            for k, m in enumerate(made):
+                fit_risk(m, positive[k::2], unlabelled[k::2], prior, steps=steps)
+            return made, *([m.margin(x[1 - k :: 2]) for k, m in enumerate(made)] for x in (positive, unlabelled))
+
+        made, p, u = halves(0.5, 150)
+        cuts = prior_cuts(np.concatenate(p))
+        count = lambda f: np.bincount(np.searchsorted(cuts, f, side="right"), minlength=len(cuts) + 1)
+        if tally is None:
+            n = count(np.concatenate(u))
+        else:
+            n = tally(made, cuts) - sum(count(m.margin(unlabelled[k::2])) for k, m in enumerate(made))
+        model.prior = class_prior(np.concatenate(p), n, cuts)
+        _, p, u = halves(model.prior, 400)
+        model.slope, model.shift = calibrated(np.concatenate(p), np.concatenate(u), model.prior)
     fit_risk(model, positive, unlabelled, model.prior)
-    if len(negative):
-        f = np.concatenate([model.margin(positive), model.margin(negative)])
-        y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-        a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps on the two numbers
-            p = sigmoid(a * f + b)
-            v = np.maximum(p * (1 - p), 1e-6)
-            h = np.array([[(v * f * f).sum() + 1e-3, (v * f).sum()], [(v * f).sum(), v.sum() + 1e-3]])
-            da, db = np.linalg.solve(h, [((y - p) * f).sum(), (y - p).sum()])
-            a, b = a + float(np.clip(da, -1, 1)), b + float(np.clip(db, -1, 1))
-        model.slope, model.shift = max(a, 1e-3), b
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_unlabelled: int = 9000) -> QualityModel:
     """Learn from ``labels`` (doc_id, label) and the texts of ``docs`` (doc_id, text).
 
-    The caller leaves out what must not be learned from. Takes at most ``most_labelled``
-    labels and about ``most_unlabelled`` texts, chosen by a hash of the id, whole texts
-    each; these bounds fix the size of what reaches the driver and of what is broadcast.
-    The class prior is of the whole corpus: all texts but those of the first fit count: they are
-    scored once, and numbers of margins between the cuts are summed up.
-    Rows with nulls teach nothing.
+    The caller leaves out what must not be learned from. Only rows with label 1 count, as
+    trusted positives: at most ``most_labelled``, and about ``most_unlabelled`` texts of any
+    kind, chosen by a hash of the id, whole texts each; these bounds fix the size of what
+    reaches the driver and of what is broadcast. The class prior is of the whole corpus: all
+    texts but those of the fits are scored once, and numbers of margins between the cuts are
+    summed up. Rows with nulls teach nothing; a label given twice counts once; without
+    labels or texts all scores are 0.5. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     order = unit_hash(F.col("doc_id"), "quality")
-    chosen = labels.where("doc_id is not null and label is not null").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(most_labelled)
-    ids = {r["doc_id"]: int(r["label"]) for r in chosen.collect()}
+    chosen = labels.where("doc_id is not null and label = 1").select("doc_id").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(most_labelled)
+    ids = {r["doc_id"] for r in chosen.collect()}
     shared = spark.sparkContext.broadcast(ids)
     rows = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) as doc_id", "text")
     share = min(1.0, most_unlabelled / max(1, rows.count()))
     picked = spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id bigint").withColumn("labelled", F.lit(True))
     whole = rows.select("text")
-    rows = rows.join(F.broadcast(picked), "doc_id", "left")
+    rows = rows.join(F.broadcast(picked), "doc_id", "left")  # at most ``most_labelled`` ids
     rows = rows.withColumn("free", unit_hash(F.col("doc_id"), "unlabelled") < share).where("labelled or free")
 
     @tidied
@@ -237,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
                 kinds, values = [], []
                 for i, doc_id, free in zip(range(len(x)), column_of(part, "doc_id").to_pylist(), column_of(part, "free").to_pylist(), strict=True):
                     if doc_id in shared.value:
-                        kinds.append(shared.value[doc_id])
+                        kinds.append(1)
                         values.append(x[i])
                     if free:
                         kinds.append(-1)
@@ -250,16 +271,18 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
     order = np.lexsort((*x.T, kind))  # the same model whatever order the rows came in
     kind, x = kind[order], x[order]
 
-    def tally(model: QualityModel, cuts: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((model, cuts))
+    def tally(models: list, cuts: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((models, cuts))
 
         @tidied
         def count(batches):
-            model, cuts = shared.value
+            models, cuts = shared.value
             n = np.zeros(len(cuts) + 1, np.int64)
             for batch in batches:
                 for _, texts in slices(batch, "text", 1_000_000):
-                    n += np.bincount(np.searchsorted(cuts, model.margin(features(texts)), side="right"), minlength=len(n))
+                    x = features(texts)
+                    for m in models:
+                        n += np.bincount(np.searchsorted(cuts, m.margin(x), side="right"), minlength=len(n))
             yield records([np.arange(len(n)), n], TALLY)
 
         found = whole.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -268,14 +291,15 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 9000, most_un
             n[r["cell"]] = r["n"]
         return n
 
-    return fit_model(x[kind == 1], x[kind == -1], x[kind == 0], tally=tally if share < 1 else None)  # else the sample is the corpus
+    return fit_model(x[kind == 1], x[kind == -1], tally=tally if share < 1 else None)  # else the sample is the corpus
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) for each row of ``docs`` (doc_id, text), from the whole text alone.
 
     Null and empty texts have zero features and a score like any other; repeated rows and
-    null ids too. No shuffle.
+    null ids too. An empty table gives an empty result; other columns are ignored, whatever
+    their names. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -289,6 +313,10 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    """The rows of ``docs``, all columns, whose score is ``least`` or more.
+
+    Null and empty texts are scored like any other; repeated rows are judged alike; columns
+    may have any names; an empty table gives an empty result. No shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return keep_rows(docs, lambda texts: shared.value.score(features(texts)) >= least)
