@@ -121,8 +121,9 @@ def repetition_rules(docs: DataFrame, least_repeat: int = 10, most_covered: floa
     space; a null or empty text has none and fails the base. A text that passes the base is
     kept if its repeated runs of at least ``least_repeat`` words cover no more than the
     share ``most_covered`` of its words and none is longer than ``most_repeat`` words.
-    Repeated rows and null ids are judged like any other; no shuffle; a worker holds one
-    slice of about a million characters, or one text.
+    Repeated rows and null ids are judged like any other; an empty table gives an empty
+    result; other columns are ignored, whatever their names. No shuffle; a worker holds one
+    slice of about a million bytes, or one text.
     """
 
     @tidied

@@ -83,19 +83,20 @@ def fit(of: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, s
     return w * ratio, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 14, least_texts: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 1 << 12, least_texts: int = 3) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, label) and the texts of ``docs`` (doc_id, text).
 
     Takes at most ``most_rows`` labels, chosen by a hash of the id, with their whole texts;
     the ``most_features`` n-grams that tell the classes apart best, of those in at least
     ``least_texts`` texts. These bounds fix the size of what is broadcast and of what
-    reaches the driver. Rows with nulls teach nothing; without labels all scores are equal.
+    reaches the driver. Rows with nulls teach nothing; a label given twice counts once;
+    without labels or texts all scores are equal. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and label is not null").dropDuplicates(["doc_id"]).orderBy(unit_hash(F.col("doc_id"), "toxicity"), "doc_id").limit(most_rows)
     chosen = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in chosen.collect()], "doc_id bigint, label int")
     rows = docs.where("text is not null").selectExpr("cast(doc_id as bigint) as doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    rows = durable(rows.repartition(12))
+    rows = durable(rows.repartition(max(1, most_rows // 1000)))  # about a thousand texts a task
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
 
@@ -141,7 +142,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) for each row of ``docs`` (doc_id, text), from the whole text alone.
 
     A null or empty text has no n-gram and the score of the bias; repeated rows and null
-    ids are scored like any other. No shuffle.
+    ids are scored like any other; an empty table gives an empty result; other columns are
+    ignored, whatever their names. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
