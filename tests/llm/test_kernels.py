@@ -222,14 +222,14 @@ def test_class_prior_and_risk():
     rnd = np.random.default_rng(0)
     good, bad = rnd.normal(1, 0.5, (4000, len(pu_quality.FEATURES))), rnd.normal(-1, 0.5, (4000, len(pu_quality.FEATURES)))
     mixed = np.concatenate([good[2000:], bad[:1000]])
-    model = pu_quality.fit_model(good[:2000].astype(np.float32), mixed.astype(np.float32), bad[:0].astype(np.float32))
+    model = pu_quality.fit_model(good[:2000].astype(np.float32), mixed.astype(np.float32))
     assert 0.5 < model.prior < 0.75
     assert (model.score(good[:2000]) > 0.5).mean() > 0.97 and (model.score(bad[2000:]) < 0.5).mean() > 0.97
 
 
 def test_no_labels_still_scores():
     empty = np.zeros((0, len(pu_quality.FEATURES)), np.float32)
-    assert pu_quality.fit_model(empty, empty, empty).score(pu_quality.features(["x"])).tolist() == [0.5]
+    assert pu_quality.fit_model(empty, empty).score(pu_quality.features(["x"])).tolist() == [0.5]
     w, b = toxicity.fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
     assert len(w) == 0 and b == 0
 
@@ -239,6 +239,16 @@ def test_ngram_presence_counts_once():
     assert len(set(zip(of.tolist(), feature.tolist(), strict=True))) == len(of) and 1 not in of
 
 
+def test_symbols_keep_marks_and_whole_code_points():
+    text = "हिन्दी में, नमस्ते"
+    s, counts, _ = lang_id.symbols([text])
+    assert "".join(map(chr, s[counts].tolist())).strip() == text.replace(",", "")
+    s, counts, owner = lang_id.symbols(["\U00010400\U0001f600\U00010331x", "", "a"])  # Deseret in lower case, an emoji, Gothic
+    assert s[counts & (owner == 0)].astype("<u2").tobytes().decode("utf-16-le") == "\U00010428 \U00010331x "
+    s, counts, _ = lang_id.symbols(["a\ud800b"])
+    assert "".join(map(chr, s[counts].tolist())) == "a b "
+
+
 # --- pages
 
 
@@ -252,6 +262,21 @@ def test_ngram_presence_counts_once():
         ("<article><p title='a>b'>t<script>var x='</p>';</script><style>p{}</style></p><!-- <p>no</p> -->z</article>", "t\nz"),
         ("<article><p><b>bold<br><p>next</b></p><ul><li>one<li>two</ul></article>", "bold\nnext\none\ntwo"),
         ("<article><header><h1>In</h1></header><p>x &am y &amp z</p><aside>no</aside></article>", "In\nx &am y & z"),
+        # raw text holds anything up to its own end tag
+        ("<script>if(a<b){x=1}</script><article>kept</article>", "kept"), ('<script>var s="<!--"</script><article>kept</article>', "kept"), ("<style>a:after{content:'<nav>'}</style><p>kept", "kept"),
+        ("<script>document.write('<p>no</p>')</SCRIPT ><p>kept</p>", "kept"), ("<title>a<b</title><textarea><p>no</textarea><p>kept</p>", "kept"), ("<p>kept</p><script>open", "kept"),
+        ("<html><head><title>t</title><meta charset=x><body><article>kept</article>", "kept"), ("<head><p>kept</p>", "kept"), ("<svg><svg><text>no</text></svg>no</svg>kept", "kept"),
+        # attributes
+        ("<article><p data-x='" + "y>" * 4000 + "'>Hello</p></article>", "Hello"), ("<article><p title='a hidden gem'>kept</p><p hidden>no</p></article>", "kept"), ("<p class=\"x'>kept</p><p>more</p>", "kept\nmore"),
+        ("<p \"a>kept</p>", "kept"), ("<article><p title='class=ad' class=b>kept</p><p class='ad'>no</p></article>", "kept"),
+        # which of several marks
+        ("<main><p>Long text of it</p><article class='card'>card</article></main>", "Long text of it"), ("<article><p>The long article itself</p></article><article>teaser</article>", "The long article itself"),
+        ("<article>The long article itself<article class=feedback>reply</article><article>and one more reply</article></article>", "The long article itself"),
+        ("<article>T<article>The long article inside another one</article></article>", "The long article inside another one"), ("<article>one part</article><article>two parts</article>", "one part\ntwo parts"),
+        ("<main><h1>t</h1><article>The long article itself</article></main>", "The long article itself"), ("<article></article><p>kept</p>", "kept"), ("<main></main><p>kept</p>", "kept"),
+        # tags left open, and end tags that reach too far
+        ("<article><p class=ad>no<div>kept</div></article>", "kept"), ("<article><table><tr><td class=sidebar>no<td>kept</table></article>", "kept"), ("<span><article>a</span> b</article>", "a b"),
+        ("<article><table><tr><td>a</div>b</td></tr></table>c</article>", "a\nb\nc"), ("a<!-->b<!--->c<!-- x --!>d</ x>e</>f<?x?>g<![CDATA[h]]>i", "abcdefgi"), ("super<wbr>long", "superlong"), ("x < y <3 <", "x < y <3 <"),
     ],
 )
 def test_article_of_one_page(html, text):
@@ -265,6 +290,16 @@ def test_repeated_runs_go_without_marks():
     assert got == [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(3)]
 
 
+def test_common_runs_go_inside_an_article():
+    share = "<div>send this to all of your friends by mail or print</div>"
+    passage = "a passage that some but not all pages of the site quote"
+    pages = [f"<article><p>{' '.join(f'w{k}x{i}' for i in range(30))}</p>{share}<p>{passage if k < 5 else k}</p></article>" for k in range(10)]
+    got = html_extract.main_texts([html_extract.parse(p) for p in pages])
+    assert got == [" ".join(f"w{k}x{i}" for i in range(30)) + f"\n{passage if k < 5 else k}" for k in range(10)]
+    same = [html_extract.parse(f"<article>{' '.join(map(str, range(40)))} {k}</article>") for k in range(10)]
+    assert [len(t.split()) for t in html_extract.main_texts(same)] == [41] * 10
+
+
 def test_copies_of_a_page_are_no_boilerplate():
     page = "<p>" + " ".join(f"w{i}" for i in range(40)) + "</p>"
     assert all(html_extract.main_texts([html_extract.parse(page)] * 3))
@@ -274,7 +309,7 @@ def test_copies_of_a_page_are_no_boilerplate():
 def test_repeated_tokens_against_all_pairs(seed):
     rnd = random.Random(seed)
     streams = [np.array([rnd.randint(0, 2) for _ in range(rnd.randint(0, 40))], np.int64) for _ in range(5)]
-    got = html_extract.repeated_tokens(streams, 4)
+    got = html_extract.repeated_tokens(streams, 4)[0]
     for a, (s, flags) in enumerate(zip(streams, got, strict=True)):
         want = np.zeros(len(s), bool)
         for b, t in enumerate(streams):
