@@ -2,69 +2,106 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MARKER = re.compile(r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]")
-OPEN_TAIL = re.compile(r"\[[\d,\s]*\Z")
-LONGEST_TAIL = 32
+from lectern.functions import text as X
 
+#: Fixed value: a bracket left open is held back up to this many characters.
+LONGEST_TAIL = 32
+#: Where the scan is: outside brackets, before a number, in one, behind one, or in a bracket that can be no marker.
+OUTSIDE, BEFORE, NUMBER, BEHIND, BROKEN = range(5)
+DIGIT, COMMA, BLANK, CLOSE = range(4)
+#: What follows on each state inside a bracket, by the kind of character.
+NEXT = {
+    BEFORE: {DIGIT: NUMBER, COMMA: BROKEN, BLANK: BEFORE},
+    NUMBER: {DIGIT: NUMBER, COMMA: BEFORE, BLANK: BEHIND},
+    BEHIND: {DIGIT: BROKEN, COMMA: BEFORE, BLANK: BEHIND},
+    BROKEN: {DIGIT: BROKEN, COMMA: BROKEN, BLANK: BROKEN},
+}
 
-class MarkerStream:
-    """Holds back what may become a marker, rewrites markers to known sources, remembers those."""
 
-    def __init__(self, sources: int, held: str = "", used: tuple = ()):
-        self.sources, self.held, self.used = sources, held, set(used)
+def kind_of(c: str) -> int | None:
+    return DIGIT if c.isdecimal() else COMMA if c == "," else CLOSE if c == "]" else BLANK if c.isspace() else None
 
-    def _known(self, m: re.Match) -> str:
-        kept = [i for i in map(int, re.findall(r"\d+", m[0])) if 1 <= i <= self.sources]
-        self.used.update(kept)
-        return "".join(f"[{i}]" for i in kept)
 
-    def feed(self, delta: str) -> str:
-        text = self.held + delta
-        tail = OPEN_TAIL.search(text)
-        cut = tail.start() if tail and len(text) - tail.start() <= LONGEST_TAIL else len(text)
-        self.held = text[cut:]
-        return MARKER.sub(self._known, text[:cut])
+def scan(text: str, sources: int) -> tuple[str, str, set[int]]:
+    """One pass over a text: what is safe to show, the bracket left open at its end, the sources cited.
 
-    def finish(self) -> str:
-        rest, self.held = OPEN_TAIL.sub("", self.held), ""
-        return MARKER.sub(self._known, rest)
+    A marker's numbers within 1..sources stay, one bracket each; all else is as it was.
+    """
+    shown: list[str] = []
+    cited: set[int] = set()
+    state, start = OUTSIDE, 0
+    numbers: list[str] = []
+    for k, c in enumerate(text):
+        if c == "[":
+            shown.append(text[start:k])
+            state, start, numbers = BEFORE, k, [""]
+            continue
+        if state == OUTSIDE:
+            continue
+        kind = kind_of(c)
+        if kind == CLOSE and state in (NUMBER, BEHIND):
+            known = [n for n in map(int, numbers) if 1 <= n <= sources]
+            cited.update(known)
+            shown += [f"[{n}]" for n in known]
+            state, start = OUTSIDE, k + 1
+        elif kind is None or kind == CLOSE:
+            state = OUTSIDE
+        else:
+            state = NEXT[state][kind]
+            if kind == DIGIT:
+                numbers[-1] += c
+            elif kind == COMMA:
+                numbers.append("")
+    if state == OUTSIDE or len(text) - start > LONGEST_TAIL:
+        return "".join(shown) + text[start:], "", cited
+    return "".join(shown), text[start:], cited
 
 
 def filter_deltas(deltas: DataFrame) -> DataFrame:
-    """Whole streams (conv_id, seq, delta, n_sources) as text and used markers, stream by stream in order of seq."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        stream = MarkerStream(int(part["n_sources"].iloc[0]))
-        text = "".join(map(stream.feed, part["delta"])) + stream.finish()
-        return pd.DataFrame([(part["conv_id"].iloc[0], text, sorted(stream.used))], columns=["conv_id", "text", "used"])
+    """Whole streams (conv_id, seq, delta, n_sources) as text and used markers.
 
-    return deltas.groupBy("conv_id").applyInPandas(run, "conv_id bigint, text string, used array<int>")
+    A stream's pieces are joined in order of seq and the text rewritten at once by
+    ``valid_markers``; a bracket left open at the end goes, if it is no longer than what a
+    stream would hold back.
+    """
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
+    whole = deltas.groupBy("conv_id").agg(joined.alias("text"), F.first("n_sources").alias("n_sources"))
+    kept = F.regexp_replace(F.col("text"), rf"\[[0-9,\s]{{0,{LONGEST_TAIL - 1}}}\z", "")
+    return whole.select("conv_id", X.valid_markers(kept, F.col("n_sources")).alias("text"), X.markers_used(kept, F.col("n_sources")).alias("used"))
 
 
-def filter_stream(deltas: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
+def filter_stream(deltas: DataFrame, idle: str | None = "10 minutes") -> DataFrame:
     """The same on a streaming DataFrame (conv_id, seq, delta, n_sources, last): emits the safe text of each batch.
 
-    State is the held tail and the used markers of each conversation; it goes with the last delta.
+    State is the open bracket and the used markers of each conversation. It goes with the
+    last delta, or when none has come for ``idle``: then what was held back is dropped, as at
+    an end, and the conversation is reported as done. Queries that are to end by themselves
+    (trigger availableNow) take None, as a time-out keeps a query awake.
     """
     from pyspark.sql.streaming.state import GroupState
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+
     def run(key, parts, state: GroupState):
         held, used = state.get if state.exists else ("", "")
-        rows = pd.concat(list(parts)).sort_values("seq")
-        stream = MarkerStream(int(rows["n_sources"].iloc[0]), held, tuple(map(int, used.split())))
-        text = "".join(map(stream.feed, rows["delta"]))
-        done = bool(rows["last"].any())
+        cited, shown, done = {int(n) for n in used.split()}, [], state.hasTimedOut
+        if not done:
+            rows = pd.concat(list(parts)).sort_values("seq")
+            for delta, sources in zip(rows["delta"], rows["n_sources"], strict=True):
+                text, held, new = scan(held + delta, int(sources))
+                shown.append(text)
+                cited |= new
+            done = bool(rows["last"].any())
         if done:
-            text += stream.finish()
             state.remove()
         else:
-            state.update((stream.held, " ".join(map(str, sorted(stream.used)))))
-        yield pd.DataFrame({"conv_id": [key[0]], "text": [text], "used": [sorted(stream.used)], "done": [done]})
+            state.update((held, " ".join(map(str, sorted(cited)))))
+            if wait:
+                state.setTimeoutDuration(wait)
+        yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(shown)], "used": [sorted(cited)], "done": [done]})
 
-    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id bigint, text string, used array<int>, done boolean", "held string, used string", "append", timeout)
+    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id bigint, text string, used array<int>, done boolean", "held string, used string", "append", "ProcessingTimeTimeout" if wait else "NoTimeout")

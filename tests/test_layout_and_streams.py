@@ -1,6 +1,7 @@
 """Page geometry, markers in pieces, uploads, and the ingestion stream."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -54,18 +55,25 @@ def test_pages_to_groups(spark):
     assert [r["level"] for r in found[1:]] == [None] * 4
 
 
+def streamed(deltas, sources):
+    shown, held, cited = "", "", set()
+    for d in deltas:
+        text, held, new = markers.scan(held + d, sources)
+        shown, cited = shown + text, cited | new
+    return shown, sorted(cited)
+
+
 @pytest.mark.parametrize(
     ("text", "n", "out", "used"),
     [
+        ("[1 [2] [,1] [1,] [1 2] [ 3 ]x", 3, "[1 [2] [,1] [1,] [1 2] [3]x", [2, 3]), ("[[1]]", 1, "[[1]]", [1]), ("[1]\n[1 ,\t2]", 2, "[1]\n[1][2]", [1, 2]),
         ("a [1] b", 2, "a [1] b", [1]), ("a [9]", 2, "a ", []), ("[0]", 2, "", []), ("x [1, 2]", 2, "x [1][2]", [1, 2]), ("x [1, 7]", 2, "x [1]", [1]),
         ("[sic] [1][1]", 1, "[sic] [1][1]", [1]), ("tail [1", 2, "tail ", []), ("[1]", 0, "", []), ("", 1, "", []),
     ],
 )
 def test_markers_whole_and_torn(text, n, out, used):
     for size in (1, 2, 3, 100):
-        s = markers.MarkerStream(n)
-        got = "".join(s.feed(text[k : k + size]) for k in range(0, len(text), size)) + s.finish()
-        assert (got, sorted(s.used)) == (out, used)
+        assert streamed([text[k : k + size] for k in range(0, len(text), size)], n) == (out, used)
 
 
 def test_marker_stream_with_state(spark, tmp_path):
@@ -77,12 +85,34 @@ def test_marker_stream_with_state(spark, tmp_path):
     for k, part in enumerate((cut[:half], cut[half:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = markers.filter_stream(stream).writeStream.format("memory").queryName("safe").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = markers.filter_stream(stream, idle=None).writeStream.format("memory").queryName("safe").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.table("safe").orderBy("done").collect()
-    whole = markers.MarkerStream(3)
-    assert "".join(r["text"] for r in got) == whole.feed(text) + whole.finish()
-    assert got[-1]["used"] == sorted(whole.used)
+    shown, used = streamed([text], 3)
+    assert "".join(r["text"] for r in got) == shown and got[-1]["used"] == used
+    whole = markers.filter_deltas(spark.createDataFrame(cut, schema)).first()
+    assert (whole["text"], whole["used"]) == (shown, used)
+
+
+def test_idle_conversations_are_flushed(spark, tmp_path):
+    schema = "conv_id bigint, seq int, delta string, n_sources int, last boolean"
+    source = tmp_path / "in"
+    spark.createDataFrame([(7, 0, "see [1] and [2", 2, False)], schema).coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    q = markers.filter_stream(stream, "1 second").writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    for k in range(40):
+        if spark.table("idle").where("done").count():
+            break
+        spark.createDataFrame([(8, k, ".", 2, False)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(1)
+    q.stop()
+    got = [r.asDict() for r in spark.table("idle").where("conv_id = 7").collect()]
+    assert "".join(r["text"] for r in got) == "see [1] and " and [r["done"] for r in got][-1] and got[-1]["used"] == [1]
+
+
+def test_long_open_brackets_are_released():
+    text = "a [" + "1, " * 20
+    assert markers.scan(text, 3) == (text, "", set()) and markers.scan("a [" + "1" * 31, 3) == ("a ", "[" + "1" * 31, set())
 
 
 def test_sniff_and_decode(spark):
