@@ -19,22 +19,37 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return term_counts(docs).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, doc_id, score) of every pair that shares a term.
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, term), each of a question's terms once."""
+    return questions.select("question_id", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
 
-    A question counts each of its terms once. Only counts of the questions' terms are
-    joined, so the work follows the postings of those terms, not all pairs.
+
+def weighted(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, term, part): what each of the needed terms (a column ``term``) adds to the score of docs (doc_id, text).
+
+    Tokens of other terms go before the one shuffle, by document; all that is counted of a
+    document is then counted where it lies, and so are the scores of ``bm25``. How many
+    documents hold a term is counted on the same shuffle, which Spark runs once, as both
+    sides ask for the same columns.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
     sized = docs.select("doc_id", X.terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
+    tokens = sized.select("doc_id", "length", F.explode("terms").alias("term")).join(needed.select("term").distinct(), "term", "left_semi").repartition("doc_id")
+    counts = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = counts.groupBy("term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)).alias("df"))
     total = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    needed = asked.select("term").distinct()
-    counts = sized.select("doc_id", "length", F.explode("terms").alias("term")).join(needed, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    joined = counts.join(df, "term").join(asked, "term").crossJoin(F.broadcast(total))
-    return joined.groupBy("question_id", "doc_id").agg(F.sum(part).alias("score"))
+    return counts.join(df, "term").crossJoin(F.broadcast(total)).select("doc_id", "term", part.alias("part"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, doc_id, score) of every pair that shares a term.
+
+    A question counts each of its terms once. Only counts of the questions' terms are
+    joined, so the work follows the postings of those terms, not all pairs.
+    """
+    asked = asked_terms(questions)
+    return weighted(docs, asked).join(asked, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def best_lexical(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -45,25 +60,39 @@ def best_lexical(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the document holds the phrase, both in lower case with single spaces.
 
-    Normal forms are made once on each side. Containment is no equality, so every phrase is
-    tried on every document: the phrases are a small query set that Spark broadcasts.
+    Normal forms are made once on each side. The inner words of a phrase are whole words of
+    every text that holds it, so its longest inner word is a key: texts are joined to the
+    phrases whose key they have, and only these are looked for. Phrases of one or two words
+    have no inner word; they are looked for in every text, row by row.
     """
+    words = F.split("needle", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(-F.length(w), w.alias("w")))
+    p = phrases.select("item_id", X.phrase(F.col("text")).alias("needle")).withColumn("key", F.try_element_at(F.array_sort(inner), F.lit(1))["w"])
     d = docs.select("doc_id", X.phrase(F.col("text")).alias("hay"))
-    p = phrases.select("item_id", X.phrase(F.col("text")).alias("needle"))
-    return d.join(p, F.contains("hay", "needle")).select("item_id", "doc_id")
+    keys = p.where("key is not null").agg(F.collect_set("key").alias("keys")).scalar()
+    short = p.where("key is null and needle is not null").agg(F.collect_list(F.struct("item_id", "needle")).alias("short")).scalar()
+    keyed = d.withColumn("key", F.explode(F.array_intersect(F.split("hay", " "), keys))).join(p, "key").where(F.contains("hay", "needle")).select("item_id", "doc_id")
+    found = d.withColumn("short", F.explode(short)).where(F.contains("hay", "short.needle")).select("short.item_id", "doc_id")
+    return keyed.unionByName(found)
 
 
 def quality_ranks(docs: DataFrame, cases: DataFrame) -> DataFrame:
     """For each case (item_id, text): how many documents hold it and the first rank of one.
 
-    A document without a shared term scores zero and follows those with one, by id.
+    A document without a shared term scores zero and follows those with one, by id. The best
+    of the documents that hold a case is found among these alone, and those ahead of it are
+    counted; nothing is ranked.
     """
-    scores = bm25(docs, cases.select(F.col("item_id").alias("question_id"), "text")).withColumn("score", F.round("score", 6))
-    held = containment(docs, cases)
-    ahead = scores.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")))
-    found = held.join(ahead.withColumnRenamed("question_id", "item_id"), ["item_id", "doc_id"], "left")
-    summed = found.groupBy("item_id").agg(F.count("*").alias("containing"), F.min("rank").alias("rank"))
-    return cases.select("item_id").join(summed, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
+    questions = cases.select(F.col("item_id").alias("question_id"), "text")
+    # both uses below ask for all columns of this shuffle, so that it is run once
+    scores = bm25(docs, questions).withColumn("score", F.round("score", 6)).where("score > 0").repartition("question_id", "doc_id")
+    own = containment(docs, cases).join(scores.withColumnRenamed("question_id", "item_id"), ["item_id", "doc_id"], "left")
+    first = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("minus"), "doc_id"))).alias("best")
+    best = own.groupBy("item_id").agg(F.count("*").alias("containing"), first)
+    every = scores.unionByName(cases.select(F.col("item_id").alias("question_id"), F.lit(None).cast("double").alias("score")), allowMissingColumns=True)
+    ahead = F.struct((-F.col("score")).alias("minus"), "doc_id") <= F.col("best")
+    ranked = every.join(best, F.col("question_id") == F.col("item_id")).groupBy("item_id").agg(F.first("containing").alias("containing"), F.nullif(F.count_if(F.col("score").isNotNull() & ahead), F.lit(0)).alias("rank"))
+    return cases.select("item_id").join(ranked, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
 
 
 def quality_report(ranks: DataFrame) -> DataFrame:
