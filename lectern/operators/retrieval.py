@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions import vectors as V
 
+#: Questions that are sent to all chunks at once.
+MOST_BROADCAST = 10_000
+
 
 @dataclass(frozen=True)
 class Retrieval:
@@ -60,10 +63,18 @@ def retrieve(chunks: DataFrame, question: DataFrame, how: Retrieval = Retrieval(
 def retrieve_batch(chunks: DataFrame, questions: DataFrame, how: Retrieval = Retrieval()) -> DataFrame:
     """``retrieve`` for every question (question_id, tenant, qe) over chunks with a tenant column.
 
-    Questions are a query set, joined to the chunks by tenant; Spark broadcasts them if they
-    are small enough. The window cuts each partition to the candidates before the shuffle.
+    Questions are a query set, joined to the chunks by tenant. Up to ``MOST_BROADCAST`` of them
+    go to all chunks where these lie; more are dealt in as many copies as there are shuffle
+    partitions, so that a tenant, however large, is spread over all tasks. The window cuts
+    each partition to the candidates before the shuffle.
     """
-    near = chunks.join(questions, "tenant").withColumn("distance", 1.0 - V.cosine(F.col("embedding"), F.col("qe"))).drop("embedding", "qe")
+    if questions.count() <= MOST_BROADCAST:
+        near = chunks.join(F.broadcast(questions), "tenant")
+    else:
+        salts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = chunks.withColumn("salt", F.pmod(F.xxhash64("document_id", "ordinal"), F.lit(salts)).cast("int"))
+        near = salted.join(questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["tenant", "salt"]).drop("salt")
+    near = near.withColumn("distance", 1.0 - V.cosine(F.col("embedding"), F.col("qe"))).drop("embedding", "qe")
     order = Window.partitionBy("question_id").orderBy("distance", "document_id", "ordinal")
     first = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= how.candidates).drop("n")
     kept = capped(first, how.cap, ("question_id",)).where(F.col("distance") <= 1.0 - how.floor)

@@ -81,6 +81,66 @@ def commit_chunks_replace(spark, d):
     return J.replace_chunks(old, new)
 
 
+FILES = "SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ready' WHEN 2 THEN 'pending' ELSE 'processing' END AS status, (doc_id % 10 / 10.0)::DOUBLE AS progress, CASE WHEN doc_id % 4 = 0 THEN 'old failure' END AS error_message, doc_id % 7 AS chunk_count, doc_id % 3 AS page_count FROM documents"
+
+
+def files(spark, d):
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        k.alias("document_id"), F.when(k % 4 == 0, "failed").when(k % 4 == 1, "ready").when(k % 4 == 2, "pending").otherwise("processing").alias("status"), (k % 10 / 10.0).alias("progress"),
+        F.when(k % 4 == 0, "old failure").alias("error_message"), (k % 7).alias("chunk_count"), (k % 3).alias("page_count"), F.lit(None).cast("timestamp_ntz").alias("indexed_at"),
+    )
+
+
+def runs(spark, d):
+    """Runs of every fifth document, and of as many that have vanished."""
+    k = F.col("doc_id")
+    return table(spark, d, "documents").where(k % 5 == 0).select((k + 7).alias("id"), F.when(k % 2 == 0, k).otherwise(-k).alias("document_id"), F.lit(9).cast("bigint").alias("page_count"))
+
+
+def committed(spark, d):
+    """The tables after those runs; a document has as many new chunks as the remainder of its id by three."""
+    made = runs(spark, d).select("document_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ordinal")).where(F.col("ordinal") < F.abs(F.col("document_id")) % 3)
+    new = made.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.array(F.lit(1.0)).alias("embedding"))
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(100).cast("long").alias("ordinal"), F.array(F.lit(0.5)).alias("embedding"))
+    job = table(spark, d, "documents").select((F.col("doc_id") + 7).alias("id"), F.col("doc_id").alias("document_id"), F.lit("running").alias("state"), F.lit("slow").alias("last_error"), F.lit(AS_OF).cast("timestamp_ntz").alias("locked_at"))
+    return J.commit(files(spark, d), job, old, runs(spark, d), new, AS_OF)
+
+
+@query(f"SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'processing' ELSE status END AS status, CASE WHEN document_id % 3 = 0 THEN 0.0 ELSE progress END AS progress, CASE WHEN document_id % 3 <> 0 THEN error_message END AS error_message, CASE WHEN document_id % 3 <> 0 THEN chunk_count END AS chunk_count, page_count FROM ({FILES})")
+def begin_processing(spark, d):
+    """Every third document's run begins."""
+    claimed = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("document_id"))
+    return J.begin(files(spark, d), claimed).select("document_id", "status", F.round("progress", 6).alias("progress"), "error_message", "chunk_count", "page_count")
+
+
+@query(
+    f"SELECT document_id, CASE WHEN r THEN 'ready' ELSE status END AS status, CASE WHEN r THEN 1.0 ELSE progress END AS progress, CASE WHEN NOT r THEN error_message END AS error_message, CASE WHEN r THEN document_id % 3 ELSE chunk_count END AS chunk_count, CASE WHEN r THEN 9 ELSE page_count END AS page_count, CASE WHEN r THEN TIMESTAMP '{AS_OF}' END::VARCHAR AS indexed_at, CASE WHEN r THEN 'done' ELSE 'running' END AS state, CASE WHEN NOT r THEN 'slow' END AS last_error FROM (SELECT *, document_id % 10 = 0 AS r FROM ({FILES}))"
+)
+def commit_runs(spark, d):
+    """Documents and their jobs after a commit; runs of vanished documents change nothing."""
+    docs, ended, _ = committed(spark, d)
+    shown = docs.select("document_id", "status", F.round("progress", 6).alias("progress"), "error_message", "chunk_count", "page_count", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("indexed_at"))
+    return shown.join(ended.select("document_id", "state", "last_error"), "document_id")
+
+
+@query("SELECT doc_id AS document_id, 100::BIGINT AS ordinal FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, o FROM documents, range(2) t(o) WHERE doc_id % 10 = 0 AND o < doc_id % 3")
+def commit_chunks(spark, d):
+    """Chunks after a commit: replaced whole, also where the new set is empty; none for vanished documents."""
+    return committed(spark, d)[2].select("document_id", "ordinal")
+
+
+@query("SELECT doc_id AS document_id, (CASE WHEN doc_id % 6 = 0 AND doc_id % 4 <> 3 THEN 0 ELSE 1 END)::BIGINT AS files, (CASE WHEN doc_id % 6 = 0 AND doc_id % 4 <> 3 THEN 0 ELSE 1 END)::BIGINT AS jobs, (CASE WHEN doc_id % 6 = 0 AND doc_id % 4 <> 3 THEN 0 ELSE 2 END)::BIGINT AS chunks FROM documents")
+def delete_cascade(spark, d):
+    """What is left of each document when every sixth is deleted."""
+    k = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
+    left = J.delete_documents(files(spark, d), k, k.unionByName(k), k.where("document_id % 6 = 0"))
+    out = k
+    for name, t in zip(("files", "jobs", "chunks"), left, strict=True):
+        out = out.join(t.groupBy("document_id").agg(F.count("*").alias(name)), "document_id", "left")
+    return out.select("document_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "jobs", "chunks")])
+
+
 @query("SELECT o_orderkey, CASE WHEN t <= 0 THEN 0.0 ELSE round(greatest(least(n / t, 0.99), 0.0), 6) END::DOUBLE AS progress FROM (SELECT o_orderkey, (o_orderkey % 13)::DOUBLE AS n, (o_orderkey % 11)::DOUBLE AS t FROM orders)")
 def progress_clamp(spark, d):
     k = F.col("o_orderkey")

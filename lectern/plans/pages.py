@@ -135,3 +135,34 @@ def dehyphenate(spark, d):
 def page_spans(spark, d):
     marks = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("total"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("page"))
     return Y.page_spans(marks.withColumn("start", (F.col("page") - 1) * F.floor(F.col("total") / 3))).select("doc_id", "page", "start", "end")
+
+
+def grid_words(spark, d):
+    """Words of each benchmark text on pages of two columns, ten rows each, filled up with dots; a word fills its column's line."""
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    made = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), words.alias("words")).withColumn("pages", F.ceil(F.size("words") / 20).cast("int"))
+    every = made.select("doc_id", "pages", F.posexplode(F.concat("words", F.array_repeat(F.lit("."), 20 * F.col("pages") - F.size("words")))).alias("i", "text"))
+    k, side, row = F.col("i") % 20, F.floor(F.col("i") % 20 / 10), F.col("i") % 10
+    x0, top = (54 + 266 * side).cast("double"), (150 + 14 * row).cast("double")
+    return every.select(
+        "doc_id", (F.floor(F.col("i") / 20) + 1).cast("int").alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.col("pages").alias("page_count"), "text",
+        x0.alias("x0"), (x0 + 226).alias("x1"), (top + k % 2 * 0.5).alias("top"), (top + 10).alias("bottom"), F.lit(9.5).alias("size"), F.lit("Serif").alias("fontname"),
+    )
+
+
+GRID = "SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '') AS words, ceil(len(words) / 20)::INT AS pages FROM benchmark"
+
+
+@query(f"SELECT item_id AS doc_id, array_to_string(words || list_transform(range(20 * pages - len(words)), lambda i: '.'), ' ') AS text FROM ({GRID}) WHERE len(words) > 0")
+def reading_order(spark, d):
+    """Rows, gutter and columns of pages: words set in two columns are read column by column."""
+    lines = Y.page_lines(grid_words(spark, d))
+    ordered = F.array_sort(F.collect_list(F.struct("page", "position", "text")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+
+
+@query(f"SELECT item_id AS doc_id, p::INT AS page, 10::BIGINT AS \"left\", 10::BIGINT AS \"right\", 0::BIGINT AS \"across\" FROM (SELECT item_id, unnest(range(1, pages + 1)) AS p FROM ({GRID}))")
+def page_columns(spark, d):
+    """How many lines each column of a page has, and how many run across."""
+    count = lambda c: F.count_if(F.col("column") == c)
+    return Y.page_lines(grid_words(spark, d)).groupBy("doc_id", "page").agg(count(0).alias("left"), count(1).alias("right"), count(Y.FULL_WIDTH).alias("across"))

@@ -90,13 +90,13 @@ def retrieve_batch(spark, d):
     return batch(spark, d).select("question_id", F.col("rank").cast("long").alias("rank"), F.col("document_id").alias("label"), F.col("ordinal").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
-CITED = f"SELECT question_id, rank AS index, doc_id, round(similarity, 3) AS similarity, {shortened('text', 300)} AS snippet FROM (SELECT b.*, d.doc_id, d.text FROM ({BATCH}) b JOIN documents d ON d.doc_id = b.vec_id % 200)"
+CITED = f"SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS index, doc_id, round(similarity, 3) AS similarity, {shortened('text', 300)} AS snippet FROM (SELECT b.*, d.doc_id, d.text FROM ({BATCH}) b JOIN documents d ON d.doc_id = b.vec_id)"
 
 
 def cited(spark, d):
     passages = batch(spark, d).withColumn("similarity", F.round("similarity", 6))
     texts = table(spark, d, "documents").select("doc_id", "text", "source")
-    return R.citations(passages.join(texts, F.col("doc_id") == F.col("ordinal") % 200))
+    return R.citations(passages.join(texts, F.col("doc_id") == F.col("ordinal")))
 
 
 @query(CITED)
@@ -105,7 +105,7 @@ def citations(spark, d):
 
 
 SOURCE = "'<source index=\"' || rank || '\" file=\"' || replace(source, '&', '&amp;') || '\">' || chr(10) || regexp_replace(text, '^[" + X.WS + "]+|[" + X.WS + "]+$', '', 'g') || chr(10) || '</source>'"
-SOURCES = f"SELECT b.question_id, b.rank, d.text, d.source FROM ({BATCH}) b JOIN documents d ON d.doc_id = b.vec_id % 200"
+SOURCES = f"SELECT b.question_id, row_number() OVER (PARTITION BY b.question_id ORDER BY b.rank) AS rank, d.text, d.source FROM ({BATCH}) b JOIN documents d ON d.doc_id = b.vec_id"
 
 
 @query(f"SELECT question_id, rank AS index, md5({SOURCE}) AS source FROM ({SOURCES})")
@@ -144,9 +144,9 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 1) q")
+@query("SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 1 LIMIT 1) q")
 def dot_scores(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id = 1").select(F.col("embedding").alias("qe"))
+    q = table(spark, d, "embeddings").where("vec_id = 1").select(F.col("embedding").alias("qe")).limit(1)
     return table(spark, d, "embeddings").crossJoin(F.broadcast(q)).select("vec_id", F.round(V.dot(F.col("embedding"), F.col("qe")), 6).alias("score"))
 
 

@@ -233,13 +233,14 @@ def parse_dispatch(spark, d):
     return docs(spark, d).select("doc_id", U.parser_for(kind).alias("parser"))
 
 
-@query("SELECT doc_id, 0 AS violations FROM documents")
+LONGEST = f"SELECT doc_id, text, CASE WHEN {tokens('text')} <= 100 THEN length(text) ELSE list_max(list_filter(range(1, least(length(text), 1500) + 1), lambda i: {tokens('text[1:i]')} <= 100)) END AS most FROM documents"
+CUT_AT = "CASE WHEN most < length(text) AND contains(text[1:most], ' ') AND most - strpos(reverse(text[1:most]), ' ') > 0.8 * most THEN most - strpos(reverse(text[1:most]), ' ') ELSE most END"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN most = length(text) THEN text ELSE regexp_replace(text[1:({CUT_AT})], '[{WS}]+$', '') END) AS digest FROM ({LONGEST})")
 def truncate_tokens(spark, d):
-    """Truncated texts that are no prefix, or too long, or cut though they fit; predicted to be none."""
-    rows = wide(spark, d).select("doc_id", "text", P.truncated(100)(F.col("text")).alias("cut"))
-    n = X.token_count(F.col("text"))
-    bad = ~F.col("text").startswith(F.col("cut")) | (X.token_count(F.col("cut")) > 100) | ((n <= 100) & (F.col("cut") != F.col("text")))
-    return rows.select("doc_id", bad.cast("int").alias("violations"))
+    """Texts cut to 100 tokens; the SQL tries every length."""
+    return wide(spark, d).select("doc_id", F.md5(P.truncated(100)(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g'))::BIGINT AS solid FROM documents")
@@ -268,6 +269,22 @@ def md_blocks(spark, d):
     return b.groupBy("doc_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "preformatted").alias("fences"), F.count_if(F.col("start") < 14).alias("in_front"), F.count_if("over").alias("overlaps"))
 
 
+SYNTAX = "Title of X\n=====\n\nplain words\n\nSub\n---\n\nabove\n\n***\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nbetween\n- one\n  more\n- two\n\n```\nopen # X\n\n| no | table |\n"
+
+
+SHOWN = "'[[heading, Title of ' || source || ', 1], [paragraph, plain words, ], [heading, Sub, 2], [paragraph, above, ], [preformatted, | a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |, ], [paragraph, between, ], [paragraph, - one' || chr(10) || '  more, ], [paragraph, - two, ], [preformatted, ```' || chr(10) || 'open # ' || source || chr(10) || chr(10) || '| no | table |, ]]'"
+
+
+@query(f"SELECT doc_id, {SHOWN} AS blocks FROM documents")
+def md_syntax(spark, d):
+    """Blocks of underlined headings, a rule, a table, list items and a fence that stays open."""
+    made = docs(spark, d).withColumn("text", F.replace(F.lit(SYNTAX), F.lit("X"), F.col("source")))
+    b = P.parse_blocks(made.select("doc_id", "text"), True).join(made.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    piece = F.regexp_replace(F.expr("substring(whole, start + 1, `end` - start)"), r"\n+\z", "")
+    shown = F.concat(F.lit("["), F.array_join(F.array("kind", F.when(F.col("kind") == "heading", F.col("label")).otherwise(piece), F.coalesce(F.col("level").cast("string"), F.lit(""))), ", "), F.lit("]"))
+    return b.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", shown.alias("s")))), lambda x: x["s"]), ", "), F.lit("]")).alias("blocks"))
+
+
 @query("SELECT doc_id, source || ' > ' || lang AS path FROM documents")
 def heading_path(spark, d):
     made = P.chunk(markdown_docs(spark, d), True, P.Chunking(64, 8, 0))
@@ -372,11 +389,13 @@ def md_front_matter(spark, d):
 
 @query("SELECT doc_id, text FROM documents")
 def chunk_offset_invariant(spark, d):
-    """Texts put together again from the slices that their passages' offsets name, and from what lies between."""
-    made = P.chunk(docs(spark, d), how=P.Chunking(128, 0, 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("spans"))
+    """Texts put together again from the passages' own texts, each at its offset; only blanks may lie between."""
+    made = P.chunk(docs(spark, d), how=P.Chunking(128, 0, 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "text"))).alias("spans"))
     rows = docs(spark, d).select("doc_id", "text").join(made, F.col("doc_id") == F.col("document_id"))
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    step = lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, x["char_end"] - acc["at"])).alias("t"), x["char_end"].alias("at"))
+    gap = lambda acc, x: F.substring(F.col("text"), acc["at"] + 1, x["char_start"] - acc["at"])
+    blank = lambda c: F.when(X.strip(c) == "", c).otherwise("<lost>")
+    step = lambda acc, x: F.struct(F.concat(acc["t"], blank(gap(acc, x)), x["text"]).alias("t"), (x["char_start"] + F.length(x["text"])).alias("at"))
     whole = F.aggregate("spans", start, step)
     return rows.select("doc_id", F.concat(whole["t"], F.substring(F.col("text"), whole["at"] + 1, F.length("text"))).alias("text"))
 

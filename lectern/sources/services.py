@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from lectern.functions.vectors import NORM_TOLERANCE, hash_vector
 from lectern.operators.jobs import LEAST_BATCH, MOST_BATCH, STEPS
@@ -87,19 +88,33 @@ def batches(n: int, configured: int = MOST_BATCH) -> int:
 
 
 def embed(chunks: DataFrame, embedder: Embedder, configured: int = MOST_BATCH) -> DataFrame:
-    """Chunks (with text) and their vectors, all other columns kept; an executor asks batch by batch."""
+    """Chunks (with text) and their vectors, all other columns kept; an executor asks batch by batch.
+
+    With a document_id a request holds passages of one document, as many as suit the number
+    that this document has, wherever the rows lie; else the rows at hand count as one.
+    """
     from lectern.operators.passages import truncate
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
+    by_document = "document_id" in chunks.columns
+    if by_document:
+        chunks = chunks.withColumn("of_document", F.count("*").over(Window.partitionBy("document_id")))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [truncate(t, MOST_TOKENS) for t in part["text"]]
-            size = batches(len(texts), configured)
+            runs = [(0, len(texts), len(texts))]
+            if by_document:
+                owner = part["document_id"].tolist()
+                cuts = [0, *(k for k in range(1, len(owner)) if owner[k] != owner[k - 1]), len(owner)]
+                runs = [(a, b, int(part["of_document"].iloc[a])) for a, b in zip(cuts, cuts[1:]) if b > a]
             vectors: list = []
-            for k in range(0, len(texts), size):
-                vectors += call(embedder, texts[k : k + size])
-            yield part.assign(embedding=vectors)
+            for a, b, n in runs:
+                size = batches(n, configured)
+                for k in range(a, b, size):
+                    vectors += call(embedder, texts[k : min(b, k + size)])
+            yield part.drop(columns="of_document", errors="ignore").assign(embedding=vectors)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
     return chunks.mapInPandas(run, f"{fields}, embedding array<double>")
 
 

@@ -17,15 +17,28 @@ def ingest(batch: DataFrame, markdown: bool = False, how: Chunking = Chunking(),
 
 
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, markdown: bool = False, how: Chunking = Chunking(), trigger: dict | None = None):
-    """Start a query from a folder of Parquet documents (doc_id, text) to a folder of passages.
+    """Start a query from a folder of Parquet documents (doc_id, text) to a folder that ``passages`` reads.
 
-    Each micro-batch replaces its own folder batch=<id>, so a batch that is run again after
-    a crash leaves one set of passages. Returns the streaming query.
+    Each micro-batch replaces its own folders batch=<id>, so a batch that is run again after
+    a crash leaves one set of passages. The ids of its documents are written last: they
+    commit the batch, and name the documents that have no passage. A document sent twice in
+    a batch counts once, with the greatest text. Returns the streaming query.
     """
     schema = "doc_id bigint, text string"
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, markdown, how).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        one = batch.groupBy("doc_id").agg(F.max("text").alias("text"))
+        ingest(one, markdown, how).write.mode("overwrite").parquet(f"{target}/chunks/batch={batch_id}")
+        batch.select(F.col("doc_id").alias("document_id")).distinct().write.mode("overwrite").parquet(f"{target}/documents/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def passages(spark: SparkSession, target: str) -> DataFrame:
+    """The passages of every document as its last committed batch left them, also none.
+
+    Batches only add folders; what a later batch replaces is left out when it is read.
+    """
+    last = spark.read.parquet(f"{target}/documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/chunks").join(last, ["document_id", "batch"], "left_semi").drop("batch")

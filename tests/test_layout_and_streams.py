@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import jobs as J
 from lectern.operators import layout as Y
 from lectern.operators import uploads as U
 from lectern.streaming import ingest, markers
@@ -129,10 +130,31 @@ def test_ingestion_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(1, "One sentence. Two sentences."), (2, "Other.\n\nText.")], "doc_id bigint, text string").write.parquet(source)
     for _ in range(2):  # the second start finds nothing new
         ingest.run(spark, source, target, str(tmp_path / "c")).awaitTermination(120)
-    got = spark.read.parquet(target)
+    got = ingest.passages(spark, target)
     assert got.count() == 2 and got.select("chunk_id").distinct().count() == 2
 
 
+def test_a_later_batch_replaces_a_document(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "c"))
+    for rows in ([(1, "First text."), (2, "Other text.")], [(1, "Second text.")], [(2, "")], [(3, "Third."), (3, "A third.")]):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(source)
+        ingest.run(spark, source, target, state).awaitTermination(120)
+    got = sorted((r["document_id"], r["text"]) for r in ingest.passages(spark, target).collect())
+    assert got == [(1, "Second text."), (3, "Third.")]
+
+
+def test_commit_refuses_a_chunk_without_a_vector(spark):
+    docs = spark.createDataFrame([(1, "processing", 0.5, None, 3, 1, None)], "document_id bigint, status string, progress double, error_message string, chunk_count bigint, page_count bigint, indexed_at timestamp_ntz")
+    jobs = spark.createDataFrame([(5, 1, "running", None, None)], "id bigint, document_id bigint, state string, last_error string, locked_at timestamp_ntz")
+    chunks = spark.createDataFrame([(1, 0, [1.0])], "document_id bigint, ordinal bigint, embedding array<double>")
+    runs = spark.createDataFrame([(5, 1, 2)], "id bigint, document_id bigint, page_count bigint")
+    with pytest.raises(Exception, match="must have a vector"):
+        J.commit(docs, jobs, chunks, runs, chunks.withColumn("embedding", F.lit(None).cast("array<double>")), "2024-01-01 00:00:00")[2].collect()
+    for _ in range(2):  # a job that runs twice leaves what one run leaves
+        docs, jobs, chunks = J.commit(docs, jobs, chunks, runs, chunks.limit(0).unionByName(chunks.sparkSession.createDataFrame([(1, 0, [0.5]), (1, 1, [0.5])], chunks.schema)), "2024-01-01 00:00:00")
+    assert sorted(r["ordinal"] for r in chunks.collect()) == [0, 1] and docs.first()["chunk_count"] == 2 and jobs.first()["state"] == "done"
+
+
 def test_plans(spark):
     from lectern.plans import QUERIES
 
