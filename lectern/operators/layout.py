@@ -131,12 +131,20 @@ def body_size(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.expr("percentile(size, 0.5, greatest(1, length(text)))").alias("body_size"))
 
 
+def document():
+    return Window.partitionBy("doc_id")
+
+
 def heading_candidates(lines: DataFrame) -> DataFrame:
-    """Lines with body_size and candidate: short, without a closing stop, larger than the body or bold."""
+    """Lines with body_size and candidate: short, without a closing stop, larger than the body or bold.
+
+    Here and below what is known of a document or a column comes from windows, all of which
+    one shuffle by document serves.
+    """
     t = X.strip(F.col("text"))
     like = (t != "") & (F.length(t) <= 120) & ~F.substring(t, -1, 1).isin(".", ";", ",")
     large = (F.col("size") >= F.col("body_size") * 1.15) | (F.col("bold") & (F.col("size") >= F.col("body_size")))
-    return lines.join(body_size(lines), "doc_id").withColumn("candidate", like & large)
+    return lines.withColumn("body_size", F.expr("percentile(size, 0.5, greatest(1, length(text)))").over(document())).withColumn("candidate", like & large)
 
 
 def heading_levels(lines: DataFrame) -> DataFrame:
@@ -144,15 +152,13 @@ def heading_levels(lines: DataFrame) -> DataFrame:
 
     Off in documents without candidates or where over a quarter of the lines are.
     """
-    marked = heading_candidates(lines)
-    per = marked.groupBy("doc_id").agg(
-        F.slice(F.sort_array(F.collect_set(F.when(F.col("candidate"), F.round("size", 1))), False), 1, 6).alias("levels"),
-        (F.sum(F.col("candidate").cast("int")) / F.count("*")).alias("share"),
-    )
+    sizes = F.collect_set(F.when(F.col("candidate"), F.round("size", 1))).over(document())
+    marked = heading_candidates(lines).withColumns({"levels": sizes, "share": F.avg(F.col("candidate").cast("int")).over(document())})
+    marked = marked.withColumn("levels", F.slice(F.sort_array("levels", False), 1, 6))
     close = F.array_position(F.transform("levels", lambda s: (F.abs(F.col("size") - s) < 0.26).cast("int")), 1)
     level = F.least(F.when(close > 0, close).otherwise(F.size("levels") + 1), F.lit(6)).cast("int")
     on = F.col("candidate") & (F.col("body_size") > 0) & (F.col("share") <= 0.25) & (F.size("levels") > 0)
-    return marked.join(per, "doc_id").withColumn("level", F.when(on, level)).drop("levels", "share")
+    return marked.withColumn("level", F.when(on, level)).drop("levels", "share")
 
 
 def demote_title(lines: DataFrame) -> DataFrame:
@@ -176,7 +182,9 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
     Wrapped headings go on; else a gap, an indent or a short line before begins a paragraph;
     over a column or page break only fullness and indent count.
     """
-    edged = lines.join(column_edges(lines), ["doc_id", "page", "column"]).join(line_height(lines), "doc_id")
+    column = Window.partitionBy("doc_id", "page", "column")
+    height = F.coalesce(F.median(F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))).over(document()), F.lit(12.0))
+    edged = lines.withColumns({"left": F.min("x0").over(column), "right": F.max("x1").over(column), "line_height": height})
     width = F.greatest(F.lit(1.0), F.col("right") - F.col("left"))
     edged = edged.withColumn("full", F.col("x1") >= F.col("left") + width * FULL_SHARE).withColumn("indented", F.col("x0") > F.col("left") + width * INDENT)
     order = Window.partitionBy("doc_id").orderBy("page", "position")
