@@ -551,7 +551,7 @@ def test_toxicity_against_plain_sums(spark):
         for g in found[k]:
             seen.setdefault(g, [0, 0])[int(label)] += 1
     ratio = {g: np.log(((c1 + 1) / (n1 + 2)) / ((c0 + 1) / (n0 + 2))) for g, (c0, c1) in seen.items() if c0 + c1 >= 3}
-    best = sorted(ratio, key=lambda g: -abs(ratio[g]) * np.sqrt(seen[g][1] / n1 + seen[g][0] / n0))[:4096]
+    best = sorted(ratio, key=lambda g: -abs(ratio[g]) * np.sqrt(seen[g][1] / n1 + seen[g][0] / n0))[:16384]
     x = np.array([[ratio[g] * (g in f) for g in best] for f in found])
     t = x[rows]
     w, b, m, v = np.zeros(len(best)), np.log(y.mean() / (1 - y.mean())), 0.0, 0.0
