@@ -170,3 +170,60 @@ def test_tenants_stay_apart(spark):
 
     got = retrieval.batch(spark, "/root/testdata/sf0.001").where((F.col("document_id") % 2) != F.col("tenant"))
     assert got.count() == 0
+
+
+def test_poll_loop_takes_what_comes(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id bigint, text string"
+    spark.createDataFrame([(1, "First.")], schema).write.parquet(source)
+    q = ingest.run(spark, source, target, str(tmp_path / "c"), trigger={"processingTime": "500 milliseconds"})
+    try:
+        for rows, wanted in (([(2, "Second.")], 2), ([(1, "Again.")], 2)):
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+            q.processAllAvailable()
+            assert ingest.passages(spark, target).count() == wanted
+    finally:
+        q.stop()
+    assert {r["text"] for r in ingest.passages(spark, target).collect()} == {"Again.", "Second."}
+
+
+def test_vectors_do_not_leak_and_are_not_read(spark):
+    from lectern.plans import QUERIES
+
+    for name in ("chunk_summary", "chunk_page", "neighbours", "citations", "render_source", "retrieve_topk"):
+        assert "embedding" not in QUERIES[name](spark, "/root/testdata/sf0.001").columns
+    plan = QUERIES["chunk_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "embedding" not in plan
+
+
+def test_no_nested_loop_over_documents(spark):
+    from lectern.plans import QUERIES
+
+    for name in ("quality_containment", "paragraph_breaks", "heading_levels"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_quality_floors(spark):
+    """Four questions that quote a passage: none is split, and the passage is found near the top."""
+    from lectern.operators import lexical as L
+    from lectern.operators import passages as P
+
+    rnd = random.Random(2)
+    filler = lambda k: " ".join(rnd.choice(["the", "method", "sample", "result", "table", "study", "of", "a", "shows", "values"]) + ("." if i % 9 == 8 else "") for i in range(k))
+    phrases = ["mean reciprocal rank rises with the overlap of passages", "a worker that dies is replaced after fifteen minutes", "gutters are found by counting ink in every column", "vectors of unit length make a product a cosine"]
+    text = "\n\n".join(f"{filler(120)}\n\n{p.capitalize()}. {filler(60)}" for p in phrases)
+    made = P.chunk(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), how=P.Chunking(96, 12, 8)).select(F.col("ordinal").cast("long").alias("doc_id"), "text")
+    cases = spark.createDataFrame([(k, p) for k, p in enumerate(phrases)], "item_id bigint, text string")
+    got = L.quality_report(L.quality_ranks(made, cases)).first()
+    assert made.count() > 8 and got["coverage"] == 1.0 and got["hit_at_1"] >= 0.75 and got["hit_at_3"] == 1.0 and got["mrr"] >= 0.8
+    none = L.quality_report(L.quality_ranks(made, spark.createDataFrame([(9, "words that no passage holds")], "item_id bigint, text string"))).first()
+    assert none["coverage"] == 0.0 and none["mrr"] == 0.0
+
+
+def test_sentence_boundaries():
+    text = 'He met Dr. Smith, J. Doe and others, e.g. Ann. "Quite so!" They left. then came two of it? Yes. 3 more'
+    from lectern.operators import passages as P
+
+    assert [text[a:b] for a, b in P.sentences(text, 0, len(text))] == ["He met Dr. Smith, J. Doe and others, e.g. Ann.", '"Quite so!"', "They left. then came two of it?", "Yes.", "3 more"]
