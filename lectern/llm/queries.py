@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann_forest, html_extract, lang_id, packing, piece_bpe, pu_quality, repetition, simhash, toxicity, url_filter
+from lectern.llm import ann_forest, html_extract, lang_id, line_dedup, packing, piece_bpe, pu_quality, repetition, simhash, toxicity, url_filter, vector_codes
 from lectern.llm.common import fold, table
 
 
@@ -67,8 +67,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op6_prefix_forest, op7_url_filter, op8_packing, op9_pu_quality, op10_toxicity)}
+    ten = (op1_html_extract, op2_language_id, op3_piece_bpe, op4_simhash, op5_repetition, op6_prefix_forest, op7_url_filter, op8_packing, op9_pu_quality, op10_toxicity)
+    return {f.__name__: f for f in (*ten, op11_vector_codes, op12_line_dedup)}
 
 
 def _url_sql() -> str:
@@ -123,5 +134,36 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed, NOT base_failed AND n_covered <= 0.2 * n_words AND NOT long_repeat AS kept FROM f"""
 
 
+def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """The codes of op11 in SQL: every distance in every round, whole numbers held in doubles."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (SELECT r, p, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * {entries} + e)::BIGINT AS best FROM parts JOIN book{k} USING (p) GROUP BY r, p),
+a{k} AS MATERIALIZED (SELECT r, p, best % {entries} AS e, best // {entries} AS square FROM d{k}),
+s{k} AS (SELECT p, e, i, sum(v)::BIGINT AS total, count(*) AS n FROM (SELECT p, e, unnest(x)::BIGINT AS v, unnest(range(len(x))) AS i FROM a{k} JOIN parts USING (r, p)) GROUP BY p, e, i),
+m{k} AS (SELECT p, e, list(((total - ((total % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN m{k} USING (p, e)),""")
+    return f"""
+WITH whole AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda v: floor(v * 1024)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, * FROM whole WHERE len(x) = (SELECT len(x) FROM whole ORDER BY vec_id NULLS LAST, x LIMIT 1)),
+parts AS MATERIALIZED (SELECT r, p, x[len(x) * p // 4 + 1:len(x) * (p + 1) // 4] AS x FROM kept CROSS JOIN range(4) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {entries}),{"".join(steps)}
+sha AS (SELECT sha256(coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i), '')) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM book{rounds})),
+codes AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(square)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (r) CROSS JOIN sha"""
+
+
+def _lines_sql() -> str:
+    """The rows of op12 in SQL, by the whole keys of lines."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT k, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+y AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM y WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT y.*, f.keeper IS NOT NULL AND y.doc_id IS DISTINCT FROM f.keeper AS gone FROM y LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repetition": _repetition_sql(), "op7_url_filter": _url_sql()}
+    return {"op5_repetition": _repetition_sql(), "op7_url_filter": _url_sql(), "op11_vector_codes": _codes_sql(), "op12_line_dedup": _lines_sql()}
