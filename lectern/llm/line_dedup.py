@@ -61,16 +61,16 @@ def long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
     return keyed.select("doc_id", "t1", "t2", "n_lines", "line", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """(h1, h2, n_docs, keeper): lines that ``least_docs`` documents or more hold, and the largest doc_id of these.
+def repeated_lines(lines: DataFrame, least_docs: int = 5) -> DataFrame:
+    """(h1, h2, n_docs, keeper): of lines (doc_id, line, h1, h2) those that ``least_docs`` documents or more hold, and the largest doc_id of these.
 
     Hashes are dealt out by ranges and sorted by document and position within them, so that
     the first occurrence of a line in each document is found by streaming over a partition.
     Documents are part of the ranges: a line that a third of all documents hold spans many
     partitions, each of which then counts it before the small shuffle by hash.
     """
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = long_lines(docs.where("doc_id is not null"), least_chars).select("h1", "h2", "doc_id", "line").repartitionByRange(shuffles, "h1", "h2", "doc_id")
+    shuffles = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.where("doc_id is not null").select("h1", "h2", "doc_id", "line").repartitionByRange(shuffles, "h1", "h2", "doc_id")
     order = Window.partitionBy("h1", "h2", "doc_id").orderBy("line")
     first = dealt.withColumn("seen", F.row_number().over(order)).where("seen = 1")
     return first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= least_docs)
@@ -89,14 +89,17 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     line for others, but loses those that go elsewhere. Null and empty texts are one empty
     line and lose nothing; no length of text or line is cut. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
+
+    The hashes of long lines are written first: dealing them out by ranges looks at them
+    once more, and the verdicts are joined to them, while texts are read once.
     """
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    facts = stored(repeated_lines(docs, least_chars, least_docs))
+    lines = stored(long_lines(docs.select("doc_id", "text"), least_chars))
+    facts = stored(repeated_lines(lines, least_docs))
     if facts.isEmpty():
-        judged = long_lines(docs, least_chars).withColumn("keeper", F.col("doc_id")).where(F.lit(False))
+        judged = lines.withColumn("keeper", F.col("doc_id")).where(F.lit(False))
     else:
-        judged = with_facts(long_lines(docs, least_chars), facts, ["h1", "h2"], "n_docs", ["doc_id", "line", "t1"])
+        judged = with_facts(lines, facts, ["h1", "h2"], "n_docs", ["doc_id", "line", "t1"])
     lost = judged.where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     byrow = lost.groupBy("doc_id", "t1", "t2", "n_lines").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     keep = packed(borders_of(F.col("dropped")), F.col("n_lines"))

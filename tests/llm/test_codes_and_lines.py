@@ -131,7 +131,7 @@ def test_bitmaps_are_read_back(spark):
 
 def test_plan_of_first_occurrences_and_no_python(spark):
     docs = spark.createDataFrame([(k, "a line that is long enough to be one of those counted here") for k in range(9)], "doc_id bigint, text string")
-    plan = line_dedup.repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = line_dedup.repeated_lines(line_dedup.long_lines(docs, 40))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning(") == 1 and plan.count("hashpartitioning(") == 1
     whole = line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan + whole for word in ("Python", "Pandas", "ArrowEval", "MapInArrow", "Cartesian", "NestedLoop"))
