@@ -251,6 +251,9 @@ def test_symbols_keep_marks_and_whole_code_points():
 
 # --- pages
 
+LOST = "a text of its own that is long enough to be taken for what the page is about " * 4
+LOST = LOST.strip()
+
 
 @pytest.mark.parametrize(
     ("html", "text"),
@@ -274,6 +277,13 @@ def test_symbols_keep_marks_and_whole_code_points():
         ("<article>The long article itself<article class=feedback>reply</article><article>and one more reply</article></article>", "The long article itself"),
         ("<article>T<article>The long article inside another one</article></article>", "The long article inside another one"), ("<article>one part</article><article>two parts</article>", "one part\ntwo parts"),
         ("<main><h1>t</h1><article>The long article itself</article></main>", "The long article itself"), ("<article></article><p>kept</p>", "kept"), ("<main></main><p>kept</p>", "kept"),
+        # a whole page in one form, in places that are dropped, or behind what is never closed
+        ("<form id=aspnetForm><input type=hidden><div class=nav>m</div><article>kept</article></form>", "kept"), (f"<form><input><p>{'long text ' * 60}</p></form>", ("long text " * 60).strip()), ("<p>k</p><form><label>Your name</label><input><p>Send</p></form>", "k"),
+        (f"<svg><path d=x><article>{LOST}</article>", LOST), (f"<video src=x><article>{LOST}</article><video>no</video>", LOST), (f"<nav><a>m</a><article>{LOST}</article>", LOST), (f"<nav><a>m</a><p>{LOST}</p>", f"m\n{LOST}"),
+        (f"<article class=sidebar>{LOST}</article>", LOST), (f"<p>x</p><div class=related><article>{LOST}</article><article>teaser</article></div>", LOST), (f"<p>{LOST} own</p><div class=comments><article>{LOST}</article></div>", f"{LOST} own"),
+        ("<article>a<button>b<p>kept</p></article>", "a\nkept"), ("<article>a<button><div>no</div></button>b</article>", "ab"), ("<p>kept</p><label for=x>Name</label><input id=x><fieldset><legend>no</legend></fieldset>", "kept"),
+        # labels in one word
+        ("<article>kept<div class=userComments>no</div><ul class=commentlist><li>no</ul><ins class=adsbygoogle>no</ins><div id='cookieBanner'>no</div><p class='shareholder addresses'>yes</p></article>", "kept\nyes"),
         # tags left open, and end tags that reach too far
         ("<article><p class=ad>no<div>kept</div></article>", "kept"), ("<article><table><tr><td class=sidebar>no<td>kept</table></article>", "kept"), ("<span><article>a</span> b</article>", "a b"),
         ("<article><table><tr><td>a</div>b</td></tr></table>c</article>", "a\nb\nc"), ("a<!-->b<!--->c<!-- x --!>d</ x>e</>f<?x?>g<![CDATA[h]]>i", "abcdefgi"), ("super<wbr>long", "superlong"), ("x < y <3 <", "x < y <3 <"),
