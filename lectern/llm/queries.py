@@ -90,18 +90,25 @@ def _url_sql() -> str:
     query = lambda u: f"CASE WHEN strpos({after(u)}, '?') > 0 THEN substr({after(u)}, strpos({after(u)}, '?')) ELSE '' END"
     value = lambda tag, name: f"trim(regexp_replace(regexp_extract({tag}, '(?is)[\\s\"''/]{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1), '^[\"'']|[\"'']$', '', 'g'))"
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+    skipped = "|".join(rf"<{x}\b.*?(?:</{x}|$)" for x in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"))
+    names = {"colon": ":", "sol": "/", "period": ".", "quest": "?", "equals": "=", "num": "#", "lt": "<", "gt": ">"}
+    number = "CASE WHEN m[2:2] IN ('x', 'X') THEN try_cast('0' || lower(m[2:]) AS BIGINT) ELSE try_cast(m[2:] AS BIGINT) END"
+    sign = "CASE m " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE CASE WHEN m[1] <> '#' THEN '&' || m || ';' WHEN ({number}) BETWEEN 33 AND 126 THEN chr(({number})::INT) ELSE '' END END"
+    whole = lambda host, path: f"CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN ref LIKE '//%' THEN 'x:' || ref WHEN ref LIKE '/%' THEN 'x://' || {host} || ref WHEN ref LIKE '?%' OR ref LIKE '#%' THEN 'x://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || ref ELSE 'x://' || {host} || '/' || array_to_string(string_split({path}, '/')[2:-2], '/') || CASE WHEN len(string_split({path}, '/')) > 2 THEN '/' ELSE '' END || ref END"
     return rf"""
 WITH RECURSIVE rules(action, host, path) AS (VALUES {rules}),
 u AS (SELECT row_number() OVER () AS k, page_id, url, html, url IS NOT NULL AND strpos(url, '://') > 0 AS ok FROM pages),
 p AS (SELECT k, page_id, html, CASE WHEN ok THEN {host('url')} ELSE '' END AS host, CASE WHEN ok THEN {path('url')} ELSE '' END AS path, CASE WHEN ok THEN {query('url')} END AS query, substr(url, 1, strpos(url, '://') - 1) AS scheme FROM u),
-t AS (SELECT k, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script|$)|<style\b.*?(</style|$)', ' ', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
-r AS (SELECT k, CASE WHEN lower(tag[2:5]) = 'link' AND list_contains(regexp_split_to_array(lower({value('tag', 'rel')}), '\s+'), 'canonical') THEN {value('tag', 'href')}
-      WHEN lower(tag[2:5]) = 'meta' AND lower({value('tag', 'http-equiv')}) = 'refresh' THEN regexp_extract({value('tag', 'content')}, '(?is)^[^;,]*[;,]\s*url\s*=\s*[\"'']?\s*([^\"'']*)', 1) END AS ref FROM t),
-d AS (SELECT k, ref, list_distinct(regexp_extract_all(ref, '&#([xX]?[0-9a-fA-F]{{1,6}});', 1)) AS signs FROM r WHERE ref <> ''),
-c AS (SELECT k, trim(regexp_replace(replace(list_reduce(list_prepend(ref, signs), lambda s, m: replace(s, '&#' || m || ';', CASE WHEN (CASE WHEN m ILIKE 'x%' THEN ('0' || lower(m))::BIGINT ELSE m::BIGINT END) BETWEEN 33 AND 126 THEN chr((CASE WHEN m ILIKE 'x%' THEN ('0' || lower(m))::BIGINT ELSE m::BIGINT END)::INT) ELSE '' END)), '&amp;', '&'), '[\t\n\f\r]', '', 'g')) AS ref FROM d),
-w AS (SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS src, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN ref LIKE '//%' THEN 'x:' || ref WHEN ref LIKE '/%' THEN 'x://' || host || ref
-      WHEN ref LIKE '?%' OR ref LIKE '#%' THEN 'x://' || host || CASE WHEN path = '' THEN '/' ELSE path END || ref ELSE 'x://' || host || '/' || array_to_string(string_split(path, '/')[2:-2], '/') || CASE WHEN len(string_split(path, '/')) > 2 THEN '/' ELSE '' END || ref END AS whole
-      FROM c JOIN p USING (k) WHERE ref <> ''),
+t0 AS (SELECT k, regexp_extract_all(html, '(?is)<!--.*?(?:-->|$)|{skipped}|<[a-z/](?:[^>=]|=\s*(?:"[^"]*"|''[^'']*'')?)*>') AS found FROM p WHERE host <> '' AND regexp_matches(html, '(?i)<link|http-equiv')),
+t AS (SELECT k, unnest(found) AS tag, unnest(range(len(found))) AS i FROM t0),
+r AS (SELECT k, i, lower(tag[2:5]) = 'base' AS base, CASE WHEN lower(tag[2:5]) = 'link' AND list_contains(regexp_split_to_array(lower({value('tag', 'rel')}), '\s+'), 'canonical') OR lower(tag[2:5]) = 'base' THEN {value('tag', 'href')}
+      WHEN lower(tag[2:5]) = 'meta' AND lower({value('tag', 'http-equiv')}) = 'refresh' THEN regexp_extract({value('tag', 'content')}, '(?is)^[^;,]*[;,]\s*url\s*=\s*[\"'']?\s*([^\"'']*)', 1) END AS ref FROM t WHERE regexp_matches(tag, '(?i)^<(link|meta|base)[\s/]')),
+d AS (SELECT k, i, base, ref, list_distinct(regexp_extract_all(ref, '&(#[xX]?[0-9a-fA-F]{{1,6}}|[a-z]+);', 1)) AS signs FROM r WHERE ref <> ''),
+c AS (SELECT k, i, base, trim(regexp_replace(replace(list_reduce(list_prepend(ref, list_filter(signs, lambda m: m <> 'amp')), lambda s, m: replace(s, '&' || m || ';', {sign})), '&amp;', '&'), '[\t\n\f\r]', '', 'g')) AS ref FROM d),
+bs AS (SELECT k, host, path, arg_min(ref, i) AS ref FROM c JOIN p USING (k) WHERE base AND ref <> '' GROUP BY ALL),
+bw AS (SELECT k, {host('whole')} AS host, {path('whole')} AS path FROM (SELECT k, {whole('host', 'path')} AS whole FROM bs) WHERE regexp_matches(whole, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+v AS (SELECT p.k, p.host || CASE WHEN p.path = '' THEN '/' ELSE p.path END || p.query AS src, CASE WHEN bw.host <> '' THEN bw.host ELSE p.host END AS host, CASE WHEN bw.host <> '' THEN bw.path ELSE p.path END AS path FROM p LEFT JOIN bw USING (k)),
+w AS (SELECT src, {whole('host', 'path')} AS whole FROM c JOIN v USING (k) WHERE ref <> '' AND NOT base),
 e0 AS (SELECT src, {host('whole')} || CASE WHEN {path('whole')} = '' THEN '/' ELSE {path('whole')} END || {query('whole')} AS dst FROM w WHERE regexp_matches(whole, '^[A-Za-z][A-Za-z0-9+.-]*://') AND {host('whole')} <> ''),
 names AS (SELECT src AS raw FROM e0 UNION SELECT dst FROM e0 UNION SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query FROM p WHERE host <> ''),
 dots AS (SELECT raw, split_part(raw, '?', 1) AS now, substr(raw, length(split_part(raw, '?', 1)) + 1) AS query FROM names UNION

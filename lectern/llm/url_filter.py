@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import column_of, records, ship, slices, tidied
 from lectern.llm.components import connected_components
+from lectern.llm.markup import RAW, attributes, tags
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What a page does not show: comments and the content of scripts and styles hold no links.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1|\z)"
-LINK, META = r"(?i)<link\b[^>]*>", r"(?i)<meta\b[^>]*>"
+FOUND = pa.schema([("url", pa.string()), ("base", pa.string()), ("href", pa.string())])
+#: What a refresh names behind its seconds.
+TURN = re.compile(r"""[^;,]*[;,]\s*url\s*=\s*["']?\s*([^"']*)""", re.I | re.S)
+#: A page without scripts is one that a crawler sees, so what stands in noscript counts.
+SILENT = RAW - {"noscript"}
 
 
 def host_of(url: Column) -> Column:
@@ -54,19 +61,18 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return out
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute in the text of a tag, quoted or not; '' if it has none."""
-    value = r"(?is)[\s\"'/]" + name + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    return F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])
-
-
-def decoded(value: Column) -> Column:
-    """Character references of ASCII signs, by number or as &amp;, replaced; blanks around it and line ends taken out."""
-    number = lambda m: F.when(F.lower(m).startswith("x"), F.conv(F.substring(m, 2, 9), 16, 10)).otherwise(m).cast("long")
-    ascii_only = lambda m: F.when(number(m).between(33, 126), F.char(number(m)))
-    signs = F.array_distinct(F.regexp_extract_all(value, F.lit("&#([xX]?[0-9a-fA-F]{1,6});"), F.lit(1)))
-    plain = F.aggregate(signs, value, lambda acc, m: F.replace(acc, F.concat(F.lit("&#"), m, F.lit(";")), F.coalesce(ascii_only(m), F.lit(""))))
-    return F.regexp_replace(F.trim(F.regexp_replace(F.replace(plain, F.lit("&amp;"), F.lit("&")), "[\\t\\n\\f\\r]", "")), "^ +| +$", "")
+def references(html: str) -> tuple[str | None, list[str]]:
+    """The base that a page names, if any, and the canonical links and refresh redirects it holds, as written."""
+    base, found = None, []
+    for name, rest in tags(html, SILENT):
+        if name == "base" and base is None:
+            base = attributes(rest).get("href")
+        elif name == "link" and "canonical" in (a := attributes(rest)).get("rel", "").lower().split():
+            found.append(a.get("href", ""))
+        elif name == "meta" and (a := attributes(rest)).get("http-equiv", "").strip().lower() == "refresh" and (m := TURN.match(a.get("content", ""))):
+            found.append(m[1])
+    clean = lambda r: re.sub(r"[\t\n\f\r]", "", r).strip(" ")
+    return None if base is None else clean(base), [c for r in found if (c := clean(r))]
 
 
 def resolved(href: Column, url: Column) -> Column:
@@ -86,17 +92,23 @@ def resolved(href: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of the canonical links and refresh redirects in ``pages`` (url, html), as nodes."""
+    """(src, dst) of the canonical links and refresh redirects in ``pages`` (url, html), as nodes.
+
+    References are resolved against the base that a page names, else its url.
+    """
+
+    @tidied
+    def read(batches):
+        for batch in batches:
+            for rows, texts in slices(batch, "html", 4_000_000):
+                made = [(u, base, h) for u, t in zip(column_of(rows, "url").to_pylist(), texts, strict=True) for base, found in [references(t)] for h in found]
+                yield records([[m[k] for m in made] for k in range(3)], FOUND)
+
     url = F.col("url")
-    marked = pages.where(url.isNotNull() & F.col("html").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    marked = marked.select("url", F.regexp_replace("html", HIDDEN, " ").alias("html"))
-    tags = lambda tag, keep: F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), keep)
-    is_canonical = lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical")
-    is_refresh = lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh"
-    links = F.transform(tags(LINK, is_canonical), lambda t: attribute(t, "href"))
-    turns = F.transform(tags(META, is_refresh), lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?\s*([^\"']*)", 1))
-    found = marked.select("url", F.explode(F.concat(links, turns)).alias("href")).withColumn("href", decoded(F.col("href"))).where("href <> ''")
-    edges = found.select(node_of(url).alias("src"), node_of(resolved(F.col("href"), url)).alias("dst"))
+    marked = pages.where(url.isNotNull() & F.col("html").isNotNull() & F.col("html").rlike(r"(?i)<link\b|http-equiv")).select("url", "html")
+    found = marked.mapInArrow(read, "url string, base string, href string")
+    base = F.coalesce(F.when(F.col("base") != "", resolved(F.col("base"), url)), url)
+    edges = found.select(node_of(url).alias("src"), node_of(resolved(F.col("href"), base)).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -111,6 +123,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     repeated rows stay; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
+    ship(pages.sparkSession)
     edges = link_edges(pages.select("url", "html"))
     labelled = connected_components(edges)
     as_url = F.concat(F.lit("http://"), F.col("node"))

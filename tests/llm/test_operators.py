@@ -28,7 +28,7 @@ def odd(spark):
     rows = [(k, t, "en" if k % 2 else None, None if k % 3 == 0 else "s", None) for k, t in enumerate(texts)]
     rows += [rows[5], (None, base, "en", "s", 1), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({"fp": F.lit("clash"), "component": F.lit(1), "label": F.lit(None).cast("string"), "node": F.lit(2), "score": F.lit(0.0)})
+    return df.withColumns({"fp": F.lit("clash"), "Component": F.lit(1), "label": F.lit(None).cast("string"), "Node": F.lit(2), "SCORE": F.lit(0.0)})
 
 
 def runs(df):
@@ -253,6 +253,26 @@ def test_urls_of_links_against_the_standard_library(spark, tmp_path):
     assert dict(con.sql(queries.oracle_sql()["op7_url_filter"]).project("page_id, verdict").fetchall()) == want
 
 
+#: Pages with what they link to; a base, quoted signs, references by name and tags that are none.
+PROBES = [
+    ('<link title="a>b" rel="canonical" href="http://bad.net/">', "bad.net/"), ('<base href="http://other.info/x/"><link rel=canonical href=y>', "other.info/x/y"), ("<base target=_top><base href=/up/><base href=/no/><meta http-equiv=refresh content='1;url=z'>", "good.info/up/z"),
+    ('<link rel=canonical href="http&colon;//bad.net&sol;q">', "bad.net/q"), ("<textarea><link rel=canonical href=http://bad.net/></textarea>", None), ("<div data-x='<link rel=canonical href=http://bad.net/>'>x</div>", None),
+    ("<title><link rel=canonical href=http://bad.net/></title>", None), ("<link rel=canonical href='?a=1&copy=2&amp;lt=3'>", "good.info/6/7?a=1&copy=2&lt=3"), ("<base href='mailto:x'><link rel=canonical href='v'>", "good.info/6/v"), ("<LINK REL=Canonical HREF=/A/>", "good.info/A/"),
+]
+
+
+def test_urls_of_probes_in_both_forms(spark):
+    rows = [(k, f"http://good.info/6/{7 if 'copy' in html else k}", html) for k, (html, _) in enumerate(PROBES)] + [(100 + k, f"http://{dst}", "<p>") for k, (_, dst) in enumerate(PROBES) if dst]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"Node": F.lit(1), "BASE": F.lit("b"), "href": F.lit("h")})
+    want = {(url.removeprefix("http://"), dst) for (_, url, _), (_, dst) in zip(rows, PROBES, strict=False) if dst}
+    assert {(r["src"], r["dst"]) for r in url_filter.link_edges(df).collect()} == want
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url", "html").toPandas())
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, queries.URL_RULES).collect()}
+    assert dict(con.sql(queries.oracle_sql()["op7_url_filter"]).project("page_id, verdict").fetchall()) == verdicts
+    assert {k for k, v in verdicts.items() if v == "block"} == {0, 3, 100, 103}
+
+
 def test_pages(spark):
     rnd = random.Random(4)
     menu = "<div>home about contact us press jobs legal imprint and more</div>"
@@ -447,7 +467,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 def test_stages_on_odd_rows_and_names(spark, odd):
     import corpus_pipeline
 
-    df = odd.withColumns({"key": F.lit(1), "key_row": F.lit(2), "a.b": F.lit("x"), "text_": F.lit(None).cast("string")})
+    df = odd.withColumns({"Key": F.lit(1), "KEY_row": F.lit(2), "a.b": F.lit("x"), "text_": F.lit(None).cast("string"), "Host": F.lit("h"), "DIM": F.lit(3), "Seq": F.lit(4)})
     for name, stage in corpus_pipeline.STAGES:
         got, none = stage(spark, df, FOLDER), stage(spark, df.limit(0), FOLDER)
         assert none.count() == 0
