@@ -327,8 +327,9 @@ def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4, similar_widt
     rows are one, and a row with an id stays before it. Texts without a word are one group.
     Columns may have any names; an empty table gives an empty result.
     """
+    taken = {c.lower() for c in docs.columns}  # Spark's names are equal in any case
     key = "key"
-    while key in docs.columns:
+    while key in taken or f"{key}_row" in taken:
         key += "_"
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     content = F.to_json(F.struct(*columns)) if docs.columns else F.lit("")
@@ -348,7 +349,5 @@ def keep_first(docs: DataFrame, width: int = 4, most_bits: int = 4, similar_widt
     later = connected_components(links).where("node <> component").select("node")
     kept = distinct.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(key))
     one = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    row = key + "_row"
-    while row in docs.columns:
-        row += "_"
+    row = f"{key}_row"
     return keyed.join(kept, key, "left_semi").withColumn(row, one).where(F.col(row) == 1).select(*columns)
