@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -52,47 +52,34 @@ def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
     return weighted(docs, asked).join(asked, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def best_lexical(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return bm25(docs, questions).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the document holds the phrase, both in lower case with single spaces.
 
     Normal forms are made once on each side. The inner words of a phrase are whole words of
-    every text that holds it, so its longest inner word is a key: texts are joined to the
-    phrases whose key they have, and only these are looked for. Phrases of one or two words
+    every text that holds it, so its longest inner word is a key: words of texts are joined to
+    keys, however many these are, and only phrases whose key a text has are looked for in it. Phrases of one or two words
     have no inner word; they are looked for in every text, row by row.
     """
     words = F.split("needle", " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(-F.length(w), w.alias("w")))
     p = phrases.select("item_id", X.phrase(F.col("text")).alias("needle")).withColumn("key", F.try_element_at(F.array_sort(inner), F.lit(1))["w"])
     d = docs.select("doc_id", X.phrase(F.col("text")).alias("hay"))
-    keys = p.where("key is not null").agg(F.collect_set("key").alias("keys")).scalar()
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("key"))
+    likely = words.join(p, "key").select("doc_id", "item_id", "needle")
+    keyed = d.join(likely, "doc_id").where(F.contains("hay", "needle")).select("item_id", "doc_id")
     short = p.where("key is null and needle is not null").agg(F.collect_list(F.struct("item_id", "needle")).alias("short")).scalar()
-    keyed = d.withColumn("key", F.explode(F.array_intersect(F.split("hay", " "), keys))).join(p, "key").where(F.contains("hay", "needle")).select("item_id", "doc_id")
     found = d.withColumn("short", F.explode(short)).where(F.contains("hay", "short.needle")).select("short.item_id", "doc_id")
     return keyed.unionByName(found)
 
 
 def quality_ranks(docs: DataFrame, cases: DataFrame) -> DataFrame:
-    """For each case (item_id, text): how many documents hold it and the first rank of one.
+    """For each case (item_id, text): how many of docs (doc_id, text) hold it and the first rank of one, by an index made of docs."""
+    from lectern.operators.postings import Search, build  # which needs this module
 
-    A document without a shared term scores zero and follows those with one, by id. The best
-    of the documents that hold a case is found among these alone, and those ahead of it are
-    counted; nothing is ranked.
-    """
-    questions = cases.select(F.col("item_id").alias("question_id"), "text")
-    # both uses below ask for all columns of this shuffle, so that it is run once
-    scores = bm25(docs, questions).withColumn("score", F.round("score", 6)).where("score > 0").repartition("question_id", "doc_id")
-    own = containment(docs, cases).join(scores.withColumnRenamed("question_id", "item_id"), ["item_id", "doc_id"], "left")
-    first = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("minus"), "doc_id"))).alias("best")
-    best = own.groupBy("item_id").agg(F.count("*").alias("containing"), first)
-    every = scores.unionByName(cases.select(F.col("item_id").alias("question_id"), F.lit(None).cast("double").alias("score")), allowMissingColumns=True)
-    ahead = F.struct((-F.col("score")).alias("minus"), "doc_id") <= F.col("best")
-    ranked = every.join(best, F.col("question_id") == F.col("item_id")).groupBy("item_id").agg(F.first("containing").alias("containing"), F.nullif(F.count_if(F.col("score").isNotNull() & ahead), F.lit(0)).alias("rank"))
-    return cases.select("item_id").join(ranked, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
+    asked = cases.select(F.col("item_id").alias("question_id"), "text")
+    held = containment(docs, cases.where("text is not null")).withColumnRenamed("item_id", "question_id")
+    found = Search(build(docs), asked).ranks(held).withColumnRenamed("question_id", "item_id")
+    return cases.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
 
 
 def quality_report(ranks: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lectern.functions import vectors as V
 from lectern.operators import conversation as C
 from lectern.operators import lexical as L
 from lectern.operators import paging as G
+from lectern.operators import postings as T
 from lectern.operators import retrieval as R
 from lectern.plans.registry import query
 from lectern.plans.text import shortened
@@ -222,7 +223,8 @@ def cases(spark, d):
 
 @query(SCORES + " SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    best = L.best_lexical(texts(spark, d), cases(spark, d).withColumnRenamed("item_id", "question_id"), 5)
+    """The five best documents of every case, by an index made of all documents."""
+    best = T.Search(T.build(texts(spark, d)), cases(spark, d).withColumnRenamed("item_id", "question_id")).best(5)
     return best.select(F.col("question_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
