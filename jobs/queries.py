@@ -22,7 +22,7 @@ def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         index_documents(spark, f"{sf_dir}/documents.parquet", f"{place}/index", f"{place}/checkpoint")
     index = T.opened(spark, f"{place}/index")
     docs = spark.read.parquet(f"{place}/index/documents").join(index.lengths, ["doc_id", "batch"]).drop("batch")
-    return docs.unionByName(index.postings.select("term", F.inline("entries")), allowMissingColumns=True)
+    return docs.unionByName(index.postings.select("term", T.each_posting()), allowMissingColumns=True)
 
 
 def job2_retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -52,6 +52,12 @@ def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
     return weighted(docs, asked).join(asked, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def best_lexical(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k best documents of every question, by the scores of all pairs; ``postings.Search`` has them from an index."""
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return bm25(docs, questions).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the document holds the phrase, both in lower case with single spaces.
 
@@ -63,13 +69,16 @@ def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     words = F.split("needle", " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(-F.length(w), w.alias("w")))
     p = phrases.select("item_id", X.phrase(F.col("text")).alias("needle")).withColumn("key", F.try_element_at(F.array_sort(inner), F.lit(1))["w"])
-    d = docs.select("doc_id", X.phrase(F.col("text")).alias("hay"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("key"))
+    hay = X.phrase(F.col("text"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(hay, " "))).alias("key"))
     likely = words.join(p, "key").select("doc_id", "item_id", "needle")
-    keyed = d.join(likely, "doc_id").where(F.contains("hay", "needle")).select("item_id", "doc_id")
-    short = p.where("key is null and needle is not null").agg(F.collect_list(F.struct("item_id", "needle")).alias("short")).scalar()
-    found = d.withColumn("short", F.explode(short)).where(F.contains("hay", "short.needle")).select("short.item_id", "doc_id")
-    return keyed.unionByName(found)
+    found = docs.select("doc_id", "text").join(likely, "doc_id").where(F.contains(hay, "needle")).select("item_id", "doc_id")
+    few = p.where("key is null and needle is not null")
+    if few.isEmpty():
+        return found
+    short = few.agg(F.collect_list(F.struct("item_id", "needle")).alias("short")).scalar()
+    every = docs.select("doc_id", hay.alias("hay"), F.explode(short).alias("short")).where(F.contains("hay", "short.needle"))
+    return found.unionByName(every.select("short.item_id", "doc_id"))
 
 
 def quality_ranks(docs: DataFrame, cases: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ SLACK = 1e-5
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (bucket, term, block, n, most_tf, least_length, entries), ``lengths`` (doc_id, length)."""
+    """``postings`` (bucket, term, block, n, most_tf, least_length, ids, tfs, sizes), ``lengths`` (doc_id, length)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -45,20 +45,36 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, buckets: int = 16) -> DataFrame:
-    """(bucket, term, block, n, most_tf, least_length, entries) of docs (doc_id, text), one row an id.
+    """(bucket, term, block, n, most_tf, least_length, ids, tfs, sizes) of docs (doc_id, text), one row an id.
 
-    entries are (doc_id, tf, length), by id, of the documents of one block that hold the
-    term, so no row grows with the corpus. Texts are shuffled once, by block, and all is
-    counted where they then lie; rows come sorted by bucket and term, dealt out by ranges, a
-    common term over many.
+    The arrays have the ids, in order, of the documents of one block that hold the term, how
+    often they do and their lengths, so no row grows with the corpus. Texts are shuffled once,
+    by block, and all is counted where they then lie. Rows come sorted by term, those of a
+    bucket in as many partitions as there are for it, so that a common term lies in all of
+    these.
     """
-    rows = docs.where("doc_id is not null").select(block_of(F.col("doc_id")).alias("block"), "doc_id", "text").repartition("block")
-    terms = rows.select("block", "doc_id", X.terms(F.col("text")).alias("terms")).select("block", "doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    counts = terms.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    entry = F.struct("doc_id", "tf", "length")
-    blocks = counts.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    # a number of partitions of its own, as texts are small for what is made of them
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.where("doc_id is not null").select(block_of(F.col("doc_id")).alias("block"), "doc_id", "text").repartition(partitions, "block")
+    terms = rows.select("block", "doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
+    counts = terms.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"))
+    counts = counts.withColumn("length", F.sum("tf").over(Window.partitionBy("block", "doc_id")))
     key = ("bucket", "term", "block")
-    return blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).select(*key, "n", "most_tf", "least_length", "entries").repartitionByRange(*key).sortWithinPartitions(*key)
+    blocks = in_blocks(counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
+    salts = max(1, partitions // buckets)
+    return blocks.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions(*key)
+
+
+def in_blocks(each: DataFrame) -> DataFrame:
+    """The blocks of single postings (bucket, term, block, doc_id, tf, length)."""
+    entries = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length")))
+    blocks = each.groupBy("block", "term").agg(F.first("bucket").alias("bucket"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), entries.alias("e"))
+    return blocks.select("bucket", "term", "block", "n", "most_tf", "least_length", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("sizes"))
+
+
+def each_posting() -> F.Column:
+    """A block as rows (doc_id, tf, length), to be selected."""
+    return F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("tfs").alias("tf"), F.col("sizes").alias("length")))
 
 
 def build(docs: DataFrame, place: str | None = None, buckets: int = 16) -> Index:
@@ -77,10 +93,8 @@ def replaced(index: Index) -> Index:
     if last.where("versions > 1").isEmpty():
         return Index(index.postings, index.lengths)
     old = index.lengths.join(last.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti").select("doc_id", "batch")
-    each = index.postings.select("bucket", "term", "block", "batch", F.inline("entries")).join(old, ["doc_id", "batch"], "left_anti")
-    entry = F.struct("doc_id", "tf", "length")
-    blocks = each.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    return Index(blocks, last.select("doc_id", "length", "batch"))
+    each = index.postings.select("bucket", "term", "block", "batch", each_posting()).join(old, ["doc_id", "batch"], "left_anti")
+    return Index(in_blocks(each), last.select("doc_id", "length", "batch"))
 
 
 def saturated(tf: Column, length: Column, mean: float) -> Column:
@@ -95,7 +109,7 @@ class Search:
         n, mean = index.lengths.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
         self.mean = mean or 1.0
         asked = asked_terms(questions)
-        # only the buckets of asked terms are read, and of these no entries for the bounds
+        # bounds need no arrays of postings
         places = asked.select("term").distinct()
         self.postings = index.postings
         blocks = index.postings.select("term", "n", "most_tf", "least_length").join(places, "term", "left_semi")
@@ -108,16 +122,25 @@ class Search:
     def _entries(self, weights: DataFrame, found: DataFrame | None = None) -> DataFrame:
         """(question_id, doc_id, part) of all postings of some questions' terms."""
         every = (found if found is not None else self.postings).join(weights.select("question_id", "term", "idf"), "term")
-        each = every.select("question_id", "term", "idf", F.inline("entries"))
+        each = every.select("question_id", "term", "idf", each_posting())
         return each.select("question_id", "doc_id", (F.col("idf") * saturated(F.col("tf"), F.col("length"), self.mean)).alias("part"))
 
-    def floors(self, k: int) -> DataFrame:
-        """(question_id, floor): k documents have at least this score, by the question's rarest terms alone."""
+    def rare(self, k: int) -> DataFrame:
+        """The weights of each question's rarest terms, as many as hold some ``k`` documents."""
         before = F.sum("df").over(Window.partitionBy("question_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
-        rare = self.weights.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * k)
-        part = self._entries(rare).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
-        order = Window.partitionBy("question_id").orderBy(F.desc("part"))
-        return part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k).select("question_id", F.col("part").alias("floor"))
+        return self.weights.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * k)
+
+    def floors(self, k: int) -> DataFrame:
+        """(question_id, floor): k documents have at least this score.
+
+        Of the documents that hold a question's rarest terms the best by these alone are
+        scored by all terms; the k-th of them is a floor under the k-th of all.
+        """
+        part = self._entries(self.rare(k)).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
+        first = lambda score: F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(score)))
+        likely = part.withColumn("n", first("part")).where(F.col("n") <= 2 * k)
+        scored = self.scores_of(stored(likely.select("question_id", "doc_id")))
+        return scored.withColumn("n", first("score")).where(F.col("n") <= k).where(F.col("n") == k).select("question_id", F.col("score").alias("floor"))
 
     def split(self, floors: DataFrame, how: str = "left") -> DataFrame:
         """The weights with their question's floor (none: 0) and whether the term brings candidates.
@@ -132,26 +155,30 @@ class Search:
     def reaching(self, floors: DataFrame, how: str = "left") -> DataFrame:
         """(question_id, doc_id, score) of every document whose score is at least its question's floor, and of some below.
 
-        Questions without a floor have all their documents, or with ``how`` "inner" none. Candidates come from the leading terms; those that can't reach the floor with all
-        that the other terms may add go; for the rest the other terms are looked up in the
-        blocks of these documents only.
+        Questions without a floor have all their documents, or with ``how`` "inner" none.
+        Candidates come from the leading terms. The others follow in three tiers, those with
+        the largest bounds first, and before each the candidates go that can't reach the floor
+        with all that may still come; for the rest a tier's terms are looked up in the blocks
+        of these documents only.
         """
         weights = stored(self.split(floors, how))
-        led = self._entries(weights.where("leads")).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
-        rest = weights.groupBy("question_id").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))), F.lit(0.0)).alias("rest"))
-        left = led.join(rest, "question_id").where(F.col("part") + F.col("rest") >= F.col("floor")).select("question_id", "doc_id", "part")
-        left = stored(left)
-        more = self._looked_up(left, weights.where("not leads"))
-        both = left.unionByName(more)
-        return both.groupBy("question_id", "doc_id").agg(F.sum("part").alias("score"))
+        left = self._entries(weights.where("leads")).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
+        tier = F.when(F.col("leads"), -1).when(F.col("upto") >= F.col("floor") / 2, 0).when(F.col("upto") >= F.col("floor") / 8, 1).otherwise(2)
+        weights = weights.withColumn("tier", tier)
+        for k in range(3):
+            rest = weights.groupBy("question_id").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("tier") >= k, F.col("upto"))), F.lit(0.0)).alias("rest"))
+            left = stored(left.join(rest, "question_id").where(F.col("part") + F.col("rest") >= F.col("floor")).select("question_id", "doc_id", "part"))
+            more = self._looked_up(left, weights.where(F.col("tier") == k))
+            left = left.unionByName(more).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
+        return left.withColumnRenamed("part", "score")
 
     def _looked_up(self, pairs: DataFrame, weights: DataFrame) -> DataFrame:
         """(question_id, doc_id, part) of these pairs (question_id, doc_id) for these terms."""
         asked = pairs.join(weights.select("question_id", "term", "idf"), "question_id").select("question_id", "doc_id", "term", "idf", block_of(F.col("doc_id")).alias("block"))
-        found = asked.join(self.postings.select("term", "block", "entries"), ["term", "block"])
-        mine = F.get(F.filter("entries", lambda e: e["doc_id"] == F.col("doc_id")), 0)
-        part = found.select("question_id", "doc_id", "idf", mine.alias("e")).where("e is not null")
-        return part.select("question_id", "doc_id", (F.col("idf") * saturated(F.col("e.tf"), F.col("e.length"), self.mean)).alias("part"))
+        found = asked.join(self.postings.select("term", "block", "ids", "tfs", "sizes"), ["term", "block"])
+        at = found.withColumn("at", F.array_position("ids", F.col("doc_id")).cast("int")).where("at > 0")
+        part = F.col("idf") * saturated(F.element_at("tfs", F.col("at")), F.element_at("sizes", F.col("at")), self.mean)
+        return at.select("question_id", "doc_id", part.alias("part"))
 
     def scores_of(self, pairs: DataFrame) -> DataFrame:
         """(question_id, doc_id, score) of the pairs (question_id, doc_id) that share a term."""
@@ -178,13 +205,11 @@ class Search:
     def work(self, k: int) -> DataFrame:
         """(all_postings, read_first, read_leading): how many postings share a term with a question, and how many ``best`` scores for floors and candidates."""
         size = lambda w, name: w.agg(F.coalesce(F.sum("df"), F.lit(0)).alias(name))
-        before = F.sum("df").over(Window.partitionBy("question_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
-        rare = self.weights.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * k)
-        one = F.broadcast(size(rare, "read_first")).crossJoin(F.broadcast(size(self.split(self.floors(k)).where("leads"), "read_leading")))
+        one = F.broadcast(size(self.rare(k), "read_first")).crossJoin(F.broadcast(size(self.split(self.floors(k)).where("leads"), "read_leading")))
         return size(self.weights, "all_postings").crossJoin(one)
 
 
-POSTINGS = "term string, block bigint, n bigint, most_tf bigint, least_length bigint, entries array<struct<doc_id: bigint, tf: bigint, length: bigint>>, batch bigint, bucket int"
+POSTINGS = "term string, block bigint, n bigint, most_tf bigint, least_length bigint, ids array<bigint>, tfs array<bigint>, sizes array<bigint>, batch bigint, bucket int"
 
 
 def written(spark: SparkSession, place: str) -> Index:

@@ -221,11 +221,19 @@ def cases(spark, d):
     return table(spark, d, "benchmark").select("item_id", "text")
 
 
+def scored(best):
+    return best.select(F.col("question_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(SCORES + " SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    """The five best documents of every case, by an index made of all documents."""
-    best = T.Search(T.build(texts(spark, d)), cases(spark, d).withColumnRenamed("item_id", "question_id")).best(5)
-    return best.select(F.col("question_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return scored(L.best_lexical(texts(spark, d), cases(spark, d).withColumnRenamed("item_id", "question_id"), 5))
+
+
+@query(SCORES + " SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10")
+def bm25_indexed(spark, d):
+    """The ten best documents of every case, by an index made of all documents."""
+    return scored(T.Search(T.build(texts(spark, d)), cases(spark, d).withColumnRenamed("item_id", "question_id")).best(10))
 
 
 PHRASE = "trim(regexp_replace(lower(text), '[" + X.WS + "]+', ' ', 'g'))"

@@ -17,7 +17,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def held(spark, place):
     index = T.opened(spark, place)
-    terms = {(r["doc_id"], r["term"], r["tf"]) for r in index.postings.select("term", F.inline("entries")).collect()}
+    terms = {(r["doc_id"], r["term"], r["tf"]) for r in index.postings.select("term", T.each_posting()).collect()}
     return terms, {(r["doc_id"], r["length"]) for r in index.lengths.collect()}
 
 

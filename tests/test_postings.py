@@ -91,11 +91,11 @@ def test_few_postings_are_read(spark):
 def test_blocks_hold_what_they_say(spark, corpus):
     docs = spark.createDataFrame(corpus[0], DOCS)
     blocks = T.postings(docs, 4)
-    assert [c for c in blocks.columns] == ["bucket", "term", "block", "n", "most_tf", "least_length", "entries"]
+    assert [c for c in blocks.columns] == ["bucket", "term", "block", "n", "most_tf", "least_length", "ids", "tfs", "sizes"]
     for r in blocks.collect():
-        assert r["n"] == len(r["entries"]) <= 1 << T.BLOCK_BITS and r["most_tf"] == max(e["tf"] for e in r["entries"]) and r["least_length"] == min(e["length"] for e in r["entries"])
-        assert all(e["doc_id"] >> T.BLOCK_BITS == r["block"] for e in r["entries"]) and 0 <= r["bucket"] < 4
-    each = {(r["term"], r["doc_id"], r["tf"]) for r in blocks.select("term", F.inline("entries")).collect()}
+        assert r["n"] == len(r["ids"]) <= 1 << T.BLOCK_BITS and r["most_tf"] == max(r["tfs"]) and r["least_length"] == min(r["sizes"]) and r["ids"] == sorted(r["ids"])
+        assert all(i >> T.BLOCK_BITS == r["block"] for i in r["ids"]) and 0 <= r["bucket"] < 4
+    each = {(r["term"], r["doc_id"], r["tf"]) for r in blocks.select("term", T.each_posting()).collect()}
     assert each == {(t, d, n) for d, text in corpus[0] for t, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items()}
 
 
