@@ -68,13 +68,18 @@ def retrieve_batch(chunks: DataFrame, questions: DataFrame, how: Retrieval = Ret
     partitions, so that a tenant, however large, is spread over all tasks. The window cuts
     each partition to the candidates before the shuffle.
     """
-    if questions.count() <= MOST_BROADCAST:
+    if questions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         near = chunks.join(F.broadcast(questions), "tenant")
     else:
         salts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         salted = chunks.withColumn("salt", F.pmod(F.xxhash64("document_id", "ordinal"), F.lit(salts)).cast("int"))
         near = salted.join(questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["tenant", "salt"]).drop("salt")
     near = near.withColumn("distance", 1.0 - V.cosine(F.col("embedding"), F.col("qe"))).drop("embedding", "qe")
+    return ranked(near, how)
+
+
+def ranked(near: DataFrame, how: Retrieval) -> DataFrame:
+    """What each question gets of near (question_id, document_id, ordinal, distance): candidates, cap, floor, best top_k with a rank."""
     order = Window.partitionBy("question_id").orderBy("distance", "document_id", "ordinal")
     first = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= how.candidates).drop("n")
     kept = capped(first, how.cap, ("question_id",)).where(F.col("distance") <= 1.0 - how.floor)

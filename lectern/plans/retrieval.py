@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions import vectors as V
 from lectern.operators import conversation as C
+from lectern.operators import ivf as I
 from lectern.operators import lexical as L
 from lectern.operators import paging as G
 from lectern.operators import postings as T
@@ -81,9 +82,12 @@ b AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, l
 SELECT question_id, rank, label, vec_id, round(1.0 - distance, 6) AS similarity FROM b WHERE rank <= 8"""
 
 
+def questions(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), (F.col("label") % 2).alias("tenant"), F.col("embedding").alias("qe"))
+
+
 def batch(spark, d):
-    questions = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), (F.col("label") % 2).alias("tenant"), F.col("embedding").alias("qe"))
-    return R.retrieve_batch(chunks(spark, d), questions, R.Retrieval(floor=0.1))
+    return R.retrieve_batch(chunks(spark, d), questions(spark, d), R.Retrieval(floor=0.1))
 
 
 @query(BATCH)
@@ -91,6 +95,13 @@ def retrieve_batch(spark, d):
     return batch(spark, d).select("question_id", F.col("rank").cast("long").alias("rank"), F.col("document_id").alias("label"), F.col("ordinal").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(BATCH)
+def retrieve_indexed(spark, d):
+    """The same from an index by cells, whose bounds tell which of them can be left out."""
+    best = I.retrieve(I.build(chunks(spark, d)), questions(spark, d), R.Retrieval(floor=0.1), exact=True)
+    return best.select("question_id", F.col("rank").cast("long").alias("rank"), F.col("document_id").alias("label"), F.col("ordinal").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 CITED = f"SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS index, doc_id, round(similarity, 3) AS similarity, {shortened('text', 300)} AS snippet FROM (SELECT b.*, d.doc_id, d.text FROM ({BATCH}) b JOIN documents d ON d.doc_id = b.vec_id)"
 
 
