@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import longdocs as D
 from lectern.operators import passages as P
 from lectern.operators import structure as S
 from lectern.operators import uploads as U
@@ -291,6 +292,24 @@ def heading_path(spark, d):
     return made.groupBy(F.col("document_id").alias("doc_id")).agg(F.max_by("heading_path", "ordinal").alias("path"))
 
 
+MADE = "('---' || chr(10) || 'id: x' || chr(10) || '---' || chr(10) || '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || '```' || chr(10) || 'code' || chr(10) || chr(10) || '```' || chr(10) || '- one' || chr(10) || '- two' || chr(10))"
+
+
+@query(f"SELECT doc_id, source || ' > ' || lang AS path, 2::BIGINT AS headings, 1::BIGINT AS fences, 14::BIGINT AS start, (length({MADE}) - 1)::BIGINT AS \"end\", 0::BIGINT AS overlaps FROM documents")
+def md_segments(spark, d):
+    """Blocks and heading paths from the lines of the made texts, a few lines a task at a time: where they begin and end, and what the last one is under."""
+    from pyspark.sql import Window
+
+    lines = markdown_docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    b = D.markdown_blocks(lines, segment=8)
+    over = F.coalesce(F.lag("end").over(Window.partitionBy("doc_id").orderBy("first_line")) > F.col("start"), F.lit(False))
+    b = b.withColumn("over", over).where("label is null or label not like '%###%'")
+    return b.groupBy("doc_id").agg(
+        F.max_by("path", "first_line").alias("path"), F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "preformatted").alias("fences"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count_if("over").alias("overlaps"),
+    )
+
+
 @query("SELECT doc_id, 0::BIGINT AS wrong_slices, 0::BIGINT AS wrong_counts, 0::BIGINT AS empty FROM documents")
 def chunk_documents(spark, d):
     """Passages that are no slice of their text, miscounted or empty: none in any document."""
