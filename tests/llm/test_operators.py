@@ -381,13 +381,13 @@ def test_language_and_toxicity_held_out(spark):
     assert toxic > 0.85
 
 
-def test_toxicity_keeps_many_ngrams(spark):
-    rnd = random.Random(6)
-    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(40))
-    rows = [(k, text("abcdefgh" if k % 2 else "ghijklmn")) for k in range(400)]
-    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, label int")
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
-    assert (model.table >= 0).sum() > 1 << 13
+def test_toxic_texts_are_found_and_clean_ones_left(spark):
+    """Recall and precision on held-out rows; an accuracy would say little, as one row of eight is toxic."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    both = queries.op10_toxicity(spark, folder).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in both}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.87 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.95
 
 
 def test_class_prior_is_of_the_whole_corpus(spark):
