@@ -63,14 +63,26 @@ def answer_segments(spark, d):
     return found.groupBy("conv_id", "turn").agg(F.array_join(F.transform(order, lambda x: x["raw"]), "").alias("text"), F.count_if(F.col("kind") == "citation").alias("chips"))
 
 
-@query(
-    f"SELECT conv_id, {VALID.replace('m[j]', 'm[j]')} AS text FROM (SELECT conv_id, n_sources, string_split_regex(text, '{MARK}') AS p, regexp_extract_all(text, '{MARK}') AS m FROM (SELECT conv_id, any_value(n_sources) AS n_sources, regexp_replace(string_agg(text, ' ' ORDER BY turn), '\\[[0-9, \\t\\n\\r]*$', '') AS text FROM ({SAID}) GROUP BY conv_id))"
-)
-def marker_stream(spark, d):
-    """Answers cut into pieces of seven characters, so that markers tear, and filtered as they arrive."""
+def pieces(spark, d):
+    """Answers cut into pieces of seven characters, so that markers tear."""
     whole = answers(spark, d).groupBy("conv_id").agg(F.first("n_sources").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     cut = whole.select("conv_id", "n_sources", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / 7).cast("int"))).alias("seq"))
-    return M.filter_deltas(cut.select("conv_id", "n_sources", "seq", F.expr("substring(text, seq * 7 + 1, 7)").alias("delta"))).select("conv_id", "text")
+    return cut.select("conv_id", "n_sources", "seq", F.expr("substring(text, seq * 7 + 1, 7)").alias("delta"))
+
+
+FILTERED = (f"SELECT conv_id, {VALID.replace('m[j]', 'm[j]')} AS text FROM (SELECT conv_id, n_sources, string_split_regex(text, '{MARK}') AS p, regexp_extract_all(text, '{MARK}') AS m FROM (SELECT conv_id, any_value(n_sources) AS n_sources, regexp_replace(string_agg(text, ' ' ORDER BY turn), '\\[[0-9, \\t\\n\\r]*$', '') AS text FROM ({SAID}) GROUP BY conv_id))")
+
+
+@query(FILTERED)
+def marker_stream(spark, d):
+    """The pieces of every answer joined, and filtered by column expressions."""
+    return M.filter_deltas(pieces(spark, d)).select("conv_id", "text")
+
+
+@query(FILTERED)
+def marker_pieces(spark, d):
+    """Every piece filtered as it arrives, with what those before it left open."""
+    return M.filter_pieces(pieces(spark, d)).select("conv_id", "text")
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6")

@@ -22,16 +22,16 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, markdown
     Each micro-batch replaces its own folders batch=<id>, so a batch that is run again after
     a crash leaves one set of passages. The ids of its documents are written last: they
     commit the batch, and name the documents that have no passage. A document sent twice in
-    a batch counts once, with the greatest text. Returns the streaming query.
+    a batch counts once, with the text of the file written last (of one file, the greatest). Returns the streaming query.
     """
     schema = "doc_id bigint, text string"
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        one = batch.groupBy("doc_id").agg(F.max("text").alias("text"))
+        one = batch.groupBy("doc_id").agg(F.max_by("text", F.struct("modified", "text")).alias("text"))
         ingest(one, markdown, how).write.mode("overwrite").parquet(f"{target}/chunks/batch={batch_id}")
         batch.select(F.col("doc_id").alias("document_id")).distinct().write.mode("overwrite").parquet(f"{target}/documents/batch={batch_id}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("modified"))
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

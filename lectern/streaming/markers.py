@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,34 +76,66 @@ def filter_deltas(deltas: DataFrame) -> DataFrame:
     return whole.select("conv_id", X.valid_markers(kept, F.col("n_sources")).alias("text"), X.markers_used(kept, F.col("n_sources")).alias("used"))
 
 
+def filter_pieces(deltas: DataFrame) -> DataFrame:
+    """The same piece by piece, each scanned with the bracket that the ones before it left open, as a stream does it."""
+
+    def run(key, rows):
+        held, shown, cited = "", [], set()
+        for delta, sources in rows.sort_values("seq")[["delta", "n_sources"]].itertuples(index=False):
+            text, held, new = scan(held + delta, int(sources))
+            shown.append(text)
+            cited |= new
+        return pd.DataFrame({"conv_id": [key[0]], "text": ["".join(shown)], "used": [sorted(cited)]})
+
+    return deltas.groupBy("conv_id").applyInPandas(run, "conv_id bigint, text string, used array<int>")
+
+
+def in_turn(expected: int, waiting: dict, arrived: list[tuple], flush: bool) -> tuple[list[tuple], int]:
+    """The pieces (seq, ...) that can be shown now, and which is expected then; those that came too early stay in ``waiting``.
+
+    A piece that comes twice counts once. With ``flush`` gaps are passed over.
+    """
+    waiting |= {p[0]: p for p in arrived if p[0] >= expected and p[0] not in waiting}
+    ready = []
+    while expected in waiting or flush and waiting:
+        expected = expected if expected in waiting else min(waiting)
+        ready.append(waiting.pop(expected))
+        expected += 1
+    return ready, expected
+
+
 def filter_stream(deltas: DataFrame, idle: str | None = "10 minutes") -> DataFrame:
     """The same on a streaming DataFrame (conv_id, seq, delta, n_sources, last): emits the safe text of each batch.
 
-    State is the open bracket and the used markers of each conversation. It goes with the
-    last delta, or when none has come for ``idle``: then what was held back is dropped, as at
-    an end, and the conversation is reported as done. Queries that are to end by themselves
-    (trigger availableNow) take None, as a time-out keeps a query awake.
+    Pieces are numbered from 0; one that comes early, even by batches, waits for those before
+    it. State is the open bracket, the used markers and what waits of each conversation. It
+    goes with the last delta, or when none has come for ``idle``: then what waits is shown,
+    what was held back is dropped, as at an end, and the conversation is reported as done.
+    Queries that are to end by themselves (trigger availableNow) take None, as a time-out
+    keeps a query awake.
     """
     from pyspark.sql.streaming.state import GroupState
 
     wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key, parts, state: GroupState):
-        held, used = state.get if state.exists else ("", "")
-        cited, shown, done = {int(n) for n in used.split()}, [], state.hasTimedOut
-        if not done:
-            rows = pd.concat(list(parts)).sort_values("seq")
-            for delta, sources in zip(rows["delta"], rows["n_sources"], strict=True):
-                text, held, new = scan(held + delta, int(sources))
-                shown.append(text)
-                cited |= new
-            done = bool(rows["last"].any())
-        if done:
+        held, used, expected, early = state.get if state.exists else ("", "", 0, "[]")
+        cited, shown, ended = {int(n) for n in used.split()}, [], state.hasTimedOut
+        waiting = {p[0]: tuple(p) for p in json.loads(early)}
+        arrived = [] if ended else [(int(s), d, int(n), bool(e)) for p in parts for s, d, n, e in p[["seq", "delta", "n_sources", "last"]].itertuples(index=False)]
+        ready, expected = in_turn(expected, waiting, arrived, ended)
+        for _, delta, sources, last in ready:
+            text, held, new = scan(held + delta, sources)
+            shown.append(text)
+            cited |= new
+            ended = ended or last
+        if ended:
             state.remove()
         else:
-            state.update((held, " ".join(map(str, sorted(cited)))))
+            state.update((held, " ".join(map(str, sorted(cited))), expected, json.dumps(sorted(waiting.values()))))
             if wait:
                 state.setTimeoutDuration(wait)
-        yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(shown)], "used": [sorted(cited)], "done": [done]})
+        yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(shown)], "used": [sorted(cited)], "done": [ended]})
 
-    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id bigint, text string, used array<int>, done boolean", "held string, used string", "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
+    kept = "held string, used string, expected bigint, early string"
+    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id bigint, text string, used array<int>, done boolean", kept, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")

@@ -95,6 +95,61 @@ def test_marker_stream_with_state(spark, tmp_path):
     assert (whole["text"], whole["used"]) == (shown, used)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pieces_out_of_order_over_batches(spark, tmp_path, seed):
+    """Any cut into batches, any order and pieces sent twice give the whole result."""
+    rnd = random.Random(seed)
+    schema = "conv_id bigint, seq int, delta string, n_sources int, last boolean"
+    want, rows = {}, []
+    for c in range(6):
+        text = "".join(rnd.choice(["word ", "[1]", "[2, 9]", "[", "] "]) for _ in range(30)) + "."
+        want[c] = streamed([text], 3)
+        rows += [(c, k // 4, text[k : k + 4], 3, k + 4 >= len(text)) for k in range(0, len(text), 4)]
+    for c in range(3):  # the last piece comes last, as the state of a finished conversation is gone
+        rows += rnd.sample([r for r in rows if r[0] == c and not r[4]], 5)
+    late = [r for r in rows if r[4]]
+    early = [r for r in rows if not r[4]]
+    rnd.shuffle(early)
+    for k, part in enumerate((early[::3], early[1::3], early[2::3], late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    name = f"turns{seed}"
+    q = markers.filter_stream(stream, idle=None).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    batches = {}
+    for r in spark.table(name).collect():
+        batches.setdefault(r["conv_id"], []).append(r)
+    for c, (text, used) in want.items():
+        # rows come in no order, but each batch adds to what is shown: the texts fit together in one way
+        parts = sorted(batches[c], key=lambda r: (r["done"], len(r["used"])))
+        assert sum(len(r["text"]) for r in parts) == len(text) and parts[-1]["done"] and parts[-1]["used"] == used
+    once = spark.createDataFrame(sorted(set(rows)), schema)
+    assert {r["conv_id"]: (r["text"], r["used"]) for r in markers.filter_pieces(once).collect()} == want
+
+
+def test_pieces_wait_for_those_before():
+    waiting: dict = {}
+    assert markers.in_turn(0, waiting, [(2, "c"), (0, "a")], False) == ([(0, "a")], 1)
+    assert markers.in_turn(1, waiting, [(1, "b"), (0, "again"), (5, "f")], False) == ([(1, "b"), (2, "c")], 3)
+    assert markers.in_turn(3, waiting, [], True) == ([(5, "f")], 6) and waiting == {}
+
+
+def test_the_text_of_the_newer_file_counts(spark, tmp_path):
+    import os
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, text in enumerate(("Z old.", "A new.")):
+        place = tmp_path / f"{k}"
+        spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1).write.parquet(str(place))
+        os.makedirs(source, exist_ok=True)
+        part = next(place.glob("*.parquet"))
+        os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+        part.rename(f"{source}/{k}.parquet")
+    ingest.run(spark, source, target, str(tmp_path / "c")).awaitTermination(120)
+    assert [r["text"] for r in ingest.passages(spark, target).collect()] == ["A new."]
+
+
 def test_idle_conversations_are_flushed(spark, tmp_path):
     schema = "conv_id bigint, seq int, delta string, n_sources int, last boolean"
     source = tmp_path / "in"
