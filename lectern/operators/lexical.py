@@ -87,7 +87,7 @@ def quality_ranks(docs: DataFrame, cases: DataFrame) -> DataFrame:
 
     asked = cases.select(F.col("item_id").alias("question_id"), "text")
     held = containment(docs, cases.where("text is not null")).withColumnRenamed("item_id", "question_id")
-    found = Search(build(docs), asked).ranks(held).withColumnRenamed("question_id", "item_id")
+    found = Search(build(docs, needed=asked_terms(asked)), asked).ranks(held).withColumnRenamed("question_id", "item_id")
     return cases.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
 
 

@@ -19,6 +19,8 @@ from lectern.sources.tables import stored
 
 #: A block holds the documents whose ids are equal but for so many last bits.
 BLOCK_BITS = 6
+#: Terms that are sent to all texts.
+MOST_BROADCAST = 100_000
 #: Scores are told apart by six digits; what is passed over stays further than this below them.
 SLACK = 1e-5
 
@@ -44,21 +46,24 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.size(X.terms(F.col("text"))), F.lit(0)).cast("long").alias("length"))
 
 
-def postings(docs: DataFrame, buckets: int = 16) -> DataFrame:
+def postings(docs: DataFrame, buckets: int = 16, needed: DataFrame | None = None) -> DataFrame:
     """(bucket, term, block, n, most_tf, least_length, ids, tfs, sizes) of docs (doc_id, text), one row an id.
 
     The arrays have the ids, in order, of the documents of one block that hold the term, how
     often they do and their lengths, so no row grows with the corpus. Texts are shuffled once,
     by block, and all is counted where they then lie. Rows come sorted by term, those of a
     bucket in as many partitions as there are for it, so that a common term lies in all of
-    these.
+    these. Given ``needed`` (a column ``term``) only these terms are indexed, if they are few
+    enough to be broadcast: for questions that are put once.
     """
     # a number of partitions of its own, as texts are small for what is made of them
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id is not null").select(block_of(F.col("doc_id")).alias("block"), "doc_id", "text").repartition(partitions, "block")
-    terms = rows.select("block", "doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    counts = terms.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"))
-    counts = counts.withColumn("length", F.sum("tf").over(Window.partitionBy("block", "doc_id")))
+    terms = rows.select("block", "doc_id", X.terms(F.col("text")).alias("terms"))
+    terms = terms.select("block", "doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
+    if needed is not None and (few := needed.select("term").distinct()).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        terms = terms.join(F.broadcast(few), "term", "left_semi")
+    counts = terms.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     key = ("bucket", "term", "block")
     blocks = in_blocks(counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
     salts = max(1, partitions // buckets)
@@ -77,9 +82,9 @@ def each_posting() -> F.Column:
     return F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("tfs").alias("tf"), F.col("sizes").alias("length")))
 
 
-def build(docs: DataFrame, place: str | None = None, buckets: int = 16) -> Index:
+def build(docs: DataFrame, place: str | None = None, buckets: int = 16, needed: DataFrame | None = None) -> Index:
     """An index of docs (doc_id, text), written to a folder and read from there."""
-    kept = stored(postings(docs, buckets), place and f"{place}/postings", ["bucket"])
+    kept = stored(postings(docs, buckets, needed), place and f"{place}/postings", ["bucket"])
     return Index(kept, stored(lengths(docs.where("doc_id is not null")), place and f"{place}/lengths"))
 
 
