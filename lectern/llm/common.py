@@ -73,20 +73,39 @@ def records(arrays: Sequence, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
+#: What a Python worker keeps for the next tasks of the same operator, by the operator's module and a key.
+worker_tables: dict[tuple, object] = {}
+
+
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def drop_others(module: str) -> None:
+    """Drop the tables of all operators but this one."""
+    if others := [k for k in worker_tables if k[0] != module]:
+        for k in others:
+            del worker_tables[k]
+        give_back()
+
+
 def tidied(run):
     """``run`` (batches to batches), which gives back to the system what it has freed when it ends.
 
     Python workers live on from task to task, so what a task leaves in the allocators' hands
-    would add to the memory of the next ones.
+    would add to the memory of the next ones; so would the tables that another operator has
+    kept for its own tasks, which go first.
     """
 
     @wraps(run)
     def wrapped(batches):
+        drop_others(run.__module__)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(AttributeError, OSError):  # another C library than glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

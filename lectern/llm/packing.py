@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.common import column_of, records, slices, tidied
+from lectern.llm.common import column_of, records, slices, tidied, worker_tables
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -236,14 +236,11 @@ class WordTokens:
         return out
 
 
-_loaded: dict[tuple, WordTokens] = {}
-
-
 def loaded(path: str, end_id: int) -> WordTokens:
     """The worker's own tables, kept from task to task."""
-    if (path, end_id) not in _loaded:
-        _loaded[path, end_id] = WordTokens(path, end_id)
-    return _loaded[path, end_id]
+    if (__name__, path, end_id) not in worker_tables:
+        worker_tables[__name__, path, end_id] = WordTokens(path, end_id)
+    return worker_tables[__name__, path, end_id]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, longest_piece: int = 512, chunk_tokens: int = 2_000_000) -> DataFrame:

@@ -370,3 +370,12 @@ def test_few_vectors_are_all_candidates():
 def test_crc_of_pieces():
     ids = np.arange(10, dtype="<u4")
     assert zlib.crc32(memoryview(ids.tobytes())[8:20]) == zlib.crc32(ids[2:5].tobytes())
+
+
+def test_tables_of_other_operators_go_first():
+    from lectern.llm import common
+
+    common.worker_tables.update({("one", 1): "a", (__name__, 2): "b"})
+    run = common.tidied(lambda batches: iter(batches))
+    assert list(run([3])) == [3] and common.worker_tables == {(__name__, 2): "b"}
+    common.worker_tables.clear()
