@@ -27,15 +27,18 @@ RETRIED = {"documents": (408, 409, 425, 429, 500, 502, 503, 504, 529), "queries"
 def sniff(content: Column, filename: Column) -> Column:
     """The supported type of some bytes: PDF by its mark, else text if the head is valid UTF-8 without NUL; or null.
 
-    A character cut by the end of the head does not count against it.
+    A character cut by the end of the head does not count against it: up to four last bytes
+    may be left out, as a cut at a fixed place can itself go through a character.
     """
     head = F.substring(content, 1, HEAD)
     whole = F.length(head)
-    valid = F.is_valid_utf8(head.cast("string")) | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(whole - 4, F.lit(0))).cast("string"))
+    valid = F.is_valid_utf8(head.cast("string"))
+    for last in range(1, 5):
+        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(whole - last, F.lit(0))).cast("string"))
     markdown = F.lit(False)
     for ending in MARKDOWN_ENDINGS:
         markdown = markdown | F.lower(filename).endswith(ending)
-    pdf = F.instr(F.hex(F.substring(content, 1, 1024)), "255044462D") % 2 == 1
+    pdf = F.hex(F.substring(content, 1, 1024)).rlike("^(..)*?255044462D")
     nul = F.hex(head).rlike("^(..)*?00")
     return F.when(whole == 0, None).when(pdf, "application/pdf").when(nul | ~valid, None).when(F.coalesce(markdown, F.lit(False)), "text/markdown").otherwise("text/plain")
 

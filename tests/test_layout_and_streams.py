@@ -282,3 +282,13 @@ def test_sentence_boundaries():
     from lectern.operators import passages as P
 
     assert [text[a:b] for a, b in P.sentences(text, 0, len(text))] == ["He met Dr. Smith, J. Doe and others, e.g. Ann.", '"Quite so!"', "They left. then came two of it?", "Yes.", "3 more"]
+
+
+def test_sniff_takes_a_head_cut_through_a_character_anywhere(spark):
+    # two signs are cut: one by the end of the head, and one by an end four bytes before it
+    texts = ["a" * pad + "é€😀"[k] * 5000 for k in range(3) for pad in range(4)]
+    mark = b"\x02\x55\x04\x44\x62\xd0 %PDF-1.7"  # the digits of the mark between two bytes, then the mark
+    rows = [(k, bytearray(t.encode())) for k, t in enumerate(texts)] + [(99, bytearray(mark)), (100, bytearray(b"\xff" + b"a" * 9000))]
+    df = spark.createDataFrame(rows, "id int, content binary")
+    got = {r["id"]: r["k"] for r in df.select("id", U.sniff(F.col("content"), F.lit("a.txt")).alias("k")).collect()}
+    assert got == {k: "text/plain" for k in range(len(texts))} | {99: "application/pdf", 100: None}
