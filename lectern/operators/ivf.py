@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors as V
-from lectern.operators.retrieval import Retrieval, ranked
+from lectern.operators.retrieval import Retrieval, ranked, whole
 from lectern.sources.tables import stored
 
 #: Cells of an index; their centres are sent to every task.
@@ -40,12 +40,6 @@ def unit(embedding: Column) -> Column:
     return F.transform(embedding, lambda x: x.cast("double") / length)
 
 
-def whole(rows: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector has a direction: not null or empty, no null or non-finite component, not zero."""
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(F.size(vector) > 0).where(sound).where(F.exists(vector, lambda x: x != 0))
-
-
 def build(chunks: DataFrame, place: str | None = None, cells: int | None = None, sample: int = 200_000, seed: int = 5) -> Index:
     """An index of chunks (document_id, ordinal, tenant, embedding), written to a folder by cell and read from there.
 

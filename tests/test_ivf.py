@@ -82,3 +82,23 @@ def test_odd_vectors(spark):
         assert [r["ordinal"] for r in sorted(rows, key=lambda r: (r["question_id"], r["rank"]))][:3] == [2, 4, 0]
     empty = ivf.build(spark.createDataFrame(bad, CHUNKS).where("ordinal < 6 and ordinal > 0"))
     assert ivf.retrieve(empty, asked).collect() == []
+
+
+def test_batches_search_blocks_of_chunks(spark, corpus, monkeypatch):
+    """Blocks of any size give what each question finds by itself; rows without a direction take no places of candidates."""
+    chunks, asked = corpus
+    nan = float("nan")
+    odd = spark.createDataFrame([(500 + k, k, k % 2, v) for k, v in enumerate([None, [nan] * 24, [0.0] * 24, [1.0], []] * 40)], CHUNKS)
+    how = R.Retrieval(floor=-1.0, cap=100)
+    alone = {}
+    for q in asked.where("question_id % 10 = 4").collect():
+        one = spark.createDataFrame([(q["qe"],)], "qe array<float>")
+        found = R.retrieve(chunks.where(F.col("tenant") == q["tenant"]), one, how).collect()
+        alone |= {(q["question_id"], k + 1): (r["document_id"], r["ordinal"], round(r["similarity"], 6)) for k, r in enumerate(found)}
+    for block, tile in ((8192, 256), (7, 2)):
+        monkeypatch.setattr(R, "BLOCK", block * 10)
+        monkeypatch.setattr(R, "TILE", tile)
+        got = shown(R.retrieve_batch(chunks.unionByName(odd), asked.where("question_id % 10 = 4"), how))
+        assert got == alone and len(got) == 48
+    kept = R.nearest(chunks.withColumn("more", F.lit("x")), asked, 3)
+    assert kept.columns == ["question_id", "document_id", "ordinal", "tenant", "more", "distance"] and kept.count() >= 180
