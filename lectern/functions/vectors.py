@@ -7,7 +7,7 @@ import math
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,21 +38,30 @@ def vector_problem(a: Column, dimension: int) -> Column:
 
 def hash_vector(text: str, dimension: int) -> list[float]:
     """A unit vector that the text alone decides: a seeded normal draw, scaled."""
-    draw = random.Random(int.from_bytes(hashlib.sha256(text.encode("utf-8")).digest()[:8], "big"))
+    return seeded_vector(hashlib.sha256(text.encode("utf-8")).digest(), dimension)
+
+
+def seeded_vector(digest: bytes, dimension: int) -> list[float]:
+    """The hash vector of a text with this SHA-256."""
+    draw = random.Random(int.from_bytes(digest[:8], "big"))
     raw = [draw.gauss(0.0, 1.0) for _ in range(dimension)]
     length = math.sqrt(math.fsum(x * x for x in raw))
     return [x / length for x in raw] if length else [1.0] + [0.0] * (dimension - 1)
 
 
 def hash_embedding(dimension: int):
-    """A pandas function from texts to hash vectors."""
-
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: hash_vector(t, dimension) if t is not None else None)
-
-    return embed
+    """A function of a column of texts that gives their hash vectors. Only digests of the texts go to Python, some thousands at a time."""
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for digests in batches:
+            made = []
+            for at in range(0, len(digests), 1000):
+                vectors = [seeded_vector(d, dimension) if d is not None else None for d in digests.slice(at, 1000).to_pylist()]
+                made.append(pa.array(vectors, pa.list_(pa.float64())))
+            yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float64()))
+
+    return lambda texts: embed(F.unhex(F.sha2(texts, 256)))
 
 
 def hash_seed(text: Column) -> Column:
