@@ -53,9 +53,15 @@ def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def best_lexical(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k best documents of every question, by the scores of all pairs; ``postings.Search`` has them from an index."""
-    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return bm25(docs, questions).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best documents of every question, by the scores of all pairs, from counts of the questions' terms alone.
+
+    Texts without a value have no length and do not count in the mean.
+    """
+    from lectern.operators.postings import Index, Search, counted, lengths  # which needs this module
+    from lectern.sources.tables import stored
+
+    sized = lengths(docs.where("text is not null")).unionByName(docs.where("text is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("length")))
+    return Search(Index(stored(counted(docs, asked_terms(questions))), sized), questions).best_of_all(k)
 
 
 def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -81,13 +87,37 @@ def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.unionByName(every.select("short.item_id", "doc_id"))
 
 
+def containment_indexed(docs: DataFrame, phrases: DataFrame, index) -> DataFrame:
+    """``containment`` by an index of docs that has all terms of the phrases.
+
+    The terms of a phrase's inner words are whole terms of every text that holds it, so only
+    documents with the rarest of them are looked at. Phrases without one go to ``containment``.
+    """
+    from lectern.operators.postings import each_posting  # which needs this module
+    from lectern.sources.tables import stored
+
+    p = phrases.select("item_id", X.phrase(F.col("text")).alias("needle")).where("needle is not null")
+    words = F.split("needle", " ")
+    inner = F.array_distinct(X.terms(F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " ")))
+    each = stored(p.select("needle", inner.alias("terms")).distinct())
+    terms = each.select("needle", F.explode("terms").alias("term"))
+    df = index.postings.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    rarest = terms.join(df, "term", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
+    keys = stored(p.join(rarest, "needle").select("item_id", "needle", "term"))
+    likely = stored(index.postings.join(keys, "term").select("item_id", "needle", each_posting()).select("doc_id", "item_id", "needle"))
+    found = docs.select("doc_id", "text").join(likely, "doc_id").where(F.contains(X.phrase(F.col("text")), "needle")).select("item_id", "doc_id")
+    rest = phrases.join(each.where("size(terms) = 0"), X.phrase(F.col("text")) == F.col("needle"), "left_semi")
+    return found if rest.isEmpty() else found.unionByName(containment(docs, rest))
+
+
 def quality_ranks(docs: DataFrame, cases: DataFrame) -> DataFrame:
     """For each case (item_id, text): how many of docs (doc_id, text) hold it and the first rank of one, by an index made of docs."""
     from lectern.operators.postings import Search, build  # which needs this module
 
     asked = cases.select(F.col("item_id").alias("question_id"), "text")
-    held = containment(docs, cases.where("text is not null")).withColumnRenamed("item_id", "question_id")
-    found = Search(build(docs, needed=asked_terms(asked)), asked).ranks(held).withColumnRenamed("question_id", "item_id")
+    index = build(docs, needed=asked_terms(asked))
+    held = containment_indexed(docs, cases.where("text is not null"), index).withColumnRenamed("item_id", "question_id")
+    found = Search(index, asked).ranks(held).withColumnRenamed("question_id", "item_id")
     return cases.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("containing", F.lit(0)).alias("containing"), "rank")
 
 

@@ -1,15 +1,19 @@
 """An index of terms for ranked lexical search: blocks of postings with what bounds their scores.
 
-A search never scores all documents that share a term. A floor under the k-th best score is
-found on each question's rarest terms; terms whose bounds together stay under it bring no new
-candidates, so the long lists of common words are read only in the blocks of the few
-documents that remain.
+A search of an index never scores all documents that share a term. A floor under the k-th best
+score is found on each question's rarest terms; terms whose bounds together stay under it bring
+no new candidates, so the long lists of common words are looked up only for the few documents
+that remain. Postings are dealt once, by groups of documents and of questions, and scored where
+they then lie.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +22,15 @@ from lectern.operators.lexical import K1, B, asked_terms
 from lectern.sources.tables import stored
 
 #: A block holds the documents whose ids are equal but for so many last bits.
-BLOCK_BITS = 6
+BLOCK_BITS = 9
 #: Terms that are sent to all texts.
 MOST_BROADCAST = 100_000
+#: Bytes of texts that are counted at once; about so many documents and questions are scored against each other in a group.
+SLICE, GROUP, ASKED = 4_000_000, 4096, 512
+#: Which bytes of a lower-case text belong to a term, as ``text.TERM`` has it.
+IN_TERM = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+COUNTED = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("most_tf", pa.int64()), ("least_length", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "tfs", "sizes"))])
+SCORED = "question_id bigint, doc_id bigint, score double"
 #: Scores are told apart by six digits; what is passed over stays further than this below them.
 SLACK = 1e-5
 
@@ -43,31 +53,102 @@ def block_of(doc_id: Column) -> Column:
 
 def lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, length): terms of docs (doc_id, text); a null text has none."""
-    return docs.select("doc_id", F.coalesce(F.size(X.terms(F.col("text"))), F.lit(0)).cast("long").alias("length"))
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch):
+                owner = terms_of(part.column("text"))[1]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(owner, minlength=len(part)).astype(np.int64))], names=["doc_id", "length"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id bigint, length bigint")
+
+
+def sliced(batch: pa.RecordBatch):
+    """The rows in slices of about ``SLICE`` bytes of text, or one row if that is larger."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of lower-case texts, in order, and which text each is of."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    inside = IN_TERM[data]
+    begins = offsets[:-1] - offsets[0]
+    cut = np.zeros(len(data) + 1, bool)  # where a text begins, so that no term reaches over
+    cut[begins] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    kept = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(data[inside]))
+    return kept, np.searchsorted(begins, starts, "right") - 1
+
+
+def blocks_of(part: pa.RecordBatch, needed: pa.Array | None) -> pa.RecordBatch:
+    """The postings of some documents (block, doc_id, text), by block and term; only of the needed terms, if these are given."""
+    terms, owner = terms_of(part.column("text"))
+    block, ids = (part.column(c).to_numpy() for c in ("block", "doc_id"))
+    length = np.bincount(owner, minlength=len(part)).astype(np.int64)
+    coded = terms.dictionary_encode()
+    names, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
+    if needed is not None:
+        asked = pc.is_in(names, value_set=needed).to_numpy(zero_copy_only=False)[code]
+        owner, code = owner[asked], code[asked]
+    key, tf = np.unique(owner * max(1, len(names)) + code, return_counts=True)
+    owner, code = np.divmod(key, max(1, len(names)))
+    order = np.lexsort((ids[owner], code, block[owner]))
+    owner, code, tf = owner[order], code[order], tf[order].astype(np.int64)
+    at = block[owner]
+    start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (code[1:] != code[:-1])])) if len(at) else np.zeros(0, np.int64)
+    cut = pa.array(np.append(start, len(at)).astype(np.int32))
+    most, least = (f.reduceat(x, start) if len(at) else start for f, x in ((np.maximum, tf), (np.minimum, length[owner])))
+    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids[owner], tf, length[owner])]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(code[start])), pa.array(at[start]), pa.array(np.diff(cut.to_numpy()).astype(np.int64)), pa.array(most), pa.array(least), *lists], schema=COUNTED)
+
+
+def counted(docs: DataFrame, needed: DataFrame | None = None) -> DataFrame:
+    """(term, block, n, most_tf, least_length, ids, tfs, sizes) of docs (doc_id, text), one row an id.
+
+    Texts are shuffled once, by block, and all is counted where they then lie, some of them at a
+    time, so a block can be two rows for a term where its texts are large.
+    """
+    # a number of partitions of its own, as texts are small for what is made of them
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).withColumn("block", block_of(F.col("doc_id")))
+    few = [r["term"] for r in needed.select("term").distinct().limit(MOST_BROADCAST + 1).collect()] if needed is not None else []
+    asked = pa.array(few, pa.string()) if needed is not None and len(few) <= MOST_BROADCAST else None
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch):
+                yield blocks_of(part, asked)
+
+    return rows.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(run, "term string, block bigint, n bigint, most_tf bigint, least_length bigint, ids array<bigint>, tfs array<bigint>, sizes array<bigint>")
 
 
 def postings(docs: DataFrame, buckets: int = 16, needed: DataFrame | None = None) -> DataFrame:
     """(bucket, term, block, n, most_tf, least_length, ids, tfs, sizes) of docs (doc_id, text), one row an id.
 
     The arrays have the ids, in order, of the documents of one block that hold the term, how
-    often they do and their lengths, so no row grows with the corpus. Texts are shuffled once,
-    by block, and all is counted where they then lie. Rows come sorted by term, those of a
-    bucket in as many partitions as there are for it, so that a common term lies in all of
-    these. Given ``needed`` (a column ``term``) only these terms are indexed, if they are few
-    enough to be broadcast: for questions that are put once.
+    often they do and their lengths, so no row grows with the corpus. Rows come sorted by term,
+    those of a bucket in as many partitions as there are for it, so that a common term lies in
+    all of these. Given ``needed`` (a column ``term``) only these terms are indexed, if they are
+    few enough to be sent to all texts: for questions that are put once.
     """
-    # a number of partitions of its own, as texts are small for what is made of them
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where("doc_id is not null").select(block_of(F.col("doc_id")).alias("block"), "doc_id", "text").repartition(partitions, "block")
-    terms = rows.select("block", "doc_id", X.terms(F.col("text")).alias("terms"))
-    terms = terms.select("block", "doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    if needed is not None and (few := needed.select("term").distinct()).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        terms = terms.join(F.broadcast(few), "term", "left_semi")
-    counts = terms.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    key = ("bucket", "term", "block")
-    blocks = in_blocks(counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
+    blocks = counted(docs, needed)
+    blocks = blocks.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), *blocks.columns)
     salts = max(1, partitions // buckets)
-    return blocks.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions(*key)
+    return blocks.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("bucket", "term", "block")
 
 
 def in_blocks(each: DataFrame) -> DataFrame:
@@ -107,12 +188,58 @@ def saturated(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
+def scored(found: pa.Table, weights: pa.Table, mean: float, k: int | None) -> pa.Table:
+    """(question_id, doc_id, score) of the postings of some documents for some questions, as ``Search.reaching`` has them."""
+    questions, row = np.unique(weights.column("question_id").to_numpy(), return_inverse=True)
+    names = weights.column("term").combine_chunks().unique()
+    code = pc.index_in(found.column("term"), value_set=names).to_numpy()
+    order = np.argsort(code, kind="stable")
+    lists = [found.column(c).take(pa.array(order)).combine_chunks() for c in ("ids", "tfs", "sizes")]
+    ids, tfs, sizes = (x.flatten().to_numpy() for x in lists)
+    docs, at = np.unique(ids, return_inverse=True)
+    part = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * sizes / mean))
+    n = np.bincount(np.repeat(code[order], pc.list_value_length(lists[0]).to_numpy()), minlength=len(names))
+    upto = np.concatenate([[0], np.cumsum(n)])
+    term, idf = pc.index_in(weights.column("term"), value_set=names).to_numpy(), weights.column("idf").to_numpy()
+    leads = weights.column("leads").to_numpy()
+    total = np.zeros((len(questions), len(docs)))
+    for q, t, w in zip(row[leads], term[leads], idf[leads], strict=True):
+        mine = slice(upto[t], upto[t + 1])
+        total[q, at[mine]] += w * part[mine]
+    floor, rest = (np.zeros(len(questions)) for _ in range(2))
+    floor[row], rest[row] = weights.column("floor").to_numpy(), weights.column("rest").to_numpy()
+    left = [np.flatnonzero((t > 0) & (t + r >= f)) for t, r, f in zip(total, rest, floor, strict=True)]
+    of_term = np.zeros(len(docs))
+    others = np.flatnonzero(~leads & (np.array([len(x) for x in left], np.int64)[row] > 0))
+    for i in others[np.argsort(term[others], kind="stable")]:
+        mine = slice(upto[term[i]], upto[term[i] + 1])
+        of_term[at[mine]] = part[mine]
+        total[row[i], left[row[i]]] += idf[i] * of_term[left[row[i]]]
+        of_term[at[mine]] = 0
+    kept = [likely(docs[x], t[x], f, k) for x, t, f in zip(left, total, floor, strict=True)]
+    ids, scores = (np.concatenate([np.zeros(0, kind), *(x[i] for x in kept)]) for i, kind in ((0, np.int64), (1, np.float64)))
+    return pa.table({"question_id": np.repeat(questions, [len(x[0]) for x in kept]), "doc_id": ids, "score": scores})
+
+
+def likely(docs: np.ndarray, scores: np.ndarray, floor: float, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The documents that reach the floor, or that can be among the k best: of equal scores those with the smaller ids."""
+    kept = scores >= floor
+    docs, scores = docs[kept], scores[kept]
+    if k is None or not len(docs):
+        return docs, scores
+    order = np.lexsort((docs, -scores))
+    docs, scores = docs[order], scores[order]
+    place = np.arange(len(docs)) - np.searchsorted(-scores, -scores)
+    kept = (place < k) & (scores >= scores[min(k, len(scores)) - 1] - SLACK)
+    return docs[kept], scores[kept]
+
+
 class Search:
     """Questions (question_id, text) put to an index. Ties in score, at six digits, go to the smaller doc_id."""
 
     def __init__(self, index: Index, questions: DataFrame):
         n, mean = index.lengths.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
-        self.mean = mean or 1.0
+        self.n, self.mean = n, mean or 1.0
         asked = asked_terms(questions)
         # bounds need no arrays of postings
         places = asked.select("term").distinct()
@@ -157,29 +284,37 @@ class Search:
         upto = F.sum("bound").over(Window.partitionBy("question_id").orderBy("bound", "term"))
         return at.withColumn("upto", upto).withColumn("leads", F.col("upto") >= F.col("floor"))
 
-    def reaching(self, floors: DataFrame, how: str = "left") -> DataFrame:
+    def reaching(self, floors: DataFrame, how: str = "left", k: int | None = None) -> DataFrame:
         """(question_id, doc_id, score) of every document whose score is at least its question's floor, and of some below.
 
-        Questions without a floor have all their documents, or with ``how`` "inner" none.
-        Candidates come from the leading terms. The others follow in three tiers, those with
-        the largest bounds first, and before each the candidates go that can't reach the floor
-        with all that may still come; for the rest a tier's terms are looked up in the blocks
-        of these documents only.
+        Questions without a floor have all their documents, or with ``how`` "inner" none. Given
+        ``k``, of each group of documents only those that can be among the k best.
+        Postings of the questions' terms are dealt once, by hashes of their blocks, to groups of
+        about ``GROUP`` documents and ``ASKED`` questions. There candidates come from the
+        leading terms; the others are looked up for those that can still reach the floor.
         """
-        weights = stored(self.split(floors, how))
-        left = self._entries(weights.where("leads")).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
-        tier = F.when(F.col("leads"), -1).when(F.col("upto") >= F.col("floor") / 2, 0).when(F.col("upto") >= F.col("floor") / 8, 1).otherwise(2)
-        weights = weights.withColumn("tier", tier)
-        for k in range(3):
-            rest = weights.groupBy("question_id").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("tier") >= k, F.col("upto"))), F.lit(0.0)).alias("rest"))
-            left = stored(left.join(rest, "question_id").where(F.col("part") + F.col("rest") >= F.col("floor")).select("question_id", "doc_id", "part"))
-            more = self._looked_up(left, weights.where(F.col("tier") == k))
-            left = left.unionByName(more).groupBy("question_id", "doc_id").agg(F.sum("part").alias("part"))
-        return left.withColumnRenamed("part", "score")
+        weights = self.split(floors, how)
+        rest = F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(Window.partitionBy("question_id")), F.lit(0.0))
+        weights = stored(weights.select("question_id", "term", "idf", "floor", "leads", rest.alias("rest")))
+        questions = weights.select("question_id").distinct().count()
+        groups, parts = 1 + self.n // GROUP, 1 + questions // ASKED
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        # a number of partitions of its own, as postings are small for what is made of them
+        partitions = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = weights.withColumn("q", dealt("question_id", parts))
+        found = self.postings.select("term", "block", "ids", "tfs", "sizes").join(stored(part.select("term", "q").distinct()), "term").select(dealt("block", groups).alias("d"), "q", "term", "ids", "tfs", "sizes")
+        every = part.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        mean = self.mean
+
+        def score(a: pa.Table, b: pa.Table) -> pa.Table:
+            return scored(a, b, mean, k)
+
+        left, right = (df.repartition(partitions, "d", "q").groupBy("d", "q") for df in (found, every))
+        return left.cogroup(right).applyInArrow(score, SCORED)
 
     def _looked_up(self, pairs: DataFrame, weights: DataFrame) -> DataFrame:
         """(question_id, doc_id, part) of these pairs (question_id, doc_id) for these terms."""
-        asked = pairs.join(weights.select("question_id", "term", "idf"), "question_id").select("question_id", "doc_id", "term", "idf", block_of(F.col("doc_id")).alias("block"))
+        asked = stored(pairs.join(weights.select("question_id", "term", "idf"), "question_id").select("question_id", "doc_id", "term", "idf", block_of(F.col("doc_id")).alias("block")))
         found = asked.join(self.postings.select("term", "block", "ids", "tfs", "sizes"), ["term", "block"])
         at = found.withColumn("at", F.array_position("ids", F.col("doc_id")).cast("int")).where("at > 0")
         part = F.col("idf") * saturated(F.element_at("tfs", F.col("at")), F.element_at("sizes", F.col("at")), self.mean)
@@ -192,7 +327,13 @@ class Search:
     def best(self, k: int) -> DataFrame:
         """(question_id, doc_id, score, rank) of the k best documents of every question."""
         order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-        return self.reaching(self.floors(k)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return self.reaching(self.floors(k), k=k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best_of_all(self, k: int) -> DataFrame:
+        """``best`` by the scores of all pairs that share a term, without a floor."""
+        order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+        none = self.weights.select("question_id", F.lit(0.0).alias("floor")).limit(0)
+        return self.reaching(none, k=k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def ranks(self, held: DataFrame) -> DataFrame:
         """(question_id, containing, rank) of held (question_id, doc_id): how many documents, and the rank of the first of them.

@@ -105,6 +105,48 @@ def test_no_documents(spark):
     assert search.best(3).collect() == [] and search.ranks(spark.createDataFrame([], "question_id bigint, doc_id bigint")).collect() == []
 
 
+def test_terms_of_texts_end_with_them():
+    import pyarrow as pa
+
+    texts = ["ab c1", "d", None, "", "é-xy", "z", "straße K9…q"]
+    terms, owner = T.terms_of(pa.array(["cut off", *texts]).slice(1))
+    assert list(zip(terms.to_pylist(), owner.tolist(), strict=True)) == [(t, k) for k, x in enumerate(texts) for t in re.findall("[a-z0-9]+", x or "")]
+
+
+def test_texts_are_counted_in_slices(spark, corpus, monkeypatch):
+    """A block that is cut by a slice keeps all its postings; of needed terms only these."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "SLICE", 300)
+    docs = [(d, t and t.lower()) for d, t in corpus[0]]
+    rows = pa.RecordBatch.from_arrays([pa.array([d >> T.BLOCK_BITS for d, _ in docs]), pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["block", "doc_id", "text"])
+    parts = list(T.sliced(rows))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == len(docs)
+    every = {(t, d, n) for d, text in docs for t, n in Counter(re.findall("[a-z0-9]+", text or "")).items()}
+    for needed in (None, {"w0", "w3", "w399"}):
+        made = [r for p in parts for r in T.blocks_of(p, needed and pa.array(sorted(needed))).to_pylist()]
+        assert {(r["term"], d, n) for r in made for d, n in zip(r["ids"], r["tfs"], strict=True)} == {x for x in every if not needed or x[0] in needed}
+
+
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_best_by_all_pairs(spark, corpus, k):
+    docs, questions = [(d, t) for d, t in corpus[0] if t is not None], corpus[1]
+    rows = L.best_lexical(spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(questions, ASKED), k).collect()
+    got = {(r["question_id"], r["rank"]): (r["doc_id"], round(r["score"], 6)) for r in rows}
+    assert got == {key: (d, pytest.approx(s, abs=2e-6)) for key, (d, s) in plain_best(plain_scores(docs, questions), k).items()}
+
+
+def test_phrases_by_the_index(spark):
+    texts = ["The quick-brown fox\tjumps over", "a quick-brown foxes", "xthe QUICK-brown fox jumps", "… — … and é à ü", None, "", "brown"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    asked = [(0, "the quick-brown fox"), (1, "he  quick-brown\nfox"), (1, "and é à"), (2, "… — …"), (3, "brown"), (4, "a none b"), (5, None), (6, "quick-brown quick b"), (0, "The Quick-Brown fox")]
+    cases = spark.createDataFrame(asked, "item_id bigint, text string")
+    index = T.build(docs, needed=L.asked_terms(cases.withColumnRenamed("item_id", "question_id")))
+    pairs = lambda df: sorted((r["item_id"], r["doc_id"]) for r in df.collect())
+    got = pairs(L.containment_indexed(docs, cases, index))
+    assert got == pairs(L.containment(docs, cases)) and (1, 2) in got and (2, 3) in got and (0, 1) not in got
+
+
 def test_many_phrases(spark):
     rnd = random.Random(2)
     docs = [(k, " ".join(f"v{rnd.randint(0, 3000)}" for _ in range(60))) for k in range(50)]
