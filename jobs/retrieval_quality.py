@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from jobs.common import log, started
 from lectern.operators import lexical as L
 from lectern.session import ship
+from lectern.sources.tables import stored
 
 #: The least values at which retrieval is good enough; the mean reciprocal rank is called mrr.
 FLOORS = {"coverage": 1.0, "hit_at_1": 0.75, "hit_at_3": 1.0, "mrr": 0.8}
@@ -41,7 +42,7 @@ def retrieval_quality(spark: SparkSession, documents: str, cases: str, target: s
     session's shared folder. Null texts hold nothing; a case without a text is absent. Of rows
     with the same id the greatest text counts; rows without an id are left out.
     """
-    docs = ship(spark).read.parquet(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    docs = stored(ship(spark).read.parquet(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")))
     every = spark.read.parquet(cases).where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     judged = L.quality_ranks(docs, every).select("item_id", "containing", F.col("rank").cast("long").alias("rank")).withColumn("outcome", outcome())
     judged.write.mode("overwrite").partitionBy("outcome").parquet(f"{target}/cases/run={run}")
