@@ -10,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import vectors as V
-from lectern.operators.retrieval import Retrieval, ranked, whole
+from lectern.operators.retrieval import BLOCK, TILE, Retrieval, first_of, matrix, ranked, summed, whole
 from lectern.sources.tables import stored
 
 #: Cells of an index; their centres are sent to every task.
@@ -91,11 +94,44 @@ def order_of_cells(index: Index, questions: DataFrame) -> DataFrame:
     return cells.withColumn("bound", bound).withColumn("rank", F.row_number().over(order)).withColumn("before", before).drop("centre", "least")
 
 
-def in_cells(index: Index, asked: DataFrame) -> DataFrame:
-    """(question_id, document_id, ordinal, distance) of the asked cells (question_id, tenant, qe, cell): only their folders are read."""
+def in_cells(index: Index, asked: DataFrame, questions: DataFrame | None = None, n: int = 1 << 40) -> DataFrame:
+    """(question_id, document_id, ordinal, distance) of the asked cells (question_id, tenant, cell, n, last) of questions (question_id, qe): only their folders are read.
+
+    The n nearest of every question in a cell, none further than ``last``, if that is given;
+    without ``questions`` the asked cells have their vectors. The chunks of a
+    tenant in a cell and the questions put to it are dealt by hashes of their ids into blocks
+    of about ``BLOCK`` rows, and a pair of blocks is one matrix product. That only tells which
+    pairs can be meant; their distances are then those of ``vectors.dot``, sum by sum.
+    """
+    keys = ["cell", "tenant", "dim", "c", "q"]
+    questions = asked.select("question_id", "qe").distinct() if questions is None else questions
+    asked = asked if "last" in asked.columns else asked.withColumn("last", F.lit(4.0))
     cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-    found = index.chunks.where(F.col("cell").isin(cells)).join(asked.select("question_id", "tenant", "qe", "cell"), ["cell", "tenant"])
-    return found.select("question_id", "document_id", "ordinal", (1.0 - V.dot(F.col("unit"), F.col("qe"))).alias("distance"))
+    parts = 1 + questions.count() // BLOCK
+    dealt = lambda salts, *ids: F.pmod(F.xxhash64(*ids), salts).cast("int")
+    # a number of partitions of its own, as blocks are small for what is made of them
+    partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = (1 + F.col("n") / BLOCK).cast("int")
+    left = index.chunks.where(F.col("cell").isin(cells)).join(index.counts, ["cell", "tenant"])
+    left = left.select("cell", "tenant", F.size("unit").alias("dim"), dealt(salts, "document_id", "ordinal").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"), "document_id", "ordinal", "unit")
+    right = asked.select("question_id", "cell", "tenant", "last", F.explode(F.sequence(F.lit(0), salts - 1)).alias("c")).join(questions.select("question_id", "qe"), "question_id")
+    right = right.withColumn("dim", F.size("qe")).withColumn("q", dealt(F.lit(parts), "question_id"))
+    schema = T.StructType([right.schema["question_id"], left.schema["document_id"], left.schema["ordinal"], T.StructField("distance", T.DoubleType())])
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y, last = matrix(a.column("unit")), matrix(b.column("qe")), b.column("last").to_numpy()
+        found = []
+        for k in range(0, len(y) if len(x) else 0, TILE):
+            guess = y[k : k + TILE] @ x.T
+            least = np.partition(guess, -n, axis=1)[:, -n] if n < len(x) else np.full(len(guess), -np.inf)
+            rows, columns = np.nonzero(guess >= np.maximum(least, 1.0 - last[k : k + TILE])[:, None] - SLACK)
+            distance = 1.0 - summed(x[columns], y[k + rows])
+            near = distance <= last[k + rows]
+            found.append((k + rows[near], columns[near], distance[near]))
+        return first_of(a.select(["document_id", "ordinal"]), b.column("question_id"), found, n)
+
+    left, right = (df.repartition(partitions, *keys).groupBy(*keys) for df in (left, right))
+    return left.cogroup(right).applyInArrow(search, schema)
 
 
 def best_of(near: DataFrame, n: int) -> DataFrame:
@@ -111,13 +147,13 @@ def retrieve(index: Index, questions: DataFrame, how: Retrieval = Retrieval(), p
     goes to all cells that may hold a nearer chunk than the last candidate found, and the
     result is that of all chunks. Questions without a direction find nothing.
     """
-    asked = whole(questions, "qe").select("question_id", "tenant", unit(F.col("qe")).alias("qe"))
-    cells = stored(order_of_cells(index, asked))
+    asked = stored(whole(questions, "qe").select("question_id", "tenant", unit(F.col("qe")).alias("qe")))
+    cells = stored(order_of_cells(index, asked).select("question_id", "tenant", "cell", "bound", "n", "rank", "before"))
     first = (F.col("rank") <= probes) | (F.col("before") < 2 * how.candidates)
-    near = in_cells(index, cells.where(first))
+    near = in_cells(index, cells.where(first).withColumn("last", F.lit(4.0)), asked, how.candidates)
     if exact:
         near = stored(best_of(near, how.candidates).drop("n"))
         last = near.groupBy("question_id").agg(F.when(F.count("*") >= how.candidates, F.max("distance")).otherwise(F.lit(4.0)).alias("last"))
-        more = cells.where(~first).join(last, "question_id", "left").where(1.0 - F.col("bound") <= F.coalesce("last", F.lit(4.0)))
-        near = near.unionByName(in_cells(index, more))
+        more = cells.where(~first).join(last, "question_id", "left").withColumn("last", F.coalesce("last", F.lit(4.0))).where(1.0 - F.col("bound") <= F.col("last"))
+        near = near.unionByName(in_cells(index, more, asked, how.candidates))
     return ranked(near, how)

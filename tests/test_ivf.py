@@ -63,6 +63,19 @@ def test_one_question_reads_its_cells_only(corpus, index):
     assert files[0] * 5 < files[1]
 
 
+def test_cells_give_only_what_can_be_among_the_nearest(corpus, index, monkeypatch):
+    """Of each cell the n nearest, none further than the last one found, however chunks and questions are cut into blocks."""
+    chunks, asked = corpus
+    asked = R.whole(asked, "qe").select("question_id", "tenant", ivf.unit(F.col("qe")).alias("qe"))
+    cells = ivf.order_of_cells(index, asked).withColumn("last", F.lit(0.9))
+    every = sorted((r["question_id"], r["distance"], r["document_id"], r["ordinal"]) for r in ivf.in_cells(index, cells.drop("last")).collect())
+    assert len(every) == cells.agg(F.sum("n")).first()[0]
+    monkeypatch.setattr(ivf, "BLOCK", 7)
+    got = sorted((r["question_id"], r["distance"], r["document_id"], r["ordinal"]) for r in ivf.in_cells(index, cells, asked, 3).collect())
+    first = lambda rows: [x for q in sorted({r[0] for r in rows}) for x in [r for r in rows if r[0] == q][:3]]
+    assert set(got) <= set(every) and len(got) < len(every) and max(r[1] for r in got) <= 0.9 and first(got) == first([r for r in every if r[1] <= 0.9])
+
+
 def test_rare_tenants_get_more_cells(corpus, index):
     """The tenant with a twentieth of the chunks still finds all the candidates it can."""
     asked = corpus[1].where("tenant = 1")
