@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import column_of, durable, records, slices, tidied
+from lectern.llm.heavy import stored
 from lectern.llm.markup import ATTRIBUTE, MARKUP, RAW, RAW_END
 from lectern.llm.repetition import suffix_ranks, union_sizes
 from lectern.llm.url_filter import host_of
@@ -52,7 +53,9 @@ PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.s
 WHOLE = PARSED.append(pa.field("content", pa.int64())).append(pa.field("bare", pa.bool_())).append(pa.field("n", pa.int64()))
 RUNS = pa.schema([("bucket", pa.int64()), ("runs", pa.list_(pa.int64())), ("contents", pa.list_(pa.int64())), ("bare", pa.list_(pa.bool_()))])
 SHARED = pa.schema([("content", pa.int64()), ("runs", pa.list_(pa.int64()))])
-HITS = pa.schema([("host", pa.string()), ("content", pa.int64()), ("runs", pa.list_(pa.int64()))])
+KEYS = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("runs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+BOUND = pa.schema([("host", pa.string()), ("least", pa.int64()), ("keys", pa.list_(pa.int32()))])
+HITS = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("runs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -402,42 +405,91 @@ def shared_runs(pages: DataFrame, least_run: int, bucket_runs: int = 1_000_000)
     return dealt.groupBy("bucket").applyInArrow(tally, "content bigint, runs array<bigint>").groupBy("content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def common_runs(pages: DataFrame, least_run: int, sample: int = 128) -> DataFrame:
-    """(host, runs): for each large host the hashes of the runs that nine of ten of its different pages have.
+def first_pages(pages: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``pages`` without those whose host and content an earlier row has.
 
-    ``pages`` has host, blocks and content. Candidates are the runs that half of the pages
-    have in a sample of about ``sample`` different pages of the host, chosen by hash; a run on
-    nine of ten is among them but with a chance far below 1e-20. They are then counted over
-    all pages of the host, each content once, in place and with partial sums.
+    Only host, content and ``place`` (a number of its own for each row) are shuffled: the
+    places of first rows come back as bits, 64 a number, which are broadcast if short.
     """
-    pages = pages.where(F.size("blocks") > 0)
-    sizes = durable(pages.groupBy("host").agg(F.countDistinct("content").alias("distinct")))
-    small = sizes.count() <= 100_000
-    near = lambda df: F.broadcast(df) if small else df
-    least = F.greatest(F.lit(5), F.ceil(F.col("distinct") * 9 / 10))
+    firsts = pages.groupBy("host", "content").agg(F.min("place").alias("place"))
+    word = F.shiftright("place", 6).alias("word")
+    bits = durable(firsts.groupBy(word).agg(F.expr("bit_or(shiftleft(1L, int(place & 63)))").alias("bits")))
+    bits = F.broadcast(bits) if bits.count() <= most_broadcast else bits
+    return pages.select("*", word).join(bits, "word").where("getbit(bits, int(place & 63)) = 1").select(*pages.columns)
+
+
+def keys_of(runs: np.ndarray) -> np.ndarray:
+    """The lower half of each hash, for half the room."""
+    return runs.view(np.uint64).astype(np.uint32).view(np.int32)
+
+
+def common_runs(pages: DataFrame, least_run: int, part_runs: int = 4_000_000, most_broadcast: int = 5_000_000) -> DataFrame:
+    """(host, common): for each large host the hashes of the runs that nine of ten of its different pages have.
+
+    ``pages`` has host, blocks, content and place. Each content counts once. Every page is
+    counted twice, where it lies. At first a task counts the keys of all runs, in parts of
+    about ``part_runs``, and tells of each part and host the keys that more than half of its
+    pages have. A key not told is on half of a part's pages at most, which bounds on how many
+    pages of the host any key is; no run on nine of ten has a lower bound than that. Then the
+    runs of the keys that reach it are counted over all pages, and what is on nine of ten goes.
+    """
+    pages = first_pages(pages.where(F.size("blocks") > 0))
+
+    def tally(batches, pick, told, schema):
+        held, size = {}, 0
+
+        def part():
+            made = [np.unique(np.concatenate(h), return_counts=True) for h in held.values()]
+            made = [(r[told(c, len(h))], c[told(c, len(h))]) for (r, c), h in zip(made, held.values(), strict=True)]
+            return records([list(held), [len(h) for h in held.values()], [r for r, _ in made], [c for _, c in made]], schema)
 
-    @tidied
-    def candidates(batches):
         for batch in batches:
-            for host, blocks in zip(column_of(batch, "host").to_pylist(), column_of(batch, "blocks").to_pylist(), strict=True):
-                yield records([[host], [0], [np.unique(run_hashes(blocks, host, least_run))]], HITS)
+            for at in range(0, batch.num_rows, 256):
+                for host, runs in pick(batch.slice(at, 256)):
+                    held.setdefault(host, []).append(runs)
+                    size += len(runs) + 1
+                    if size >= part_runs:
+                        yield part()
+                        held, size = {}, 0
+        if held:
+            yield part()
+
+    @tidied
+    def keys(batches):
+        def pick(rows):
+            for host, blocks in zip(column_of(rows, "host").to_pylist(), column_of(rows, "blocks").to_pylist(), strict=True):
+                yield host, np.unique(keys_of(run_hashes(blocks, host, least_run)))
+
+        yield from tally(batches, pick, lambda counts, n: 2 * counts > n, KEYS)
+
+    def bound(group: pa.Table) -> pa.Table:
+        n, told = group.column("pages").to_numpy(), group.column("runs").combine_chunks()
+        found, where = np.unique(told.flatten().to_numpy(), return_inverse=True)
+        more = group.column("counts").combine_chunks().flatten().to_numpy() - np.repeat(n // 2, told.value_lengths().to_numpy())
+        least = common_pages(int(n.sum()))
+        found = found[(n // 2).sum() + np.bincount(where, more, len(found)) >= least]
+        return pa.Table.from_batches([records([[group.column("host")[0].as_py()], [least], [found]], BOUND)]).slice(0, min(1, len(found)))
 
     @tidied
     def hits(batches):
-        for batch in batches:
-            hosts, blocks, asked = (column_of(batch, c).to_pylist() for c in ("host", "blocks", "runs"))
-            found = [np.intersect1d(run_hashes(b, h, least_run), np.array(a, np.int64)) for b, h, a in zip(blocks, hosts, asked, strict=True)]
-            yield records([hosts, column_of(batch, "content"), found], HITS)
-
-    share = F.shiftrightunsigned(F.xxhash64("content"), 33) / F.lit(float(1 << 31))
-    picked = pages.join(near(sizes), "host").where(share < F.lit(float(sample)) / F.col("distinct")).dropDuplicates(["host", "content"])
-    picked = durable(picked.select("host", "blocks"))
-    half = picked.groupBy("host").agg((F.count("*") / 2).alias("half"))
-    runs = picked.mapInArrow(candidates, "host string, content bigint, runs array<bigint>").select("host", F.explode("runs").alias("run"))
-    asked = durable(runs.groupBy("host", "run").count().join(near(half), "host").where("count > 1 and count >= half").groupBy("host").agg(F.collect_list("run").alias("runs")))
-    found = pages.select("host", "content", "blocks").join(near(asked), "host").mapInArrow(hits, "host string, content bigint, runs array<bigint>")
-    each = found.dropDuplicates(["host", "content"]).select("host", F.explode("runs").alias("run")).groupBy("host", "run").count()
-    common = each.join(near(sizes), "host").where(F.col("count") >= least)
+        asked = {}
+
+        def pick(rows):
+            for k, (host, blocks) in enumerate(zip(column_of(rows, "host").to_pylist(), column_of(rows, "blocks").to_pylist(), strict=True)):
+                if host not in asked:
+                    asked[host] = column_of(rows, "keys")[k].values.to_numpy().copy()
+                runs = np.unique(run_hashes(blocks, host, least_run))
+                yield host, runs[np.isin(keys_of(runs), asked[host])]
+
+        yield from tally(batches, pick, lambda counts, n: counts > 0, HITS)
+
+    told = pages.select("host", "blocks").mapInArrow(keys, "host string, pages bigint, runs array<int>, counts array<bigint>")
+    asked = durable(told.groupBy("host").applyInArrow(bound, "host string, least bigint, keys array<int>"))
+    small = (asked.agg(F.sum(F.size("keys") + 1)).first()[0] or 0) <= most_broadcast
+    near = lambda df: F.broadcast(df) if small else df
+    found = pages.select("host", "blocks").join(near(asked), "host").mapInArrow(hits, "host string, pages bigint, runs array<bigint>, counts array<bigint>")
+    each = found.select("host", F.explode(F.arrays_zip("runs", "counts")).alias("x")).groupBy("host", F.col("x.runs").alias("run")).agg(F.sum("x.counts").alias("count"))
+    common = each.join(near(asked.select("host", "least")), "host").where("count >= least")
     return durable(common.groupBy("host").agg(F.collect_list("run").alias("common")))
 
 
@@ -489,7 +541,8 @@ def extract(pages: DataFrame, least_run: int = 8, most_pages: int = 1000, most_b
     small = rows.join(near(large), "host", "left_anti").select("page_id", "url", "html", "host").mapInArrow(read, fields).groupBy("host").applyInArrow(resolve, made)
     if not n_large:
         return small
-    whole = durable(rows.join(near(large), "host", "left_semi").select("page_id", "url", "html", "host").mapInArrow(read_whole, fields + ", content bigint, bare boolean, n bigint"))
+    whole = rows.join(near(large), "host", "left_semi").select("page_id", "url", "html", "host").mapInArrow(read_whole, fields + ", content bigint, bare boolean, n bigint")
+    whole = stored(whole.withColumn("place", F.monotonically_increasing_id()))
     columns = ["page_id", "url", "host", "blocks", "kinds"]
     common = common_runs(whole, least_run)
     ready = whole.where("not bare").select(columns).join(near(common), "host", "left").select(*columns, F.col("common").alias("runs"))

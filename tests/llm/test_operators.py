@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import ann_forest, html_extract, lang_id, packing, piece_bpe, pu_quality, queries, repetition, simhash, toxicity, url_filter
@@ -346,6 +347,43 @@ def test_whole_extraction_against_all_pairs(spark, most_pages):
     assert got == want and any(passages[0] not in t for k, t in want.items() if k % 3 == 0)
 
 
+def test_common_runs_of_a_large_host_are_chosen_by_all_pages(spark):
+    """A line on nine of ten pages goes though the pages whose content's hash is smallest, a tenth of all, lack it."""
+    rnd = random.Random(9)
+    line = "send this to all of your friends by mail or print"
+    texts = [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(20)) for _ in range(4000)]
+    pages = [(k, f"<article><p>{t}</p>{f'<p>{line}</p>' if k < 2000 else ''}</article>", f"h.org {t} {line}" if k < 2000 else f"h.org {t}") for k, t in enumerate(texts)]
+    contents = [(k, int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64))) for k, _, w in pages]
+    share = F.shiftrightunsigned(F.xxhash64("content"), 33) / F.lit(float(1 << 31))
+    shares = {r["k"]: r["share"] for r in spark.createDataFrame(contents, "k bigint, content bigint").select("k", share.alias("share")).collect()}
+    having = [p for p in pages[:2000] if shares[p[0]] >= 0.1][:1290]
+    lacking = [p for p in pages[2000:] if shares[p[0]] < 0.09][:110]
+    assert (len(having), len(lacking)) == (1290, 110)
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", html) for k, html, _ in having + lacking], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, most_pages=10).collect()}
+    assert got == {k: texts[k] for k, _, _ in having + lacking}
+
+
+@pytest.mark.parametrize("part_runs", [1, 60, 4_000_000])
+def test_common_runs_over_parts_of_any_size(spark, part_runs):
+    """The runs on nine of ten different pages, however pages, copies and what they lack are dealt over parts."""
+    rnd = random.Random(part_runs)
+    lines = [" ".join(f"l{k}w{j}" for j in range(8)) for k in range(6)]
+    rows, want = [], {}
+    for host, n in (("a", 40), ("b", 41), ("c", 4), ("d", 5)):
+        lack = [n // 10, n // 10 + 1, 0, n // 2, 1, n]  # of each line so many pages lack it: the first ones, the last ones or any
+        without = [set(range(m)) if j < 2 else set(range(n - m, n)) if j == 3 else set(rnd.sample(range(n), m)) for j, m in enumerate(lack)]
+        made = [[f"{host}{k} {' '.join(str(rnd.randint(0, 9)) for _ in range(12))}", *(x for j, x in enumerate(lines) if k not in without[j])] for k in range(n)]
+        rows += [(host, blocks, k) for k, blocks in enumerate(made)] + [(host, made[0], 0)] * 100 + [(host, made[-1], n - 1)] * 30
+        runs = [set(html_extract.run_hashes(b, host, 8).tolist()) for b in made]
+        least = max(5, -(-9 * n // 10))
+        if common := {r for r in set().union(*runs) if sum(r in x for x in runs) >= least}:
+            want[host] = common
+    df = spark.createDataFrame([(*r, place) for place, r in enumerate([*rows, ("a", [], -1)])], "host string, blocks array<string>, content bigint, place bigint").repartition(3)
+    got = {r["host"]: r["common"] for r in html_extract.common_runs(df, 8, part_runs).collect()}
+    assert {h: set(r) for h, r in got.items()} == want and set(want) == {"a", "b", "d"} and all(len(r) == len(set(r)) for r in got.values())
+
+
 def test_packing_covers_every_id(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3, "doc_id")
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_tokens=20_000).collect()
