@@ -364,8 +364,8 @@ def test_common_runs_of_a_large_host_are_chosen_by_all_pages(spark):
     assert got == {k: texts[k] for k, _, _ in having + lacking}
 
 
-@pytest.mark.parametrize("part_runs", [1, 60, 4_000_000])
-def test_common_runs_over_parts_of_any_size(spark, part_runs):
+@pytest.mark.parametrize(("part_runs", "most_broadcast"), [(1, 1000), (60, 0), (4_000_000, 1000)])
+def test_common_runs_over_parts_of_any_size(spark, part_runs, most_broadcast):
     """The runs on nine of ten different pages, however pages, copies and what they lack are dealt over parts."""
     rnd = random.Random(part_runs)
     lines = [" ".join(f"l{k}w{j}" for j in range(8)) for k in range(6)]
@@ -380,10 +380,22 @@ def test_common_runs_over_parts_of_any_size(spark, part_runs):
         if common := {r for r in set().union(*runs) if sum(r in x for x in runs) >= least}:
             want[host] = common
     df = spark.createDataFrame([(*r, place) for place, r in enumerate([*rows, ("a", [], -1)])], "host string, blocks array<string>, content bigint, place bigint").repartition(3)
-    got = {r["host"]: r["common"] for r in html_extract.common_runs(df, 8, part_runs).collect()}
+    got = {r["host"]: r["common"] for r in html_extract.common_runs(df, 8, part_runs, most_broadcast).collect()}
     assert {h: set(r) for h, r in got.items()} == want and set(want) == {"a", "b", "d"} and all(len(r) == len(set(r)) for r in got.values())
 
 
+@pytest.mark.parametrize("most_broadcast", [0, 1000])
+def test_first_pages(spark, most_broadcast):
+    """Of rows of one host and content the first stays, wherever its place is, and rows of other hosts with that content."""
+    rnd = random.Random(3)
+    places = rnd.sample(range(300), 120) + [(5 << 33) + k for k in rnd.sample(range(200), 80)]
+    rows = [(rnd.choice("ab"), rnd.randint(0, 50), place) for place in places]
+    want = {(h, c): min(p for g, d, p in rows if (g, d) == (h, c)) for h, c, _ in rows}
+    df = spark.createDataFrame(rows, "host string, content bigint, place bigint").repartition(3)
+    got = html_extract.first_pages(df, most_broadcast).collect()
+    assert sorted(r["place"] for r in got) == sorted(want.values()) and all(want[r["host"], r["content"]] == r["place"] for r in got)
+
+
 def test_packing_covers_every_id(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3, "doc_id")
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_tokens=20_000).collect()
