@@ -26,6 +26,7 @@ def folder(spark, tmp_path_factory):
         "chunk_min_tokens",
         "chunk_offset_invariant",
         "chunk_ordinals_dense",
+        "chunk_overlap",
     ],
 )
 def test_same_rows_as_sql(spark, folder, name):
